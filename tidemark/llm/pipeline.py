@@ -1 +1,12 @@
 """Stages of corpus_pipeline.py."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    raise NotImplementedError
+
+
+exact_dedup_stage = near_dedup_stage = mixing_stage = packing_stage = quality_stage

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import slices
 
-#: Bytes of the rolling window, the smallest block size as a power of two, signature length at most, and the run of
-#: signature characters that two texts must share before they count as alike at all.
-WINDOW, LEAST, SIGNATURE, RUN = 7, 2, 64, 4
+#: Bytes of the rolling window, the smallest block size as a power of two, signature length at most, blocks in a text at
+#: most, block sizes in a chunk at most, and the run of signature characters that two texts must share before they count
+#: as alike at all (less by one below 24 characters, and by another below 8: chance matches stay under one in a hundred).
+WINDOW, LEAST, SIGNATURE, CHUNKS, LONGEST, RUN = 7, 2, 64, 48, 4, 4
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -40,8 +41,8 @@ def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
 def signatures(texts: list[bytes]) -> list[tuple[int, bytes, bytes]]:
     """(level, signature, signature at twice the block size) of each text; the block size is 2 ** level.
 
-    A rolling hash over WINDOW bytes ends a chunk where its low bits are all ones. The block size is the smallest that
-    cuts a text into SIGNATURE chunks at most; each chunk gives one character, so whole texts count.
+    A rolling hash over WINDOW bytes ends a chunk where its low bits are all ones; the block size follows from the
+    text's length. Each chunk gives one character and the last one covers what is left, so whole texts count.
     """
     n = len(texts)
     lens = np.fromiter(map(len, texts), np.int64, n)
@@ -55,6 +56,8 @@ def signatures(texts: list[bytes]) -> list[tuple[int, bytes, bytes]]:
     roll ^= roll >> np.uint32(15)
     roll *= np.uint32(0x85EBCA6B)
     roll ^= roll >> np.uint32(13)
+    # the smallest level whose blocks cut a text of this length into about 24 to 48 chunks
+    level = np.maximum(LEAST, np.ceil(np.log2(np.maximum(lens, 1) / CHUNKS)).astype(np.int64))
     at = np.flatnonzero((roll & np.uint32((1 << LEAST) - 1)) == (1 << LEAST) - 1)
     doc = np.searchsorted(end, at, side="right")
     ok = doc < n
@@ -63,17 +66,6 @@ def signatures(texts: list[bytes]) -> list[tuple[int, bytes, bytes]]:
     at, doc = at[ok], doc[ok]
     h = roll[at]
     ones = np.bitwise_count((h ^ (h + np.uint32(1))) >> np.uint32(1)).astype(np.int64)
-    level = np.full(n, LEAST, np.int64)
-    k, a, d = LEAST, ones, doc
-    while True:
-        many = np.bincount(d, minlength=n) >= SIGNATURE
-        many &= level == k
-        if not many.any():
-            break
-        k += 1
-        level[many] = k
-        keep = (a >= k) & many[d]
-        a, d = a[keep], d[keep]
     up, down = _grown(len(data))
     total = np.cumsum((data + np.uint64(1)) * up[: len(data)])
 
@@ -88,10 +80,23 @@ def signatures(texts: list[bytes]) -> list[tuple[int, bytes, bytes]]:
         start = np.where(first, begin[of], np.concatenate([[0], stop[:-1]]))
         full = stop > start
         stop, of, start = stop[full], of[full], start[full]
+        # and after LONGEST block sizes without a boundary, as in repetitive text
+        most = LONGEST << (level[of] + extra)
+        times = -(-(stop - start) // most)
+        k = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        of, most = np.repeat(of, times), np.repeat(most, times)
+        start = np.repeat(start, times) + k * most
+        stop = np.minimum(start + most, np.repeat(stop, times))
+        # the last character of a full signature stands for the whole rest
+        count = np.bincount(of, minlength=n)
+        place = np.arange(len(of)) - (np.cumsum(count) - count)[of]
+        stop = np.where(place == SIGNATURE - 1, end[of], stop)
+        here = place < SIGNATURE
+        of, start, stop = of[here], start[here], stop[here]
         value = (total[stop - 1] - total[start - 1]) * down[start]
         value = (value ^ (value >> np.uint64(29))) * _MIX
         chars = ALPHABET[(value >> np.uint64(58)).astype(np.int64)].tobytes()
-        bounds = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))]).tolist()
+        bounds = np.concatenate([[0], np.cumsum(np.minimum(count, SIGNATURE))]).tolist()
         return [chars[s:e] for s, e in zip(bounds, bounds[1:])]
 
     return list(zip(level.tolist(), signed(0), signed(1)))
@@ -125,7 +130,8 @@ def _alike(a: list[bytes], b: list[bytes]) -> np.ndarray:
         v = np.where(j < ny, (v + u) | (v - u), v)
     common = np.bitwise_count(~v).astype(np.int64)
     near = 2 * common / np.maximum(nx + ny, 1)
-    run = np.minimum(RUN, np.minimum(nx, ny))
+    shorter = np.minimum(nx, ny)
+    run = np.minimum(shorter, RUN - (shorter < 24) - (shorter < 8))
     shared = np.zeros(len(a), bool)
     for r in range(1, RUN + 1):
         rows = np.flatnonzero(run == r)

@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ctph, exact_dedup, mixing, packing, quality, simhash, toxicity, url_filter
+from tidemark.llm import ctph, exact_dedup, language_id, mixing, packing, quality, simhash, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.identify(table(spark, sf_dir, "documents"), with_spans=False)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scores.withColumnRenamed("id", "doc_id")
@@ -51,5 +56,5 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_toxicity, op4_fingerprints, op5_simhash, op6_packing, op7_exact_dedup, op8_mixing, op9_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality, op3_toxicity, op4_fingerprints, op5_simhash, op6_packing, op7_exact_dedup, op8_mixing, op9_url_filter)}
 ORACLES = {"op7_exact_dedup": exact_dedup.EXACT_SQL, "op8_mixing": mixing.MIX_SQL}

@@ -1,12 +1,57 @@
-"""Stages of corpus_pipeline.py."""
+"""Stages of corpus_pipeline.py. Each takes (spark, docs, sf_dir); all but the last return docs' own columns."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import exact_dedup, mixing, packing, quality, simhash
+from tidemark.llm.common import stored
+
+#: Documents scored below this are rejected.
+LEAST_QUALITY = 0.3
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Drop the documents that the quality classifier rejects. A rejected text is one scored below LEAST_QUALITY."""
+    weights = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score_column(docs, "text", weights, "_score").where(F.col("_score") >= LEAST_QUALITY).drop("_score")
+
+
+def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows of docs whose id is in `kept` (id); of rows that repeat an id, all."""
+    return docs.join(kept.withColumnRenamed("id", "_kept_id"), F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+
+
+def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts stays, that with the largest id.
+
+    Where ids repeat, rows are told apart by their normalised text, and of those equal in both one stays.
+    """
+    found = stored(exact_dedup.exact_groups(docs), "exact")
+    kept = found.where("row = keep_row")
+    if not found.groupBy("id").count().where("count > 1").head(1):
+        return _keep(docs, kept.select("id"))
+    digest = F.unhex(F.sha2(exact_dedup.normalised(F.col("text")), 256))
+    same = F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_digest") == F.col("_d"))
+    left = docs.withColumn("_digest", digest).join(kept.select(F.col("id").alias("_i"), F.col("digest").alias("_d")), same, "left_semi")
+    return left.dropDuplicates(["doc_id", "_digest"]).drop("_digest")
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near-equal fingerprints stays, that with the smallest id. Null ids stay."""
+    found = simhash.simhash_components(docs)
+    return _keep(docs, found.where("id is null or id = component_id").select("id").distinct())
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: not at all, once, or a few times. Rows that repeat an id count by the
+    mean of their copies."""
+    taken = mixing.mix(docs).groupBy(F.col("id").alias("_i")).agg(F.round(F.avg("copies")).cast("int").alias("_n"))
+    mixed = docs.join(taken.where("_n > 0"), F.col("doc_id").eqNullSafe(F.col("_i")))
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_i", "_n", "_copy")
 
 
-exact_dedup_stage = near_dedup_stage = mixing_stage = packing_stage = quality_stage
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in the training sequences."""
+    return packing.pack_documents(docs).withColumnsRenamed({"id": "doc_id", "crc": "ids_crc32"})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ctph, exact_dedup, language_id, mixing, packing, quality, simhash, toxicity, url_filter
+from tidemark.llm import ctph, exact_dedup, language_id, mixing, packing, passages, quality, simhash, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,5 +56,9 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality, op3_toxicity, op4_fingerprints, op5_simhash, op6_packing, op7_exact_dedup, op8_mixing, op9_url_filter)}
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality, op3_toxicity, op4_fingerprints, op5_simhash, op6_packing, op7_exact_dedup, op8_mixing, op9_url_filter, op10_passages)}
 ORACLES = {"op7_exact_dedup": exact_dedup.EXACT_SQL, "op8_mixing": mixing.MIX_SQL}

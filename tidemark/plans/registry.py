@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-MODULES: list = []
+from tidemark.plans import market, trends
+
+MODULES = [trends, market]
 
 
 def queries() -> dict[str, Callable]:

@@ -95,7 +95,7 @@ def d12_neighbourhood(spark, sf):
 
 
 def d13_temporal(spark, sf):
-    m = v.requires(spark, sf).join(v.jobs(spark, sf), "job_id").select("tech_id", F.col("posted_at").alias("at"), F.col("salary").alias("value"))
+    m = v.requires(spark, sf).join(v.jobs(spark, sf), "job_id").select("tech_id", F.col("posted_at").alias("at"), F.floor("salary").cast("double").alias("value"))
     return market.temporal_stats(m, v.AS_OF, "tech_id")
 
 
@@ -267,7 +267,7 @@ ORACLES = {
     "d9_statistics": v.with_views("uses") + ", x as (select 'Job' as label, (select count(*) from orders) as n union all select 'Technology', (select count(*) from part) union all select 'Company', (select count(*) from supplier) union all select 'USES', (select count(*) from uses) union all select 'Person', 0) select label, n, n = 0 as missing from x",
     "d10_popular": v.with_views("requires", "technologies") + " select tech_id, name, count(*) as degree_total from requires join technologies using (tech_id) group by 1, 2 having count(*) >= 25",
     "d12_neighbourhood": v.with_views("requires", "uses", "technologies") + ", " + PAIRS + ", r as (select a as tech_id from pairs where n >= 3 union all select b from pairs where n >= 3), x as (select tech_id, (select count(*) from requires q where q.tech_id = t.tech_id) as n_jobs, (select count(*) from uses q where q.tech_id = t.tech_id) as n_companies, (select count(*) from r q where q.tech_id = t.tech_id) as n_related from technologies t) select *, round(ln(1 + n_jobs), 6) as log_jobs, round(ln(1 + n_companies), 6) as log_companies, round(n_jobs / greatest(n_companies, 1), 6) as job_company_ratio from x",
-    "d13_temporal": v.with_views("requires", "jobs") + ", x as (select tech_id, datediff('day', posted_at::date, date '2001-07-15') as d, salary from requires join jobs using (job_id)) select tech_id, max(d) as first_days, min(d) as last_days, round(coalesce(skewness(d), 0), 6) as skewness, round(avg(salary), 6) as mean_value from x group by 1",
+    "d13_temporal": v.with_views("requires", "jobs") + ", x as (select tech_id, datediff('day', posted_at::date, date '2001-07-15') as d, salary from requires join jobs using (job_id)) select tech_id, max(d) as first_days, min(d) as last_days, round(coalesce(skewness(d), 0), 6) as skewness, round(avg(floor(salary)), 6) as mean_value from x group by 1",
     "d15_jaccard": v.with_views("requires") + ", e as (select distinct job_id, tech_id from requires), n as (select tech_id, count(*) as n_jobs from e group by 1), top as (select tech_id as top_id, n_jobs as top_jobs from n order by n_jobs desc, tech_id limit 10), h as (select job_id, top_id, top_jobs from e join top on tech_id = top_id), b as (select tech_id, top_id, top_jobs, count(*) as c from e join h using (job_id) group by 1, 2, 3), s as (select tech_id, sum(c / (n_jobs + top_jobs - c)) as total from b join n using (tech_id) group by 1) select tech_id, n_jobs, round(coalesce(total, 0) / 10, 6) as mean_jaccard from n left join s using (tech_id)",
     "d16_tfidf": v.with_views("requires", "hires") + ", x as (select tech_id, 'c' || company_id as token, count(*) as tf from requires join hires using (job_id) group by 1, 2), d as (select token, count(*) as df, sum(tf) as total from x group by 1 having count(*) >= 2 order by total desc, token limit 500), w as (select tech_id, token, tf * (ln((1 + (select count(distinct tech_id) from x)) / (1 + df)) + 1) as w from x join d using (token)) select tech_id, token, round(w / sqrt(sum(w * w) over (partition by tech_id)), 6) as weight from w",
     "b12_noise": v.with_views("requires", "technologies") + ", n as (select tech_id, count(distinct job_id) as jobs from requires group by 1) select tech_id, name, coalesce(jobs, 0) as jobs from technologies left join n using (tech_id) where coalesce(jobs, 0) >= 25 and lower(name) <> 'blue bolt' and not (regexp_matches(lower(name), '^(?:s.*ring|red)') and lower(name) <> 'red widget')",

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tidemark.plans import market, trends
+from tidemark.plans import market, text, trends
 
-MODULES = [trends, market]
+MODULES = [trends, market, text]
 
 
 def queries() -> dict[str, Callable]:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tidemark.plans import market, text, trends
+from tidemark.plans import graphs, market, text, trends, vectors
 
-MODULES = [trends, market, text]
+MODULES = [trends, market, text, vectors, graphs]
 
 
 def queries() -> dict[str, Callable]:

@@ -183,7 +183,7 @@ def i4_pay(spark, sf):
 def i8_grouped(spark, sf):
     e = F.transform(spans.phrases("p_name", TERMS), lambda x: F.struct(x.alias("entity"), F.when(F.contains(x, F.lit("ring")), "B-TECH").otherwise("I-ROLE").alias("label")))
     g = spans.grouped(e, ["TECH", "ROLE"])
-    return _parts(spark, sf).select("p_partkey", F.array_join(g["TECH"], "|").alias("tech"), F.array_join(g["ROLE"], "|").alias("role"))
+    return _parts(spark, sf).select("p_partkey", F.array_join(F.array_sort(g["TECH"]), "|").alias("tech"), F.array_join(F.array_sort(g["ROLE"]), "|").alias("role"))
 
 
 def i11_extract(spark, sf):
@@ -233,6 +233,6 @@ ORACLES = {
     "i6_organisations": "select p_partkey, case when contains(p_name, 'ring') or contains(p_name, 'gear') then p_name else '' end as orgs from part",
     "i9_windows": "with x as (select doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) as n from documents) select doc_id, case when n = 0 then 0 else 1 + greatest(ceil((n - 200) / 180), 0) end::bigint as windows from x",
     "i1_dates": "select o_orderkey, 'Ngày 3 tháng 5 năm 2026|' || strftime(o_orderdate, '%-d/%-m/%Y') || '|' || strftime(o_orderdate, '%-m/%Y') as dates from orders",
-    "i8_grouped": "with x as (select p_partkey, list_distinct(regexp_extract_all(p_name, '\\b(small ring|red widget|green gear|widget|blue|ring)\\b')) as t from part) select p_partkey, array_to_string(list_filter(t, lambda y: contains(y, 'ring')), '|') as tech, array_to_string(list_filter(t, lambda y: not contains(y, 'ring')), '|') as role from x",
+    "i8_grouped": "with x as (select p_partkey, list_sort(list_distinct(regexp_extract_all(p_name, '\\b(small ring|red widget|green gear|widget|blue|ring)\\b'))) as t from part) select p_partkey, array_to_string(list_filter(t, lambda y: contains(y, 'ring')), '|') as tech, array_to_string(list_filter(t, lambda y: not contains(y, 'ring')), '|') as role from x",
 }
 del ORACLES["i5_places"]

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tidemark.plans import graphs, market, text, trends, vectors
+from tidemark.plans import graphs, market, sources, text, trends, vectors
 
-MODULES = [trends, market, text, vectors, graphs]
+MODULES = [trends, market, text, vectors, graphs, sources]
 
 
 def queries() -> dict[str, Callable]:

@@ -69,6 +69,8 @@ def _least_norms(lengths: np.ndarray) -> np.ndarray:
 def _norms(grams: np.ndarray) -> np.ndarray:
     """Square root of the kernel of each word with itself."""
     n = len(grams)
+    if not n:
+        return np.zeros(0, np.float32)
     flat = grams.reshape(n, -1)
     weight = np.broadcast_to(WEIGHTS[None, :, None], grams.shape).reshape(n, -1)
     order = np.argsort(flat, axis=1)
@@ -177,17 +179,19 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return a
 
 
-def _without_copies(bags: list[list[str]]) -> list[int]:
-    """Numbers of the bags that don't share much of their sketch with an earlier one: copies would make chance words common."""
+def _without_copies(texts: list[list[str]]) -> list[int]:
+    """Numbers of the texts (as words) that don't share a quarter of their sketch of four-word shingles with an earlier one:
+    copies would make chance words common."""
     seen: dict[int, list[int]] = {}
     kept = []
-    for i, bag in enumerate(bags):
-        sketch = sorted(xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in bag if len(w) > 5)[:16]
+    for i, words in enumerate(texts):
+        grams = {" ".join(words[k : k + 4]) for k in range(max(1, len(words) - 3))}
+        sketch = sorted(xxhash.xxh64_intdigest(g.encode("utf-8", "surrogatepass")) for g in grams)[:16]
         shared: dict[int, int] = {}
         for h in sketch:
             for j in seen.get(h, ()):
                 shared[j] = shared.get(j, 0) + 1
-        if max(shared.values(), default=0) < max(2, len(sketch) // 4):
+        if max(shared.values(), default=0) < max(1, len(sketch) // 4):
             kept.append(i)
             for h in sketch:
                 seen.setdefault(h, []).append(i)
@@ -213,9 +217,10 @@ def fit_machine(texts: list[str], labels: list[int]) -> dict[str, np.ndarray]:
     the round before puts highest, if it is near the line.
     """
     none = {"marks": np.array([], "U1"), "worth": np.zeros(0), "bias": np.array(0.0), "platt": np.zeros(2)}
-    bags = [sorted({s for w in set(tokens_of(x)) if len(p := plain(w)) > 2 for s in stretches(p)}) for x in texts]
-    kept = _without_copies(bags)
-    bags, y = [bags[i] for i in kept], np.array([labels[i] for i in kept], np.int64)
+    words = [tokens_of(x) for x in texts]
+    kept = _without_copies(words)
+    bags = [sorted({s for w in set(words[i]) if len(p := plain(w)) > 2 for s in stretches(p)}) for i in kept]
+    y = np.array([labels[i] for i in kept], np.int64)
     if len(set(y.tolist())) < 2:
         return none
     held: tuple[Counter, Counter] = (Counter(), Counter())

@@ -211,7 +211,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    cuts = sorted(set(df.approxQuantile("id", [i / parts for i in range(1, parts)], 0.1 / parts)))
+    cuts = sorted(set(df.approxQuantile("id", [i / parts for i in range(1, parts)], 0.1 / parts))) or [0.0]
     dealt = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="x", outputCol="bucket", handleInvalid="keep").transform(df.withColumn("x", F.col("id").cast("double")))
     dealt = dealt.select(F.col("bucket").cast("int").alias("bucket"), "id", "text", F.lit(0).alias("extra"))
     firsts = dealt.groupBy("bucket").agg(F.min("id").alias("id")).orderBy("bucket").collect()  # a row for each range

@@ -85,10 +85,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hits = each.join(groups.where("n > 1"), "digest").select("id", "file", "row", "digest", F.col("keep.row").alias("keep_row"), F.col("keep.id").alias("keep_id"), "n")
     texts = docs.select(F.col(id_col).cast("long").alias("i"), F.input_file_name().alias("f"), F.col(text_col).alias("t"))
     # rows that repeat an id within a file meet each other's texts here: the digest tells them apart
-    found = hits.join(texts, F.col("id").eqNullSafe(F.col("i")) & (F.col("file") == F.col("f"))).withColumn("t", normalised(F.col("t")))
+    # sorted and merged at any size: the hits grow with the input, so that what is broadcast today is too large tomorrow
+    found = hits.join(texts.hint("merge"), F.col("id").eqNullSafe(F.col("i")) & (F.col("file") == F.col("f"))).withColumn("t", normalised(F.col("t")))
     found = found.where(F.substring(F.unhex(F.sha2(F.col("t"), 256)), 1, digest_bytes) == F.col("digest"))
     found = stored(found.select("id", "row", "digest", "keep_row", "keep_id", "n", "t"), "hits")
-    kept = found.where("row = keep_row").select(F.col("digest").alias("d"), F.col("t").alias("kept_text")).dropDuplicates(["d"])
+    kept = stored(found.where("row = keep_row").select(F.col("digest").alias("d"), F.col("t").alias("kept_text")).dropDuplicates(["d"]), "kept")
     # groups in which some row's bytes differ from those of the row that stays
     split = found.join(kept, F.col("digest") == F.col("d")).where("t <> kept_text").select(F.col("digest").alias("d")).distinct()
     split = stored(split, "collisions")

@@ -19,8 +19,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of docs whose id is in `kept` (id); of rows that repeat an id, all."""
-    return docs.join(kept.withColumnRenamed("id", "_kept_id"), F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """Rows of docs whose id is in `kept` (id); of rows that repeat an id, all. Sorted and merged at any size: the ids grow
+    with the input."""
+    return docs.hint("merge").join(kept.withColumnRenamed("id", "_kept_id"), F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +49,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Each document as often as the mix takes it: not at all, once, or a few times. Rows that repeat an id count by the
     mean of their copies."""
     taken = mixing.mix(docs).groupBy(F.col("id").alias("_i")).agg(F.round(F.avg("copies")).cast("int").alias("_n"))
-    mixed = docs.join(taken.where("_n > 0"), F.col("doc_id").eqNullSafe(F.col("_i")))
+    mixed = docs.hint("merge").join(taken.where("_n > 0"), F.col("doc_id").eqNullSafe(F.col("_i")))
     return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_i", "_n", "_copy")
 
 

@@ -17,7 +17,7 @@ from tidemark.llm.common import once, slices, stored
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces that one task packs together, groups whose emptier sequences are packed once more, and the fill that counts as emptier.
 GROUP_PIECES, GROUPS_AGAIN, EMPTIER = 4096, 64, 0.985
-_MAX_CHUNKS = 400_000
+_MAX_CHUNKS, _SIGNS = 600_000, b".,;:!?*&$#%|"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -42,11 +42,21 @@ class Chunks:
             self.ids = {}
         # the vocabulary is of lower case; only a special token's own text must keep its case
         parts = [(x if b"<|" in x else x.lower()).split() for x in texts]
-        new = list(set().union(*parts) - self.ids.keys())
+        # behind a letter, closing signs are tokens of their own: `word,` is `word` and `,`
+        whole, split = set(), []
+        for x in set().union(*parts) - self.ids.keys():
+            word = x.rstrip(_SIGNS)
+            if 0 < len(word) < len(x) and word.decode()[-1].isalpha():
+                split.append((x, word, x[len(word) :]))
+                whole.update(split[-1][1:])
+            else:
+                whole.add(x)
+        new = list(whole - self.ids.keys())
         for i in range(0, len(new), 10_000):
             some = new[i : i + 10_000]
             got = self.encode([x.decode("utf-8") for x in some], add_special_tokens=False)
             self.ids.update(zip(some, (np.array(e.ids, "<u4").tobytes() for e in got)))
+        self.ids.update((x, self.ids[word] + self.ids[signs]) for x, word, signs in split)
         return [b"".join(map(self.ids.__getitem__, p)) for p in parts]
 
 

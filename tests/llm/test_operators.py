@@ -281,6 +281,51 @@ def test_near_passages_are_verified(spark):
     assert sum(r.words for r in got if r.doc_id == 2) > 350
 
 
+def test_paragraphs_meet_as_brute_force_says(spark):
+    """Pairs of paragraphs with 0 to 3 words changed, in documents of other lines: found are those of 0.8 or more."""
+    rng = np.random.default_rng(11)
+    word = lambda: "v%d" % rng.integers(1_000_000)
+    rows, pairs = [], []
+    for i in range(120):
+        n, edits = int(rng.integers(30, 130)), i % 4
+        a = [word() for _ in range(n)]
+        b = list(a)
+        for e in range(edits):
+            b[(e + 1) * n // (edits + 1)] = word()
+        for j, x in ((2 * i, a), (2 * i + 1, b)):
+            rows.append((j, "\n".join([" ".join(word() for _ in range(30)), " ".join(x), "Ends here."])))
+        pairs.append((2 * i, slow_jaccard(" ".join(a), " ".join(b))))
+    got = passages.repeated_passages(frame(spark, rows)).collect()
+    text = dict(rows)
+    found = {(r.doc_id, r.kept_doc_id) for r in got if text[r.doc_id][r.start : r.end] == text[r.doc_id].split("\n")[1] and r.removed}
+    assert found == {(i + 1, i) for i, similarity in pairs if similarity >= 0.8}
+    assert 40 < len(found) < 110
+
+
+def test_passages_repeat_inside_a_document(spark):
+    shared = prose(99, 70)
+    got = passages.repeated_passages(frame(spark, [(1, shared + "\n" + prose(1, 80) + "\n" + shared), (2, prose(2, 60)), (7, prose(3, 50)), (7, prose(3, 50))])).collect()
+    assert [(r.doc_id, r.start > 0, r.kept_doc_id, r.removed) for r in sorted(got)] == [(1, False, 1, False), (1, True, 1, True)]
+
+
+def test_one_copy_stays_when_a_paragraph_goes(spark):
+    """A passage stands in a removed paragraph, and in a longer one that has nothing else in common with the kept one."""
+    rng = np.random.default_rng(12)
+    word = lambda n: " ".join("v%d" % x for x in rng.integers(1_000_000, size=n))
+    part = word(60)
+    near = part.split()
+    near[10] = "changed"
+    rest = word(200)
+    rows = [(1, " ".join(near) + " " + rest), (2, part + " " + rest), (3, word(90) + " " + part + " " + word(90))]
+    got = passages.repeated_passages(frame(spark, rows)).collect()
+    text, left = dict(rows), {i: t for i, t in rows}
+    for r in sorted(got, key=lambda r: -r.start):
+        if r.removed:
+            left[r.doc_id] = left[r.doc_id][: r.start] + " " + left[r.doc_id][r.end :]
+    assert left[2].strip() == "" and left[1] == text[1]
+    assert part.split()[10] in left[3].split()
+
+
 def test_segments_cover_all_words():
     texts = ["one two\n\nthree four five six seven  eight " + prose(5, 200), "", "É à\tx", "\n"]
     got = passages.segments([t.encode() for t in texts])

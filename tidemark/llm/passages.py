@@ -1,4 +1,4 @@
-"""Substring de-duplication: passages of paragraphs meet in MinHash bands, are verified by Jaccard, and clustered."""
+"""Substring de-duplication: paragraphs, and passages of them, meet in MinHash bands, are verified by Jaccard, and clustered."""
 
 from __future__ import annotations
 
@@ -16,10 +16,14 @@ from tidemark.llm.components import connected_components
 #: Words in a shingle, words on both sides among which a passage's first shingle must be the least, bands of one MinHash
 #: each (at a similarity of 0.8 they miss 0.2 ** 3 of the pairs), similarity of a link, and words in a repeat at least.
 SHINGLE, REACH, BANDS, SIMILAR, REPEAT_WORDS = 5, 6, 3, 0.8, 22
+#: Bands of a whole paragraph (they miss 0.2 ** 4), and words of one at least: shorter ones are only similar if equal, and
+#: equal ones have equal passages.
+PARAGRAPH_BANDS, PARAGRAPH_WORDS = 4, 8
 #: Bits of an identifier: document's row in its partition and passage in its document; the rest is the partition.
 ROW_BITS, PASSAGE_BITS = 22, 21
 _P = np.uint64(0x9E3779B97F4A7C15)
 _PI = np.uint64(pow(int(_P), -1, 1 << 64))
+_WHOLE = np.uint64(0xA24BAED4963EE407)  # keeps the keys and digests of paragraphs apart from those of passages
 _Q, _R = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
 _SLICE = 1_000_000
 _tables = (np.ones(1, np.uint64), np.ones(1, np.uint64))
@@ -48,7 +52,8 @@ def segments(texts: list[bytes]) -> dict[str, np.ndarray]:
 
     A paragraph is a line. Within it a passage begins where the hash of the next SHINGLE words is less than at REACH words
     to either side: the same words are cut alike wherever they stand, so a text inside a longer paragraph is found too.
-    Words are compared with A-Z in lower case; a passage of fewer words than a shingle is one shingle.
+    Words are compared with A-Z in lower case; a passage of fewer words than a shingle is one shingle. Whole paragraphs of
+    PARAGRAPH_WORDS or more come too, in fields with p_ in front: p_first is a paragraph's first passage, p_parts their number.
     """
     n = len(texts)
     lens = np.fromiter(map(len, texts), np.int64, n)
@@ -60,7 +65,7 @@ def segments(texts: list[bytes]) -> dict[str, np.ndarray]:
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     empty = np.zeros(0, np.int64)
     if not len(start):
-        return dict.fromkeys(("doc", "number", "start", "end", "words", "of"), empty) | {"digest": empty.astype(np.uint64), "shingle": empty.astype(np.uint64)}
+        return dict.fromkeys(("doc", "number", "start", "end", "words", "of", "p_first", "p_parts", "p_start", "p_end", "p_words", "p_of"), empty) | dict.fromkeys(("digest", "shingle", "p_digest", "p_shingle"), empty.astype(np.uint64))
     doc = np.searchsorted(begin, start, side="right") - 1
     line = np.cumsum(data == 10)[start]
     up, down = _powers(len(data))
@@ -92,6 +97,13 @@ def segments(texts: list[bytes]) -> dict[str, np.ndarray]:
     digest = _mixed((sums[behind] - sums[first]) * down[first] + words.astype(np.uint64))
     shingle = np.where(short[of_word], digest[of_word], gram)
     inside |= short[of_word] & (np.arange(m) == first[of_word])
+    head = np.concatenate([[0], last[:-1] + 1])
+    long = last + 1 - head >= PARAGRAPH_WORDS
+    p_of = np.repeat(np.cumsum(long) - 1, last + 1 - head)
+    p_inside = whole & np.repeat(long, last + 1 - head)
+    head, tail = head[long], last[long] + 1
+    p_digest = _mixed((sums[tail] - sums[head]) * down[head] + (tail - head).astype(np.uint64)) ^ _WHOLE
+    p_first = of_word[head]
     point = np.cumsum((data & 0xC0) != 0x80) - 1
     of_doc = doc[first]
     base = point[begin[of_doc]]
@@ -99,6 +111,8 @@ def segments(texts: list[bytes]) -> dict[str, np.ndarray]:
     return {
         "doc": of_doc, "number": number, "start": point[start[first]] - base, "end": point[end[behind - 1] - 1] + 1 - base,
         "words": words, "digest": digest, "of": of_word[inside], "shingle": shingle[inside],
+        "p_first": p_first, "p_parts": of_word[tail - 1] + 1 - p_first, "p_start": point[start[head]] - base[p_first], "p_end": point[end[tail - 1] - 1] + 1 - base[p_first],
+        "p_words": tail - head, "p_digest": p_digest, "p_of": p_of[p_inside], "p_shingle": gram[p_inside],
     }
 
 
@@ -106,12 +120,22 @@ def _utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.to_pylist()]
 
 
-_CUT = pa.schema([("uid", pa.int64()), ("local", pa.int64()), ("many", pa.bool_()), ("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32()), ("digest", pa.int64()), *((f"k{i}", pa.int64()) for i in range(BANDS))])
-CUT = "uid long, local long, many boolean, doc_id long, start int, end int, words int, digest long, " + ", ".join(f"k{i} long" for i in range(BANDS))
+_CUT = pa.schema([("uid", pa.int64()), ("local", pa.int64()), ("many", pa.bool_()), ("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32()), ("parts", pa.int32()), ("digest", pa.int64()), *((f"k{i}", pa.int64()) for i in range(PARAGRAPH_BANDS))])
+CUT = "uid long, local long, many boolean, doc_id long, start int, end int, words int, parts int, digest long, " + ", ".join(f"k{i} long" for i in range(PARAGRAPH_BANDS))
+
+
+def _keys(shingle: np.ndarray, of: np.ndarray, n: int, bands: int, salt: np.uint64) -> list[np.ndarray]:
+    """Band by band the least hash of each of n sets of shingles; 0 for bands that they don't have."""
+    if not n:
+        return [np.zeros(0, np.uint64)] * PARAGRAPH_BANDS
+    at = np.searchsorted(of, np.arange(n))
+    keys = [(np.minimum.reduceat(_mixed(shingle * np.uint64(2 * k + 3) + np.uint64(k)), at) + np.uint64(k * int(_P) & 0xFFFFFFFFFFFFFFFF)) ^ salt for k in range(bands)]
+    return keys + [np.zeros(n, np.uint64)] * (PARAGRAPH_BANDS - bands)
 
 
 def _cut(batches):
-    """Rows of passages. Equal passages of one batch are joined here, before any shuffle: `local` is the first of them."""
+    """Rows of passages and, with ~uid of its first passage for a uid, of paragraphs. Equal ones of one batch are joined
+    here, before any shuffle: `local` is the first of them."""
     rows = 0
     part = TaskContext.get().partitionId() << (ROW_BITS + PASSAGE_BITS)
     for batch in batches:
@@ -121,18 +145,20 @@ def _cut(batches):
         parts = []
         for s, e in slices([range(k) for k in sizes], _SLICE):
             got = segments(_utf8(texts.slice(s, e - s)))
-            if not len(got["doc"]):
+            n, first = len(got["doc"]), got["p_first"]
+            if not n:
                 continue
-            starts = np.searchsorted(got["of"], np.arange(len(got["doc"])))
-            keys = [np.minimum.reduceat(_mixed(got["shingle"] * np.uint64(2 * k + 3) + np.uint64(k)), starts) + np.uint64(k * int(_P) & 0xFFFFFFFFFFFFFFFF) for k in range(BANDS)]
+            keys = _keys(got["shingle"], got["of"], n, BANDS, np.uint64(0))
             uid = part + ((rows + s + got["doc"]) << PASSAGE_BITS) + got["number"]
-            parts.append((uid, ids[s + got["doc"]], got["start"], got["end"], got["words"], got["digest"].view(np.int64), *[k.view(np.int64) for k in keys]))
+            parts.append((uid, ids[s + got["doc"]], got["start"], got["end"], got["words"], np.ones(n, np.int64), got["digest"].view(np.int64), *[k.view(np.int64) for k in keys]))
+            keys = _keys(got["p_shingle"], got["p_of"], len(first), PARAGRAPH_BANDS, _WHOLE)
+            parts.append((~uid[first], ids[s + got["doc"][first]], got["p_start"], got["p_end"], got["p_words"], got["p_parts"], got["p_digest"].view(np.int64), *[k.view(np.int64) for k in keys]))
         rows += len(ids)
         if not parts:
             continue
-        uid, doc_id, start, end, words, digest, *keys = (np.concatenate(c) for c in zip(*parts))
-        _, first, back, count = np.unique(digest, return_index=True, return_inverse=True, return_counts=True)
-        columns = (uid, uid[first[back]], count[back] > 1, doc_id, start, end, words, digest, *keys)
+        uid, doc_id, start, end, words, count, digest, *keys = (np.concatenate(c) for c in zip(*parts))
+        _, first, back, equal = np.unique(digest, return_index=True, return_inverse=True, return_counts=True)
+        columns = (uid, uid[first[back]], equal[back] > 1, doc_id, start, end, words, count, digest, *keys)
         for i in range(0, len(uid), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000], f.type) for c, f in zip(columns, _CUT)], schema=_CUT)
 
@@ -189,7 +215,7 @@ def _buckets(rows):
 
 
 def _shingles(batches):
-    """(uid, shingles) of wanted passages: rows (text, numbers, digests, uids)."""
+    """(uid, shingles) of wanted passages and paragraphs: rows (text, numbers, digests, uids)."""
     schema = pa.schema([("uid", pa.int64()), ("load", pa.binary())])
     for batch in batches:
         texts = batch.column(0)
@@ -199,14 +225,20 @@ def _shingles(batches):
             got = segments(_utf8(texts.slice(s, e - s)))
             first = np.searchsorted(got["doc"], np.arange(e - s + 1))
             at = np.searchsorted(got["of"], np.arange(len(got["doc"]) + 1))
+            p_at = np.searchsorted(got["p_of"], np.arange(len(got["p_first"]) + 1))
             uids, loads = [], []
             for i in range(s, e):
                 for number, digest, uid in zip(*(w[i] for w in wanted)):
                     k = first[i - s] + number
                     # rows that repeat an id: the digest tells whose passage it is
-                    if k < first[i - s + 1] and int(got["digest"][k].view(np.int64)) == digest:
+                    if uid >= 0 and k < first[i - s + 1] and int(got["digest"][k].view(np.int64)) == digest:
                         uids.append(uid)
                         loads.append(np.unique(got["shingle"][at[k] : at[k + 1]]).tobytes())
+                    if uid < 0 and k < first[i - s + 1]:
+                        p = np.searchsorted(got["p_first"], k)
+                        if p < len(got["p_first"]) and got["p_first"][p] == k and int(got["p_digest"][p].view(np.int64)) == digest:
+                            uids.append(uid)
+                            loads.append(np.unique(got["p_shingle"][p_at[p] : p_at[p + 1]]).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(loads, pa.binary())], schema=schema)
 
 
@@ -242,29 +274,39 @@ def jaccard_forest(similar: float):
     return link
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, least_words: int = REPEAT_WORDS, bucket_limit: int = 20_000) -> DataFrame:
-    """(doc_id, start, end, words, component_id, kept_doc_id, removed) of each passage that another document repeats.
+def _first_uid(uid: str):
+    """The uid of a passage, or of a paragraph's first passage."""
+    return F.when(F.col(uid) < 0, F.bitwise_not(F.col(uid))).otherwise(F.col(uid))
 
-    Passages are linked at a Jaccard similarity of `similar` or more of their five-word shingles; a component is what
-    links reach. It counts if it spans two documents, and a passage of it if it stands in a stretch of such passages of
-    least_words or more. The first one by (doc_id, start) stays, the others are removed: text[start:end] in code points.
-    Null or empty texts have no passages. Rows with a null id take no part. Rows that repeat an id count as one document.
-    An empty table gives an empty table. Other columns of docs are not read.
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, least_words: int = REPEAT_WORDS, bucket_limit: int = 20_000) -> DataFrame:
+    """(doc_id, start, end, words, component_id, kept_doc_id, removed) of each paragraph, and each passage inside one, that
+    stands elsewhere too.
+
+    Paragraphs are linked with paragraphs, and passages with passages, at a Jaccard similarity of `similar` or more of
+    their five-word shingles; a component is what links reach. It counts if it spans two documents or stands twice in one,
+    and a member of it if it stands in a stretch of such paragraphs and passages of least_words or more. The first one by
+    (doc_id, start) stays, the others are removed: text[start:end] in code points. Passages of a removed paragraph go with
+    it and have no rows; what stays is chosen among the others. A paragraph that stays has rows for those of its passages
+    that are removed. Null or empty texts have no passages. Rows with a null id take no part. Rows that repeat an id count
+    as one document, in which a place can't be told from its row: what only they share is left alone. An empty table
+    gives an empty table. Other columns of docs are not read.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")).where("doc_id is not null")
     cut = stored(df.mapInArrow(_cut, CUT), "passages")
-    keys = F.explode(F.array(*[F.struct(F.col(f"k{i}").alias("key"), F.lit(i).cast("long").alias("band")) for i in range(BANDS)])).alias("x")
+    band = [F.struct(F.col(f"k{i}").alias("key"), F.lit(i).cast("long").alias("band")) for i in range(PARAGRAPH_BANDS)]
+    keys = F.explode(F.when(F.col("uid") < 0, F.array(*band)).otherwise(F.array(*band[:BANDS]))).alias("x")
     rows = cut.where("uid = local").select(keys, "uid", "digest").select("x.key", "uid", "digest", "x.band")
     found = stored(rows.repartition(parts, "key").sortWithinPartitions("key", "digest", "uid").mapInArrow(_grouped, FOUND), "passage-buckets")
     equal = found.where("rep is not null").select("rep", "uid")
 
-    # different passages that share a band: their shingles come from the documents once more
+    # different ones that share a band: their shingles come from the documents once more
     met = stored(found.where("sig is not null").select("sig", "member", "digest").distinct(), "passage-candidates")
-    numbers = cut.select(F.shiftright("uid", PASSAGE_BITS).alias("row"), "doc_id").distinct()
-    wanted = met.select("member", "digest").distinct().withColumn("row", F.shiftright("member", PASSAGE_BITS))
-    wanted = wanted.join(numbers, "row").groupBy("doc_id").agg(F.collect_list(F.struct(F.col("member").bitwiseAND((1 << PASSAGE_BITS) - 1).alias("n"), F.col("digest").alias("d"), F.col("member").alias("u"))).alias("w"))
+    numbers = cut.where("uid >= 0").select(F.shiftright("uid", PASSAGE_BITS).alias("row"), "doc_id").distinct()
+    wanted = met.select("member", "digest").distinct().withColumn("row", F.shiftright(_first_uid("member"), PASSAGE_BITS))
+    wanted = wanted.join(numbers, "row").groupBy("doc_id").agg(F.collect_list(F.struct(_first_uid("member").bitwiseAND((1 << PASSAGE_BITS) - 1).alias("n"), F.col("digest").alias("d"), F.col("member").alias("u"))).alias("w"))
     texts = df.join(wanted, "doc_id").select("text", F.col("w.n").alias("n"), F.col("w.d").alias("d"), F.col("w.u").alias("u"))
     loads = stored(texts.mapInArrow(_shingles, "uid long, load binary").dropDuplicates(["uid"]), "passage-shingles")
     near = bucket_links(met.join(loads, met.member == loads.uid).select("sig", "member", "load"), jaccard_forest(similar), bucket_limit, "passage-links")
@@ -276,13 +318,27 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     tied = stored(tied.unionByName(roots.join(reps, roots.node == reps.uid, "left_anti")).distinct(), "passage-roots")
     own = cut.drop("digest", *[f"k{i}" for i in range(BANDS)])
     member = own.join(tied, own.local == tied.node, "left").where("root is not null or many")
-    member = stored(member.select("uid", "doc_id", "start", "end", "words", F.coalesce("root", "local").alias("component_id")), "passage-members")
-    first = F.min(F.struct("doc_id", "start", "uid"))
-    sets = member.groupBy("component_id").agg(first.alias("first"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
-    sets = stored(sets.select(F.col("component_id").alias("c"), "first"), "passage-sets")
-    shared = member.join(sets, F.col("component_id") == F.col("c"))
-    # stretches of neighbouring passages
-    row, order = F.shiftright("uid", PASSAGE_BITS), W.partitionBy(F.shiftright("uid", PASSAGE_BITS)).orderBy("uid")
-    shared = shared.withColumn("gap", (F.col("uid") - F.lag("uid").over(order) != 1).cast("int")).withColumn("stretch", F.sum(F.coalesce("gap", F.lit(1))).over(order))
-    shared = shared.withColumn("total", F.sum("words").over(W.partitionBy(row, "stretch"))).where(F.col("total") >= least_words)
-    return shared.select("doc_id", "start", "end", F.col("words").cast("long").alias("words"), "component_id", F.col("first.doc_id").alias("kept_doc_id"), (F.col("uid") != F.col("first.uid")).alias("removed"))
+    member = stored(member.select("uid", "doc_id", "start", "end", "words", "parts", F.coalesce("root", "local").alias("component_id")), "passage-members")
+    first, row = F.struct("doc_id", "start", "uid"), F.shiftright(_first_uid("uid"), PASSAGE_BITS)
+    sets = member.groupBy("component_id").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n"), *[f(x).alias(k) for x, k in (("doc_id", "doc"), (row, "row")) for f, k in ((F.min, k + "_a"), (F.max, k + "_b"))])
+    sets = stored(sets.where("doc_a < doc_b or n > 1 and row_a = row_b").select(F.col("component_id").alias("c"), "first"), "passage-sets")
+    shared = member.join(sets, F.col("component_id") == F.col("c")).drop("c").withColumns({"row": row, "lo": _first_uid("uid"), "whole": F.col("uid") < 0})
+    shared = shared.withColumn("hi", F.col("lo") + F.col("parts"))
+    # stretches of neighbours; a paragraph comes before its passages, which add no words to it
+    order = W.partitionBy("row").orderBy("lo", F.desc("whole"))
+    shared = shared.withColumn("reach", F.coalesce(F.max("hi").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(-1)))
+    shared = shared.withColumn("stretch", F.sum((F.col("lo") > F.col("reach")).cast("int")).over(order))
+    shared = shared.withColumn("total", F.sum(F.when(F.col("lo") >= F.col("reach"), F.col("words"))).over(W.partitionBy("row", "stretch"))).where(F.col("total") >= least_words)
+    # passages of paragraphs that are found, and of those that are removed
+    found = F.max(F.when(F.col("whole"), F.col("hi"))).over(order)
+    gone = F.max(F.when(F.col("whole") & (F.col("uid") != F.col("first.uid")), F.col("hi"))).over(order)
+    shared = shared.withColumns({"inside": ~F.col("whole") & F.coalesce(found > F.col("lo"), F.lit(False)), "gone": ~F.col("whole") & F.coalesce(gone > F.col("lo"), F.lit(False))})
+    shared = stored(shared.select("uid", "doc_id", "start", "end", "words", "component_id", "first", "inside", "gone"), "passage-stretches")
+    # where a component's first passage goes with its paragraph, the first of those that don't stays instead
+    went = shared.where("gone").select("uid")
+    lost = stored(shared.where("gone and uid = first.uid").select(F.col("component_id").alias("c")), "passage-lost")
+    left = member.join(lost, F.col("component_id") == F.col("c"), "left_semi").join(went, "uid", "left_anti")
+    left = stored(left.groupBy(F.col("component_id").alias("c")).agg(F.min(first).alias("next")), "passage-kept")
+    out = shared.where("not gone").join(left, F.col("component_id") == F.col("c"), "left").withColumn("first", F.coalesce("next", "first"))
+    out = out.withColumn("removed", F.col("uid") != F.col("first.uid")).where("removed or not inside")
+    return out.select("doc_id", "start", "end", F.col("words").cast("long").alias("words"), "component_id", F.col("first.doc_id").alias("kept_doc_id"), "removed")

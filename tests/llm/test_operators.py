@@ -441,6 +441,24 @@ def test_url_model_matches_a_plain_one(spark):
         assert got[r] == pytest.approx(want, abs=1e-9)
 
 
+def test_url_models_count_all_ruled_urls(spark):
+    """The models are those of every ruled row, however many, and of a class that has one URL many times."""
+    from unittest import mock
+
+    rules = (("allow", "good.org/"), ("block", "bad.org/"))
+    rows = [(i, f"http://good.org/a{i}") for i in range(25_000)] + [(30_000 + i, "http://bad.org/zz") for i in range(300)] + [(40_000, "http://badd.org/zz"), (40_001, "http://goood.org/a77")]
+    models = []
+    fit = url_filter.fit
+    with mock.patch.object(url_filter, "fit", lambda *x: models.append(fit(*x)) or models[-1]):
+        got = {r.id: r.verdict for r in url_filter.judge_urls(spark.createDataFrame(rows, "id long, url string"), "id", rules=rules).where("id >= 40000").collect()}
+    assert got == {40_000: "block", 40_001: "allow"}
+    texts = spark.createDataFrame([(u[7:].partition("/")[0], "/" + u[7:].partition("/")[2], i < 30_000) for i, u in rows[:-2]], "host string, path string, accepted boolean")
+    want, model = ({r.s: r[1:] for r in m.collect()} for m in (fit(texts, 1), models[-1]))
+    assert want.keys() == model.keys()
+    for s, x in want.items():
+        assert [v is None for v in x] == [v is None for v in model[s]] and [v for v in model[s] if v is not None] == pytest.approx([v for v in x if v is not None])
+
+
 def test_sample_and_crc(spark):
     df = spark.range(50)
     assert [r.m for r in df.select(common.crc_mod("id", 5).alias("m")).collect()] == [zlib.crc32(str(i).encode()) % 5 for i in range(50)]

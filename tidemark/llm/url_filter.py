@@ -14,9 +14,9 @@ from tidemark.llm.common import ASCII_UPPER, stored
 
 #: Fixed values of the contract: (verdict, host and path).
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-#: History of the longest context, number of symbols that an unseen one is one of, URLs of each class that the models are
-#: fitted on (a bounded sample), rows of the model up to which it is broadcast, and the width of a calibration bin.
-ORDER, SYMBOLS, FIT_URLS, BROADCAST_ROWS, BIN = 3, 256, 20_000, 500_000, 0.02
+#: History of the longest context, number of symbols that an unseen one is one of, rows of the model up to which it is
+#: broadcast, and the width of a calibration bin.
+ORDER, SYMBOLS, BROADCAST_ROWS, BIN = 3, 256, 500_000, 0.02
 START, END = "\x02", "\x03"
 
 
@@ -50,13 +50,14 @@ def _gram(k: int) -> Column:
     return F.substring("t", F.col("i") - k, F.lit(k + 1))
 
 
-def fit(urls: DataFrame) -> DataFrame:
-    """The two models as one table, from urls (host, path, accepted boolean): s, and for each class (a: accepted, r: rejected)
+def fit(urls: DataFrame, least: int = 2) -> DataFrame:
+    """The two models as one table, from urls (host, path, accepted boolean, and weight, if a row stands for several): s, and for each class (a: accepted, r: rejected)
     lp, the log-probability of the last symbol of s after the rest, and lam, the log of what s as a context leaves to
-    shorter ones (Witten-Bell). Null: not seen in that class. Grams seen once altogether are left out."""
-    grams = _positions(urls, "accepted").select("accepted", F.explode(F.array(*[_gram(k) for k in range(ORDER + 1)])).alias("s"))
-    n = {c: F.count(F.when(F.col("accepted") == (c == "a"), 1)) for c in "ar"}
-    counts = stored(grams.groupBy("s").agg(n["a"].alias("a"), n["r"].alias("r")).where("a + r > 1"), "grams")
+    shorter ones (Witten-Bell). Null: not seen in that class. Grams seen less than `least` times altogether are left out."""
+    urls = urls if "weight" in urls.columns else urls.withColumn("weight", F.lit(1))
+    grams = _positions(urls, "accepted", "weight").select("accepted", "weight", F.explode(F.array(*[_gram(k) for k in range(ORDER + 1)])).alias("s"))
+    n = {c: F.sum(F.when(F.col("accepted") == (c == "a"), F.col("weight")).otherwise(0)) for c in "ar"}
+    counts = stored(grams.groupBy("s").agg(n["a"].alias("a"), n["r"].alias("r")).where(F.col("a") + F.col("r") >= least), "grams")
     head = counts.withColumn("ctx", F.expr("substring(s, 1, length(s) - 1)"))
     sums = head.groupBy("ctx").agg(*[f.alias(x + c) for c in "ar" for x, f in (("n", F.sum(c)), ("kinds", F.count(F.when(F.col(c) > 0, 1))))])
     sums = stored(sums, "contexts")
@@ -81,7 +82,7 @@ def fit(urls: DataFrame) -> DataFrame:
 def score(urls: DataFrame, model: DataFrame, key: str = "row") -> DataFrame:
     """(key, score): the difference of the two log-likelihoods for each symbol of a URL.
 
-    The model is broadcast while it is small, as a fit on a bounded sample is; a larger one is joined by shuffles.
+    The model is broadcast while it is small; a larger one is joined by shuffles.
     """
     small = model.count() <= BROADCAST_ROWS
     root = model.where("s = ''").select("lama", "lamr").first()
@@ -103,9 +104,10 @@ def score(urls: DataFrame, model: DataFrame, key: str = "row") -> DataFrame:
 
 
 def threshold(scored: DataFrame) -> float:
-    """The score, in steps of BIN, above which (score, accepted) rows are best called accepted, by the mean of both classes'
+    """The score, in steps of BIN, above which (score, accepted) rows (with a weight, if one stands for several) are best called accepted, by the mean of both classes'
     shares of right calls; the one nearest zero of equals, 0 where a class is missing. Scores are gathered to a bounded number of bins."""
-    bins = scored.groupBy(F.least(F.greatest(F.floor(F.col("score") / BIN), F.lit(-2000)), F.lit(2000)).alias("b")).agg(F.count(F.when(F.col("accepted"), 1)).alias("a"), F.count(F.when(~F.col("accepted"), 1)).alias("r"))
+    w = F.col("weight") if "weight" in scored.columns else F.lit(1)
+    bins = scored.groupBy(F.least(F.greatest(F.floor(F.col("score") / BIN), F.lit(-2000)), F.lit(2000)).alias("b")).agg(F.sum(F.when(F.col("accepted"), w).otherwise(0)).alias("a"), F.sum(F.when(~F.col("accepted"), w).otherwise(0)).alias("r"))
     below, all_rows = W.orderBy("b").rowsBetween(W.unboundedPreceding, -1), W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     share = F.try_divide(F.sum("a").over(all_rows) - F.coalesce(F.sum("a").over(below), F.lit(0)), F.sum("a").over(all_rows))
     share = share + F.try_divide(F.coalesce(F.sum("r").over(below), F.lit(0)), F.sum("r").over(all_rows))
@@ -113,11 +115,11 @@ def threshold(scored: DataFrame) -> float:
     return best["b"] * BIN if best is not None else 0.0
 
 
-def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str]] = RULES, fit_urls: int = FIT_URLS) -> DataFrame:
+def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
     """(id, host, path, rule, verdict, score) of every row: the longest rule's verdict, else the models'.
 
-    The URLs that rules allow or block are the labelled rows: a sample of about fit_urls of each class, by hash, teaches
-    the models, and those left out of the fit (a fifth) set the threshold. Null URLs, and those without ://, have an
+    The URLs that rules allow or block are the labelled rows. All of them teach the models; models of four fifths of them,
+    by hash, are held against the rest to set the threshold (0 where that leaves a class without URLs). Null URLs, and those without ://, have an
     empty host and path, no rule, and are judged by their only symbol, the end mark. Without URLs of both classes all
     scores of the rest are as the models of nothing give them (0 at threshold 0: allow). Repeated rows are judged alike
     and returned as often as they came; an empty table gives an empty table. Other columns are not read.
@@ -126,12 +128,15 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     df = pages.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"))
     rule, verdict = matched(F.col("host"), F.col("path"), rules)
     df = stored(df.withColumns({"rule": rule, "said": verdict, "row": F.monotonically_increasing_id()}), "urls")
-    labelled = df.where("said is not null").withColumn("accepted", F.col("said") == "allow").withColumn("h", F.xxhash64("host", "path"))
-    sizes = {r["accepted"]: r["count"] for r in labelled.groupBy("accepted").count().collect()}  # two rows
-    share = F.when(F.col("accepted"), min(1.0, fit_urls / max(1, sizes.get(True, 0)))).otherwise(min(1.0, fit_urls / max(1, sizes.get(False, 0))))
-    sample = labelled.where(F.pmod(F.shiftright("h", 8), F.lit(1_000_000)) < share * 1_000_000).withColumn("held", F.pmod("h", F.lit(5)) == 0)
-    model = fit(sample.where("not held"))
-    line = threshold(score(sample.where("held"), model).join(sample.select("row", "accepted"), "row"))
+    # equal URLs, which have equal rules, count by their number
+    labelled = df.where("said is not null").groupBy("host", "path", (F.col("said") == "allow").alias("accepted")).agg(F.count(F.lit(1)).alias("weight"))
+    labelled = labelled.withColumns({"row": F.xxhash64("host", "path"), "held": F.pmod(F.xxhash64("path", "host"), F.lit(5)) == 0})
+    labelled = stored(labelled, "labelled-urls")
+    taught, held = labelled.where("not held"), labelled.where("held")
+    line = 0.0
+    if taught.agg(F.count_distinct("accepted")).first()[0] == 2:
+        line = threshold(score(held.select("row", "host", "path"), fit(taught, 1)).join(held.select("row", "accepted", "weight"), "row"))
+    model = fit(labelled, 1)
     out = df.join(score(df, model), "row", "left")
     said = F.coalesce("said", F.when(F.col("score") >= line, "allow").otherwise("block"))
     return out.select("id", "host", "path", "rule", said.alias("verdict"), "score")

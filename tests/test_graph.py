@@ -76,6 +76,22 @@ def test_dbscan_finds_the_groups(points):
     assert got[120] == -1 and len({got[i] for i in range(120)}) == 3
 
 
+def test_k_distances_of_all_rows(spark):
+    """More rows than one block, or than any sample of the curve."""
+    x = np.random.default_rng(3).normal(size=(5200, 3))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    kth = np.sort(d, axis=1)[:, 5]  # the row itself comes first
+    curve = vectors.k_distances(df, 5)
+    got = curve.orderBy("place").collect()
+    assert [r.place for r in got] == list(range(1, 5201)) and sorted((-r.kth, r.id) for r in got) == [(-r.kth, r.id) for r in got]
+    assert all(abs(r.kth - kth[r.id]) < 2e-6 for r in got)
+    y = np.array([r.kth for r in got])
+    off = 1 - np.arange(5200) / 5199 - (y - y[-1]) / (y[0] - y[-1])
+    assert vectors.knee(curve).first().eps == y[np.round(off, 9).argmax()]
+    assert vectors.k_distances(df.limit(5), 5).count() == 0
+
+
 def test_nearest_is_exact(points):
     x, df = points
     got = vectors.nearest(df, df.where("id < 5"), 3, "euclidean", drop_self=True).orderBy("query_id", "rank").collect()

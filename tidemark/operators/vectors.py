@@ -158,17 +158,44 @@ def dbscan(rows: DataFrame, eps: float, min_samples: int) -> DataFrame:
     return out.select("id", F.coalesce("cluster_id", "border", F.lit(-1)).cast("long").alias("cluster_id"))
 
 
-def k_distances(rows: DataFrame, k: int = 5, sample: int = 5000) -> DataFrame:
-    """(id, kth, place): distance to the k-th nearest other row, in descending order, for a bounded sample of rows by hash."""
-    q = rows.withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(sample).select("id", "vec")
-    d = nearest(rows, q, k, "euclidean", drop_self=True).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.round(-F.col("score"), 6).alias("kth"))
-    return d.withColumn("place", F.row_number().over(W.orderBy(F.desc("kth"), "id")).cast("long"))  # the sample
+def k_distances(rows: DataFrame, k: int = 5) -> DataFrame:
+    """(id, kth, place): distance of every row to its k-th nearest other row, in descending order; none where there are
+    fewer others.
+
+    Rows are dealt to blocks of about BLOCK by hash, and every two blocks meet in one group, which sends the k least
+    distances of its rows: each pair of rows is compared, in bounded pieces.
+    """
+    blocks = -(-rows.count() // BLOCK) or 1
+
+    def least(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, ids, b = np.array(pdf["vec"].tolist(), np.float64), pdf["id"].to_numpy(), pdf["b"].to_numpy()
+        norm, out = (x * x).sum(1), []
+        for mine, other in {(pdf["lo"].iloc[0], pdf["hi"].iloc[0]), (pdf["hi"].iloc[0], pdf["lo"].iloc[0])}:
+            q, y = np.flatnonzero(b == mine), np.flatnonzero(b == other)
+            for s in range(0, len(q) if len(y) else 0, 512):
+                i = q[s : s + 512]
+                d = norm[i][:, None] + norm[y][None] - 2 * x[i] @ x[y].T
+                d[ids[i][:, None] == ids[y][None]] = np.inf
+                d = np.sqrt(np.maximum(np.partition(d, k - 1, axis=1)[:, :k] if k < len(y) else d, 0))
+                out.append(pd.DataFrame({"id": ids[i], "d": [v[np.isfinite(v)] for v in d]}))
+        return pd.concat(out) if out else pd.DataFrame({"id": pd.Series([], dtype="int64"), "d": pd.Series([], dtype=object)})
+
+    dealt = rows.select("id", "vec").withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select("id", "vec", "b", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"))
+    d = dealt.groupBy("lo", "hi").applyInPandas(least, "id long, d array<double>").groupBy("id").agg(F.sort_array(F.flatten(F.collect_list("d"))).alias("d"))
+    d = d.where(F.size("d") >= k).select("id", F.round(F.col("d")[k - 1], 6).alias("kth"))
+    # places: those in a range of the order, behind those of the ranges before it
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = stored(d.repartitionByRange(parts, F.desc("kth"), "id").withColumn("part", F.spark_partition_id()), "k-distances")
+    before = F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))  # a row a partition
+    before = d.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    place = F.row_number().over(W.partitionBy("part").orderBy(F.desc("kth"), "id")) + F.col("before")
+    return d.join(before, "part").select("id", "kth", place.cast("long").alias("place"))
 
 
 def knee(curve: DataFrame) -> DataFrame:
     """One row (eps): the point of a k-distance curve that lies furthest from the line between its ends."""
-    ends = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    c = curve.withColumns({"y0": F.max("kth").over(ends), "y1": F.min("kth").over(ends), "n": F.max("place").over(ends)})
+    c = curve.crossJoin(F.broadcast(curve.agg(F.max("kth").alias("y0"), F.min("kth").alias("y1"), F.max("place").alias("n"))))
     x, y = (F.col("place") - 1) / F.greatest(F.col("n") - 1, F.lit(1)), (F.col("kth") - F.col("y1")) / F.greatest(F.col("y0") - F.col("y1"), F.lit(1e-12))
     return c.withColumn("off", F.round(1 - x - y, 9)).orderBy(F.desc("off"), "place").limit(1).select(F.col("kth").alias("eps"))
 

@@ -187,6 +187,43 @@ def test_swaps_empty_a_bin():
     assert sorted(map(sorted, got)) == [[0, 1], [2, 3]]
 
 
+@pytest.mark.parametrize("low, high, n, saved", [(560, 760, 1500, 15), (300, 1030, 2000, 10), (400, 1200, 3000, 20)])
+def test_swaps_save_bins_that_best_fit_leaves(low, high, n, saved):
+    """Lengths of which best fit packs badly: the search saves bins, and each exchange keeps every item and the size."""
+    lengths = np.random.default_rng(3).integers(low, high + 1, n).tolist()
+    bins = packing.best_fit(lengths, 2048)
+    got = packing.swap_search([list(b) for b in bins], lengths, 2048)
+    assert sorted(i for b in got for i in b) == list(range(n)) and max(sum(lengths[i] for i in b) for b in got) <= 2048
+    squares = lambda bs: sum(sum(lengths[i] for i in b) ** 2 for b in bs)
+    assert len(got) <= len(bins) - saved and squares(got) > squares(bins)
+
+
+def test_ids_are_the_tokenizers():
+    """Letters that normalise to a letter and marks, before each sign, and random strings of awkward characters."""
+    import unicodedata
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    chars = [chr(i) for i in range(0x30000) if not 0xD800 <= i < 0xE000]
+    several = [c for c in chars if len(unicodedata.normalize("NFC", c).lower()) > 1]
+    rng = np.random.default_rng(6)
+    some = [*several, *".,;:!?*&$#%|'", *"abcHTWYJdltsvm", " ", "\n", "\u0331", "\u0308", "\u0344", "\u3000", "<|endoftext|>", "'s", *rng.choice(chars, 60)]
+    texts = [c + s for c in several for s in ".,;:!?*&$#%|"] + ["ALİ, VELİ!", "H\u0331. T\u0308,", ""]
+    texts += ["".join(rng.choice(some, int(rng.integers(1, 20)))) for _ in range(4000)]
+    full, chunks = Tokenizer.from_file(packing.tokenizer_path()), packing.Chunks(packing.tokenizer_path())
+    ids, ends = chunks.encoded(pa.array(texts), 0)
+    want = [[*e.ids, 0] for e in full.encode_batch(texts, add_special_tokens=False)]
+    assert ids.tolist() == [x for w in want for x in w] and ends.tolist() == np.cumsum([len(w) for w in want]).tolist()
+
+
+def test_pieces_that_never_fill_a_sequence(spark):
+    """Every sequence is an emptier one: the second deal is in groups of the same size as the first."""
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.expr("repeat('a ', cast(1100 + id % 300 as int))").alias("text"))
+    got = packing.pack_documents(df, group_pieces=500).groupBy("sequence_id").count().collect()
+    assert len(got) == 3000 and {r["count"] for r in got} == {1}
+
+
 def test_pack_edge_cases(spark):
     from tokenizers import Tokenizer
 

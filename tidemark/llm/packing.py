@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -15,9 +16,15 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import once, slices, stored
 
 TOKENIZER = "word_bpe_49k.json"
-#: Pieces that one task packs together, groups whose emptier sequences are packed once more, and the fill that counts as emptier.
-GROUP_PIECES, GROUPS_AGAIN, EMPTIER = 4096, 64, 0.985
-_MAX_CHUNKS, _SIGNS = 600_000, b".,;:!?*&$#%|"
+#: Pieces that one task packs together, and the fill below which sequences are packed once more.
+GROUP_PIECES, EMPTIER = 4096, 0.985
+#: Steps of a group's search in which no sequence is saved, after which it ends.
+SEARCH_STEPS = 2000
+_MAX_CHUNKS, _SIGNS = 400_000, ".,;:!?*&$#%|"
+#: Bytes of text that are split at once, and chunks whose ids are put together at once.
+_SLICE, _RUN = 12_000_000, 500_000
+#: What a special token begins with, and combining marks.
+_CASED = r"<\||[\x{300}-\x{37f}]"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -34,38 +41,70 @@ class Chunks:
         from tokenizers import Tokenizer
 
         self.encode = Tokenizer.from_file(path).encode_batch_fast
-        self.ids: dict[bytes, bytes] = {}
+        self.ids: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def encoded(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
+    def _learn(self, chunks: list[str]) -> None:
+        """Encode the chunks that aren't held yet. Of two tables the older one goes when the newer one is full, so that
+        frequent chunks stay."""
         if len(self.ids) > _MAX_CHUNKS:
-            self.ids = {}
-        # the vocabulary is of lower case; only a special token's own text must keep its case
-        parts = [(x if b"<|" in x else x.lower()).split() for x in texts]
-        # behind a letter, closing signs are tokens of their own: `word,` is `word` and `,`
-        whole, split = set(), []
-        for x in set().union(*parts) - self.ids.keys():
-            word = x.rstrip(_SIGNS)
-            if 0 < len(word) < len(x) and word.decode()[-1].isalpha():
-                split.append((x, word, x[len(word) :]))
-                whole.update(split[-1][1:])
-            else:
-                whole.add(x)
-        new = list(whole - self.ids.keys())
+            self.ids, self.old = {}, self.ids
+        known, old = self.ids, self.old
+        # behind a letter that no normalisation joins to a sign, closing signs are tokens of their own
+        whole, split = [], []
+        for x in chunks:
+            if x not in known:
+                if x in old:
+                    known[x] = old[x]
+                    continue
+                word = x.rstrip(_SIGNS)
+                if 0 < len(word) < len(x) and (c := word[-1]) < "\u0250" and c.isalpha() and len(c.lower()) == 1:
+                    split.append((x, word, x[len(word) :]))
+                    whole += split[-1][1:]
+                else:
+                    whole.append(x)
+        new = []
+        for x in set(whole):
+            if x in old:
+                known[x] = old[x]
+            elif x not in known:
+                new.append(x)
         for i in range(0, len(new), 10_000):
             some = new[i : i + 10_000]
-            got = self.encode([x.decode("utf-8") for x in some], add_special_tokens=False)
-            self.ids.update(zip(some, (np.array(e.ids, "<u4").tobytes() for e in got)))
-        self.ids.update((x, self.ids[word] + self.ids[signs]) for x, word, signs in split)
-        return [b"".join(map(self.ids.__getitem__, p)) for p in parts]
+            known.update(zip(some, (array("I", e.ids).tobytes() for e in self.encode(some, add_special_tokens=False))))
+        known.update((x, known[word] + known[signs]) for x, word, signs in split)
+
+    def encoded(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one behind the other, each closed by `end`, and where each text's ids end. Null is empty."""
+        texts = texts.fill_null(b"" if pa.types.is_binary(texts.type) else "").view(pa.string())
+        # the vocabulary is of lower case: only a special token's own text, and capitals before a combining mark, which
+        # compose to other letters than small ones do, must keep their case
+        small = pc.if_else(pc.match_substring_regex(texts, _CASED), texts, pc.ascii_lower(texts))
+        lists = pc.ascii_split_whitespace(small)
+        found = lists.values.dictionary_encode()
+        chunks = [x.decode("utf-8", "replace") for x in found.dictionary.view(pa.binary()).to_pylist()]
+        self._learn(chunks)
+        known = list(map(self.ids.__getitem__, chunks))
+        size = np.fromiter(map(len, known), np.int64, len(known)) >> 2
+        known.append(np.array([end], "<u4").tobytes())
+        flat = np.frombuffer(b"".join(known), "<u4")
+        # after each text's chunks comes one more, which is the end id
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        word = np.insert(found.indices.to_numpy(), bounds[1:], len(size))
+        size = np.append(size, 1)
+        first = np.cumsum(size) - size
+        out = [flat[:0]]
+        for s in range(0, len(word), _RUN):
+            w = word[s : s + _RUN]
+            n = size[w]
+            out.append(flat[np.repeat(first[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+        return np.concatenate(out), np.cumsum(size[word])[bounds[1:] + np.arange(len(texts))]
 
 
 _PIECES = pa.schema([("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("crc", pa.int64())])
 
 
 def _cut(name: str, size: int, end: int):
-    tail = np.array([end], "<u4").tobytes()
-
     def run(batches):
         import os
 
@@ -75,12 +114,14 @@ def _cut(name: str, size: int, end: int):
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for s, e in _byte_slices(texts):
                 out = ([], [], [], [], [])
-                for doc, data in zip(ids[s:e], chunks.encoded([x.as_py() or b"" for x in texts.slice(s, e - s)])):
-                    data += tail
-                    for k, at in enumerate(range(0, len(data), 4 * size)):
-                        part = data[at : at + 4 * size]
-                        for column, v in zip(out, (doc, k, at // 4, len(part) // 4, zlib.crc32(part))):
+                data, ends = chunks.encoded(texts.slice(s, e - s), end)
+                data, begin = memoryview(data).cast("B"), 0
+                for doc, stop in zip(ids[s:e], ends.tolist()):
+                    for k, at in enumerate(range(begin, stop, size)):
+                        last = min(at + size, stop)
+                        for column, v in zip(out, (doc, k, at - begin, last - at, zlib.crc32(data[4 * at : 4 * last]))):
                             column.append(v)
+                    begin = stop
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _PIECES)], schema=_PIECES)
 
     return run
@@ -88,7 +129,7 @@ def _cut(name: str, size: int, end: int):
 
 def _byte_slices(texts: pa.Array):
     sizes = pc.binary_length(texts).fill_null(0).to_pylist()
-    return slices([range(n) for n in sizes])
+    return slices([range(n) for n in sizes], _SLICE)
 
 
 def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str = TOKENIZER, size: int = 2048, end: int = 0) -> DataFrame:
@@ -120,60 +161,74 @@ def best_fit(lengths: list[int], size: int) -> list[list[int]]:
     return bins
 
 
-def swap_search(bins: list[list[int]], lengths: list[int], size: int) -> list[list[int]]:
-    """Drain the emptiest bins into others by swaps, as long as bins can be saved.
+def swap_search(bins: list[list[int]], lengths: list[int], size: int, steps: int = SEARCH_STEPS) -> list[list[int]]:
+    """Exchange items between underfull bins, as long as bins can be saved, so that the sum of squared fills grows.
 
-    A step moves one item of the emptiest bin, or exchanges one or two of its items for a shorter one of a fuller bin;
-    the one that moves most is taken. Each makes the fuller bin fuller, so the sum of squared fills grows with every
-    step and the search ends. A bin that can't be drained is set aside; bins that get empty go.
+    A step takes one bin and the best exchange that it has with any other underfull one: none, one or two of its items
+    for none or one of the other's. Which of the two gets fuller is open, so moves, one for one and two for one are
+    tried in both directions. The sum grows with every step, so the search ends: when no bin has an exchange left, when
+    there are as few bins as the items' total allows, or after `steps` steps without a bin saved (the bound of its work).
     """
     least = -(-sum(lengths) // size)
-    fills = [sum(lengths[i] for i in b) for b in bins]
-    saved = len(bins) - least
-    stuck = 0
-    live = [b for b in range(len(bins)) if fills[b] < size]
-    while saved > 0 and len(live) > 1 and stuck < 8:
-        a = min(live, key=lambda b: (fills[b], b))
-        others = [b for b in live if b != a]
-        trial_bins = {b: list(bins[b]) for b in live}
-        trial_fill = {b: fills[b] for b in live}
-        while trial_fill[a]:
-            room = np.array([size - trial_fill[b] for b in others])
-            fuller = np.array([trial_fill[b] >= trial_fill[a] for b in others])
-            item = np.array([i for b in others for i in trial_bins[b]])
-            where = np.repeat(np.arange(len(others)), [len(trial_bins[b]) for b in others])
-            long = np.array([lengths[i] for i in item])
-            mine = trial_bins[a]
-            best = (0, None)
-            for k, i in enumerate(mine):
-                fits = np.where(fuller & (room >= lengths[i]), room, size + 1)
-                j = int(fits.argmin())
-                if fits[j] <= size and lengths[i] > best[0]:
-                    best = (lengths[i], ([i], None, j))
-                for give in [[i]] + [[i, x] for x in mine[k + 1 :]]:
-                    gain = sum(lengths[x] for x in give) - long
-                    gain = np.where((gain > 0) & (gain <= room[where]) & fuller[where], gain, 0)
-                    g = int(gain.argmax())
-                    if gain[g] > best[0]:
-                        best = (int(gain[g]), (give, int(item[g]), int(where[g])))
-            if best[1] is None:
+    long = np.array(lengths, np.int64)
+    of = np.empty(len(long), np.int64)
+    for b, items in enumerate(bins):
+        of[items] = b
+    fill = np.bincount(of, long, len(bins)).astype(np.int64)
+    used = len(bins)
+    idle = 0
+    while used > least:
+        live = np.flatnonzero((fill > 0) & (fill < size))
+        changed = False
+        items = np.flatnonzero((fill[of] > 0) & (fill[of] < size))
+        # items that are None of another bin: a pure move; one place for each live bin
+        for a in live[np.argsort(fill[live], kind="stable")]:
+            while 0 < fill[a] < size and idle < steps:
+                idle += 1
+                mine = items[of[items] == a]
+                give, sums = _sets(mine, long)
+                # what the other bin gives: one of its items, or nothing
+                at = np.concatenate([of[items], live])
+                take = np.concatenate([long[items], np.zeros(len(live), np.int64)])
+                d = take[None, :] - sums[:, None]  # what bin a gains
+                there = fill[at]
+                fits = np.where(d > 0, fill[a] + d <= size, there[None, :] - d <= size) & (at != a) & (there > 0)
+                gain = np.where(fits & (d != 0), d * (fill[a] - there[None, :] + d), 0)
+                k = int(gain.argmax())
+                if gain.flat[k] <= 0:
+                    break
+                g, t = divmod(k, len(at))
+                b, change = at[t], d[g, t]
+                of[give[g]] = b
+                if t < len(items):
+                    of[items[t]] = a
+                fill[a] += change
+                fill[b] -= change
+                changed = True
+                for c in (a, b):
+                    if fill[c] == 0:
+                        used, idle = used - 1, 0
+                if used <= least:
+                    break
+            if used <= least or idle >= steps:
                 break
-            give, take, j = best[1]
-            b = others[j]
-            trial_bins[a] = [x for x in mine if x not in give] + ([take] if take is not None else [])
-            trial_bins[b] = [x for x in trial_bins[b] if x != take] + give
-            trial_fill[a] -= best[0]
-            trial_fill[b] += best[0]
-            if trial_fill[b] == size and len(others) > 1:
-                others = [x for x in others if x != b]
-        for b in live:
-            bins[b], fills[b] = trial_bins[b], trial_fill[b]
-        if fills[a]:
-            stuck += 1
-        else:
-            saved -= 1
-        live = [b for b in live if b != a and 0 < fills[b] < size]
-    return [b for b in bins if b]
+        if not changed or idle >= steps:
+            break
+    out: list[list[int]] = [[] for _ in bins]
+    for i, b in enumerate(of.tolist()):
+        out[b].append(i)
+    return [x for x in out if x]
+
+
+def _sets(mine: np.ndarray, long: np.ndarray) -> tuple[list[list[int]], np.ndarray]:
+    """Nothing, one and two of the items, one choice for each sum of lengths, and the sums."""
+    each: dict[int, list[int]] = {0: []}
+    for i in mine.tolist():
+        each.setdefault(int(long[i]), [i])
+    for x, i in enumerate(mine.tolist()):
+        for j in mine[x + 1 :].tolist():
+            each.setdefault(int(long[i] + long[j]), [i, j])
+    return list(each.values()), np.array(list(each), np.int64)
 
 
 def pack(lengths: list[int], size: int) -> list[list[int]]:
@@ -200,26 +255,26 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, piece, start, length, crc, sequence_id, offset) of every piece; sequences hold at most `size` tokens.
 
     Pieces are dealt by hash to groups of about group_pieces, each of which one task packs by best fit and swap search;
-    the emptier sequences of many groups are then packed together once more. Whole pieces fill a sequence by themselves.
+    the pieces of the emptier sequences are then dealt out and packed once more, in groups of the same size. Whole pieces
+    fill a sequence by themselves.
     Null text is empty: its document is the end id alone. Documents with a null id, and rows that repeat one, are packed
     as documents of their own. An empty table gives an empty table. Other columns are not read.
     """
     cut = stored(pieces(docs, id_col, text_col, tokenizer, size, end).withColumn("row", F.monotonically_increasing_id()), "pieces")
     part = cut.where(F.col("length") < size)
-    out = "id long, piece int, start long, length long, crc long, row long, seq long, offset long, fill long"
-    groups = max(1, -(-part.count() // group_pieces))
+    out = "id long, piece int, start long, length long, crc long, row long, g long, seq long, offset long, fill long"
     cols = ["id", "piece", "start", "length", "crc", "row"]
-    once_packed = part.withColumn("g", F.pmod(F.xxhash64("id", "piece", "row"), F.lit(groups)))
-    once_packed = stored(once_packed.groupBy("g").applyInPandas(_packer(size), _with_g(out)), "packed")
+
+    def packed(rows: DataFrame, salt: int) -> DataFrame:
+        groups = max(1, -(-rows.count() // group_pieces))
+        dealt = rows.select(*cols, F.pmod(F.xxhash64(F.lit(salt), "id", "piece", "row"), F.lit(groups)).alias("g"))
+        return dealt.groupBy("g").applyInPandas(_packer(size), out)
+
+    once_packed = stored(packed(part, 0), "packed")
     full = F.col("fill") >= F.lit(int(EMPTIER * size))
-    again = once_packed.where(~full).select(*cols, F.expr(f"g div {GROUPS_AGAIN}").alias("g"))
-    again = again.groupBy("g").applyInPandas(_packer(size), _with_g(out))
+    again = packed(once_packed.where(~full), 1)
     keep = [*cols[:-1], "sequence_id", "offset"]
     whole = cut.where(F.col("length") == size).select(*cols[:-1], (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     first = once_packed.where(full).select(*cols[:-1], (F.col("seq") * 2).alias("sequence_id"), "offset")
     last = again.select(*cols[:-1], (F.col("seq") * 2 + 1).alias("sequence_id"), "offset")
     return whole.unionByName(first).unionByName(last).select(*keep)
-
-
-def _with_g(schema: str) -> str:
-    return schema.replace("row long,", "row long, g long,")

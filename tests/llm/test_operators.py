@@ -396,10 +396,87 @@ def test_toxicity_finds_disguised_words(spark):
     assert got[905].score > got[902].score
 
 
-def test_a_letter_more_is_nearer_than_other_words():
-    m = toxicity.Machine(["idiot"], np.ones(1), 0.0)
-    near, far = m.values(["idxiot", "idioot"]), m.values(["alpha", "orange", "window"])
-    assert near.min() > far.max()
+def test_subsequence_kernel_is_the_plain_one():
+    """Kernel of whole words and of windows of longer ones, against sums over all triples of letters."""
+    import math
+    from collections import defaultdict
+
+    def phi(word, start=True):
+        x = ("^" if start else "") + word
+        got = defaultdict(float)
+        for i in range(len(x)):
+            for j in range(i + 1, min(len(x), i + 5)):
+                for k in range(j + 1, min(len(x), j + 5)):
+                    if k - i <= 6:
+                        got[x[i] + x[j] + x[k]] += toxicity.DECAY ** (k - i - 2)
+        return got
+
+    def slow(a, b):
+        dot = sum(v * b.get(g, 0) for g, v in a.items())
+        norm = lambda p: math.sqrt(max(1, sum(v * v for v in p.values())))
+        return dot / (norm(a) * norm(b))
+
+    marks = toxicity.Landmarks(["idiot", "scum", "pathetic", "orange"], 3)
+    words = ["idiot", "idxiot", "helloidiot", "x", "banana", "saidscumagain", "idiots", "apatheticman", "oranges", "anananana", "zzidiiotzz"]
+    got = marks.kernel(words)
+    for i, w in enumerate(words):
+        for j, m in enumerate(marks.marks):
+            whole = slow(phi(w), phi(m))
+            inside = [slow(phi(w[t : t + n], False), phi(m)) for n in range(len(m), len(m) + 3) for t in range(len(w) - n + 1) if n < len(w)] if j < 3 else []
+            want = max([whole, *[v for v in inside if v >= toxicity.LEAST_INSIDE]])
+            assert got[i, j] == pytest.approx(want, abs=1e-5) or got[i, j] == pytest.approx(max([whole, *inside]), abs=1e-5)
+
+
+def test_long_words_are_covered_by_stretches():
+    for n in (5, 24, 25, 60, 301):
+        word = "".join("abcdefghijklmnopqrstuvwxyz"[i * 7 % 26] for i in range(n))
+        parts = toxicity.forms(word)
+        assert max(map(len, parts)) <= toxicity.LONG and all(any(word[i : i + 12] in p for p in parts) for i in range(max(1, n - 11)))
+    assert toxicity.forms("bl-enk.ard") == ["blenkard", "enk", "ard"] and toxicity.forms("12-!") == [] and toxicity.forms("you-id1ot!") == ["youidiot", "you", "idiot"]
+
+
+def test_whitening_gives_the_kernel_back():
+    marks = toxicity.Landmarks(["idiot", "moron", "scum", "window", "orange"], 3)
+    root = toxicity.whitening(marks)
+    x = np.concatenate(toxicity.gaussians(marks.kernel(marks.marks).astype(float)), axis=1) @ root
+    want = sum((k + k.T) / 2 for k in toxicity.gaussians(marks.kernel(marks.marks).astype(float)))
+    assert x @ x.T == pytest.approx(want, abs=0.02)
+
+
+def test_svm_is_at_its_optimum():
+    rng = np.random.default_rng(5)
+    x, weight = rng.normal(size=(80, 4)), rng.uniform(0.5, 2, 80)
+    y = np.sign(x[:, 0] + 0.5 * rng.normal(size=80))
+
+    def loss(w):
+        return (w[:-1] @ w[:-1] + 1e-3 * w[-1] ** 2) / 2 + 0.7 * (weight * np.maximum(1 - y * (x @ w[:-1] + w[-1]), 0) ** 2).sum()
+
+    w = toxicity.fit_svm(x, y, weight, 0.7)
+    assert all(loss(w) <= loss(w + d * e) + 1e-9 for e in np.eye(5) for d in (-0.01, 0.01))
+
+
+def test_toxic_words_glued_and_with_letters_inserted(spark):
+    """Plain words, and in disguise, in texts of the same kind that the fit didn't see; clean texts stay clean."""
+    bad = ["zorgwit", "blenkard", "murgface", "plomdunk"]
+    rng = np.random.default_rng(2)
+    rows = [(i, prose(i, 40) + (" " + bad[i // 2 % 4] + " " if i % 2 else " ") + prose(i + 1000, 20)) for i in range(500)]
+    labels = spark.createDataFrame([(i, i % 2 if i % 50 else None) for i in range(500)], "doc_id long, toxic int")
+
+    def more(word, n):
+        for _ in range(n):
+            i = int(rng.integers(1, len(word)))
+            word = word[:i] + "qxyz"[rng.integers(4)] + word[i:]
+        return word
+
+    kinds = {"plain": lambda w: w, "one": lambda w: more(w, 1), "two": lambda w: more(w, 2), "glued": lambda w: "hello" + w, "inside": lambda w: "said" + w + "again", "sign": lambda w: "you-" + w, "split": lambda w: w[:3] + " " + w[3:], "none": lambda w: "such"}
+    extra = [(10_000 + 100 * k + i, prose(7000 + i, 30) + " " + f(bad[i % 4]) + " " + prose(8000 + i, 30)) for k, f in enumerate(kinds.values()) for i in range(40)]
+    again = [(20_000, LONG + " murgface"), (20_000, LONG + " murgface"), (20_001, LONG)]
+    got = toxicity.toxicity_scores(frame(spark, rows + extra + again), labels).collect()
+    by = {r.id: r.predicted for r in got}
+    share = {name: np.mean([by[10_000 + 100 * k + i] for i in range(40)]) for k, name in enumerate(kinds)}
+    assert len(got) == len(rows + extra + again) and share["none"] == 0
+    assert min(share[k] for k in ("plain", "one", "glued", "inside", "sign", "split")) >= 0.95 and share["two"] >= 0.8, share
+    assert len({r.score for r in got if r.id == 20_000}) == 1 and by[20_001] == 0
 
 
 def test_viterbi_is_the_best_path():

@@ -90,8 +90,8 @@ class WordTable:
             self.ids.update(zip(new, range(n, n + len(new))))
         return np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
 
-    def trim(self) -> None:
-        if len(self.ids) > MAX_WORDS:
+    def trim(self, most: int = MAX_WORDS) -> None:
+        if len(self.ids) > most:
             self.clear()
 
 

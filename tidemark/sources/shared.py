@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder where it is unset, as on one machine."""
+    """spark.checkpoint.dir of the session. Where it is unset, a temporary folder if Spark runs in one process, else
+    ValueError: the executors of a cluster don't see each other's own folders."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = getattr(spark, "_tidemark_root", None)
         if root is None:
             root = spark._tidemark_root = "file://" + tempfile.mkdtemp(prefix="tidemark-")

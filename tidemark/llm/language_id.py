@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WordTable, crc_mod, hashed_sample, once
+from tidemark.llm.common import WordTable, crc_mod, hashed_sample, once, slices
 from tidemark.llm.models import fitted
 
 #: Labelled rows that the fit reads at most, hash buckets for each n-gram length as a power of two, n-gram lengths, letters
@@ -29,10 +29,22 @@ SCRIPTS = (
 _STARTS = np.array([s for s, _ in SCRIPTS])
 NAMES = list(dict.fromkeys(n for _, n in SCRIPTS))
 _NUMBER = np.array([NAMES.index(n) for _, n in SCRIPTS])
+#: Signs, digits and marks around a word; what is left may still begin or end with numerals that are no letters.
 EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
+def bare(word: str) -> str:
+    """The word from its first letter to its last one; empty if it has none."""
+    if word.isalpha():
+        return word
+    word = EDGE.sub("", word)
+    if word and not (word[0].isalpha() and word[-1].isalpha()):
+        letters = [i for i, c in enumerate(word) if c.isalpha()]
+        word = word[letters[0] : letters[-1] + 1] if letters else ""
+    return word
+
+
 def script_of(word: str) -> int:
     return int(_NUMBER[np.searchsorted(_STARTS, ord(word[0]), side="right") - 1])
 
@@ -63,7 +75,7 @@ def fit_scores(texts: list[str], labels: list[str]) -> dict[str, np.ndarray]:
     langs = sorted(set(labels))
     counts = [Counter() for _ in langs]
     for x, y in zip(texts, labels):
-        counts[langs.index(y)].update(w for t in x.lower().split() if (w := EDGE.sub("", t)))
+        counts[langs.index(y)].update(w for t in x.lower().split() if (w := bare(t)))
     size = (len(LENGTHS) + 1) << BITS
     table = np.zeros((size, len(langs)), np.float32)
     scripts = np.zeros((len(NAMES), len(langs)))
@@ -99,7 +111,7 @@ class Speller:
         out = np.zeros((len(words), len(self.langs) + 1), np.float32)
         parts, of = [], []
         for i, w in enumerate(words):
-            w = EDGE.sub("", w)
+            w = bare(w)
             for p in _parts(w) if len(w) > WIDTH else (w,) if w else ():
                 parts.append(p)
                 of.append(i)
@@ -218,20 +230,27 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
         speller, table = once(("language", mark), make)
         k = len(speller.langs)
+
+        def labelled(texts):
+            n = len(texts)
+            state, letter, lens = label_words(texts, speller, table, switch)
+            of = np.repeat(np.arange(n), lens)[letter]
+            votes = np.bincount(of * k + state[letter], minlength=n * k).reshape(n, k)
+            top, total = votes.argmax(axis=1), votes.sum(axis=1)
+            ends = np.cumsum(lens)
+            runs = [spans(state[e - m : e], speller.langs) for e, m in zip(ends, lens)] if with_spans else []
+            return [speller.langs[t] if m else "und" for t, m in zip(top, total)], (votes[np.arange(n), top] / np.maximum(total, 1)).tolist(), runs
+
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
             n = len(texts)
             if not k:
                 columns = [["und"] * n, [0.0] * n, [[]] * n]
             else:
-                state, letter, lens = label_words(texts, speller, table, switch)
-                of = np.repeat(np.arange(n), lens)[letter]
-                votes = np.bincount(of * k + state[letter], minlength=n * k).reshape(n, k)
-                top, total = votes.argmax(axis=1), votes.sum(axis=1)
-                columns = [[speller.langs[t] if m else "und" for t, m in zip(top, total)], votes[np.arange(n), top] / np.maximum(total, 1)]
-                if with_spans:
-                    ends = np.cumsum(lens)
-                    columns.append([spans(state[e - m : e], speller.langs) for e, m in zip(ends, lens)])
+                columns = [[], [], []]
+                for a, b in slices(texts):
+                    for column, part in zip(columns, labelled(texts[a:b])):
+                        column.extend(part)
             columns = [batch.column(0), *columns][: len(schema)]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 

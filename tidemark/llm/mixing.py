@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import WORD, stored
 
-#: Rows that a running sum holds in one group, and the resolution of virtual time for finding where the budget ends.
-GROUP_ROWS, TICKS = 512, 16_384
+#: Rows that a running sum holds in one group, groups in a stretch, the resolution of virtual time for finding where the
+#: budget ends, how many copies there are ordered at once, and how often the place is narrowed down to get there.
+GROUP_ROWS, STRETCH, TICKS, ORDERED, NARROWER = 512, 4096, 16_384, 200_000, 3
 
 
 def shuffle_key(id_col: str, seed: str = "") -> Column:
@@ -65,8 +66,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     width = F.floor(F.lit(float(1 << 60)) / F.ceil(F.col("n") / GROUP_ROWS)) + 1
     rows = rows.withColumn("piece", F.floor(F.col("ord") / width))
     sums = rows.groupBy("rank", "piece").agg(F.sum("size").alias("words"))
-    start = W.partitionBy("rank").orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select(F.col("rank").alias("r"), F.col("piece").alias("p"), F.coalesce(F.sum("words").over(start), F.lit(0)).alias("before"))
+    # sums of pieces start from sums of stretches of pieces: no window holds more than a small share of a source
+    sums = stored(sums.withColumn("stretch", F.floor(F.col("piece") / STRETCH)), "piece-sums")
+    before = lambda by, over: F.coalesce(F.sum("words").over(W.partitionBy(*by).orderBy(over).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    long = sums.groupBy("rank", "stretch").agg(F.sum("words").alias("words"))
+    long = long.select(F.col("rank").alias("r"), F.col("stretch").alias("s"), before(["rank"], "stretch").alias("start"))
+    sums = sums.withColumn("before", before(["rank", "stretch"], "piece")).join(long, (F.col("rank") == F.col("r")) & (F.col("stretch") == F.col("s")))
+    sums = sums.select("r", F.col("piece").alias("p"), (F.col("before") + F.col("start")).alias("before"))
     within = W.partitionBy("rank", "piece").orderBy("ord", "id", "size").rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("upto", F.sum("size").over(within))
     rows = rows.join(sums, (F.col("rank") == F.col("r")) & (F.col("piece") == F.col("p"))).drop("r", "p", "n", "piece")
@@ -79,15 +85,25 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rounds = F.least(F.lit(max_repeat), F.floor(F.col("target") / F.col("source_size")) + 1).cast("int")
     copies = rows.where("size > 0").withColumn("round", F.explode(F.sequence(F.lit(0), rounds - 1)))
     copies = copies.select(finish(F.col("round")).alias("at"), "rank", "ord", "id", "round", "size")
-    ticks = copies.groupBy(F.least(F.floor(F.col("at") * TICKS), F.lit(4 * TICKS)).alias("tick")).agg(F.sum("size").alias("words"))
-    upto = ticks.withColumn("upto", F.sum("words").over(W.orderBy("tick").rowsBetween(W.unboundedPreceding, 0)))  # at most 4 x TICKS rows
-    over = upto.where(F.col("upto") > budget).orderBy("tick").first()
+    # the stretch of virtual time in which the budget ends, narrowed down until its copies are few enough to be ordered
+    low, width, done = 0.0, 1.0 / TICKS, 0
+    over = None
+    for _ in range(NARROWER):
+        tick = F.least(F.floor((F.col("at") - low) / width), F.lit(4 * TICKS))
+        ticks = copies.groupBy(tick.alias("tick")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
+        upto = ticks.withColumn("upto", F.sum("words").over(W.orderBy("tick").rowsBetween(W.unboundedPreceding, 0)) + done)  # at most 4 x TICKS rows
+        over = upto.where(F.col("upto") > budget).orderBy("tick").first()
+        if over is None:
+            break
+        copies, done = copies.where(tick == over["tick"]), over["upto"] - over["words"]
+        if over["n"] <= ORDERED or over["tick"] == 4 * TICKS:
+            break
+        low, width = low + over["tick"] * width, width / TICKS
     last = F.lit(True)
     if over is not None:
-        # only in this tick does the order of single copies matter
-        tick = copies.where(F.least(F.floor(F.col("at") * TICKS), F.lit(4 * TICKS)) == over["tick"])
+        # only here does the order of single copies matter
         order = ["at", "rank", "ord", "id", "round"]
-        run = tick.withColumn("upto", F.sum("size").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)) + (over["upto"] - over["words"]))
+        run = copies.withColumn("upto", F.sum("size").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)) + done)
         end = run.where(F.col("upto") > budget).orderBy("upto").select(*order).first()
         stop = F.struct(*[F.lit(end[c]).alias(c) for c in order])
         last = F.lit(False)

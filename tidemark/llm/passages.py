@@ -19,8 +19,11 @@ SHINGLE, REACH, BANDS, SIMILAR, REPEAT_WORDS = 5, 6, 3, 0.8, 22
 #: Bands of a whole paragraph (they miss 0.2 ** 4), and words of one at least: shorter ones are only similar if equal, and
 #: equal ones have equal passages.
 PARAGRAPH_BANDS, PARAGRAPH_WORDS = 4, 8
-#: Bits of an identifier: document's row in its partition and passage in its document; the rest is the partition.
-ROW_BITS, PASSAGE_BITS = 22, 21
+#: Bits of an identifier for a passage in its document; the others are shared by the partition, as many as it needs, and
+#: the document's row in it.
+PASSAGE_BITS, ROW_AND_PARTITION_BITS = 21, 42
+#: Rows of a bucket that a task holds at most.
+HELD = 200_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _PI = np.uint64(pow(int(_P), -1, 1 << 64))
 _WHOLE = np.uint64(0xA24BAED4963EE407)  # keeps the keys and digests of paragraphs apart from those of passages
@@ -133,11 +136,22 @@ def _keys(shingle: np.ndarray, of: np.ndarray, n: int, bands: int, salt: np.uint
     return keys + [np.zeros(n, np.uint64)] * (PARAGRAPH_BANDS - bands)
 
 
-def _cut(batches):
+def _cut(partitions: int):
     """Rows of passages and, with ~uid of its first passage for a uid, of paragraphs. Equal ones of one batch are joined
-    here, before any shuffle: `local` is the first of them."""
+    here, before any shuffle: `local` is the first of them. OverflowError where a number doesn't fit into its bits."""
+    row_bits = ROW_AND_PARTITION_BITS - max(1, (partitions - 1).bit_length())
+
+    def run(batches):
+        number = TaskContext.get().partitionId()
+        if number >= 1 << (ROW_AND_PARTITION_BITS - row_bits):
+            raise OverflowError("more partitions than planned")
+        yield from _cut_rows(batches, number << (row_bits + PASSAGE_BITS), 1 << row_bits)
+
+    return run
+
+
+def _cut_rows(batches, part: int, most_rows: int):
     rows = 0
-    part = TaskContext.get().partitionId() << (ROW_BITS + PASSAGE_BITS)
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         texts = batch.column(1)
@@ -148,6 +162,8 @@ def _cut(batches):
             n, first = len(got["doc"]), got["p_first"]
             if not n:
                 continue
+            if rows + e > most_rows or got["number"].max() >> PASSAGE_BITS:
+                raise OverflowError("a partition has too many rows, or a text too many passages, for their identifiers")
             keys = _keys(got["shingle"], got["of"], n, BANDS, np.uint64(0))
             uid = part + ((rows + s + got["doc"]) << PASSAGE_BITS) + got["number"]
             parts.append((uid, ids[s + got["doc"]], got["start"], got["end"], got["words"], np.ones(n, np.int64), got["digest"].view(np.int64), *[k.view(np.int64) for k in keys]))
@@ -169,12 +185,22 @@ _FOUND = pa.schema([(c, pa.int64()) for c in ("rep", "uid", "sig", "member", "di
 
 def _grouped(batches):
     """From rows (key, uid, digest, band) sorted by key and digest: (rep, uid) of equal passages, from the first band, and
-    (sig, member, digest) of the buckets in which different ones meet; equal buckets have the same sig."""
-    held = None
+    (sig, member, digest) of the buckets in which different ones meet; equal buckets have the same sig, but for those of
+    more than HELD members, which are passed on as they come."""
+    held, large = None, None  # rows of the last key; the last row of a key that is too large to hold
     for batch in batches:
         rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        if large is not None:
+            n = int(np.searchsorted(rows[0], large[0, 0], side="right"))
+            part, rows = np.concatenate([large, rows[:, :n]], axis=1), rows[:, n:]
+            firsts = np.concatenate([[True], part[2, 1:] != part[2, :-1]])
+            yield from _equal(part, firsts)
+            part = part[:, firsts]
+            yield from _members(part[:, 1:], _mixed(part[0, 1:].view(np.uint64)))
+            large = part[:, -1:] if not rows.shape[1] else None
         if held is not None:
             rows = np.concatenate([held, rows], axis=1)
+            held = None
         if not rows.shape[1]:
             continue
         # the last key may go on in the next batch: all but one row of each of its digests can go already
@@ -187,10 +213,19 @@ def _grouped(batches):
         if not firsts.all():
             yield from _equal(held, firsts)
             held = held[:, firsts]
+        if held.shape[1] > HELD:
+            yield from _members(held, _mixed(held[0].view(np.uint64)))
+            held, large = None, held[:, -1:]
     if held is not None and held.shape[1]:
         yield from _buckets(held)
 
 
+def _members(rows, sig):
+    if rows.shape[1]:
+        nil = pa.nulls(rows.shape[1], pa.int64())
+        yield pa.RecordBatch.from_arrays([nil, nil, pa.array(sig.view(np.int64)), pa.array(rows[1]), pa.array(rows[2])], schema=_FOUND)
+
+
 def _equal(rows, firsts):
     rep = rows[1][firsts][np.cumsum(firsts) - 1]
     more = ~firsts & (rows[3] == 0)
@@ -209,9 +244,7 @@ def _buckets(rows):
     of = np.cumsum(key_first) - 1
     sig = np.add.reduceat(_mixed(rows[1].view(np.uint64)), at)[of].view(np.int64)
     more = count[of] > 1
-    if more.any():
-        nil = pa.nulls(int(more.sum()), pa.int64())
-        yield pa.RecordBatch.from_arrays([nil, nil, pa.array(sig[more]), pa.array(rows[1][more]), pa.array(rows[2][more])], schema=_FOUND)
+    yield from _members(rows[:, more], sig[more])
 
 
 def _shingles(batches):
@@ -295,7 +328,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")).where("doc_id is not null")
-    cut = stored(df.mapInArrow(_cut, CUT), "passages")
+    cut = stored(df.mapInArrow(_cut(df.rdd.getNumPartitions()), CUT), "passages")
     band = [F.struct(F.col(f"k{i}").alias("key"), F.lit(i).cast("long").alias("band")) for i in range(PARAGRAPH_BANDS)]
     keys = F.explode(F.when(F.col("uid") < 0, F.array(*band)).otherwise(F.array(*band[:BANDS]))).alias("x")
     rows = cut.where("uid = local").select(keys, "uid", "digest").select("x.key", "uid", "digest", "x.band")

@@ -50,14 +50,14 @@ def _gram(k: int) -> Column:
     return F.substring("t", F.col("i") - k, F.lit(k + 1))
 
 
-def fit(urls: DataFrame, least: int = 2) -> DataFrame:
+def fit(urls: DataFrame) -> DataFrame:
     """The two models as one table, from urls (host, path, accepted boolean, and weight, if a row stands for several): s, and for each class (a: accepted, r: rejected)
     lp, the log-probability of the last symbol of s after the rest, and lam, the log of what s as a context leaves to
-    shorter ones (Witten-Bell). Null: not seen in that class. Grams seen less than `least` times altogether are left out."""
+    shorter ones (Witten-Bell). Null: not seen in that class."""
     urls = urls if "weight" in urls.columns else urls.withColumn("weight", F.lit(1))
     grams = _positions(urls, "accepted", "weight").select("accepted", "weight", F.explode(F.array(*[_gram(k) for k in range(ORDER + 1)])).alias("s"))
     n = {c: F.sum(F.when(F.col("accepted") == (c == "a"), F.col("weight")).otherwise(0)) for c in "ar"}
-    counts = stored(grams.groupBy("s").agg(n["a"].alias("a"), n["r"].alias("r")).where(F.col("a") + F.col("r") >= least), "grams")
+    counts = stored(grams.groupBy("s").agg(n["a"].alias("a"), n["r"].alias("r")), "grams")
     head = counts.withColumn("ctx", F.expr("substring(s, 1, length(s) - 1)"))
     sums = head.groupBy("ctx").agg(*[f.alias(x + c) for c in "ar" for x, f in (("n", F.sum(c)), ("kinds", F.count(F.when(F.col(c) > 0, 1))))])
     sums = stored(sums, "contexts")
@@ -135,8 +135,8 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     taught, held = labelled.where("not held"), labelled.where("held")
     line = 0.0
     if taught.agg(F.count_distinct("accepted")).first()[0] == 2:
-        line = threshold(score(held.select("row", "host", "path"), fit(taught, 1)).join(held.select("row", "accepted", "weight"), "row"))
-    model = fit(labelled, 1)
+        line = threshold(score(held.select("row", "host", "path"), fit(taught)).join(held.select("row", "accepted", "weight"), "row"))
+    model = fit(labelled)
     out = df.join(score(df, model), "row", "left")
     said = F.coalesce("said", F.when(F.col("score") >= line, "allow").otherwise("block"))
     return out.select("id", "host", "path", "rule", said.alias("verdict"), "score")

@@ -68,8 +68,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Texts are equal when their whole normalised bytes are; null counts as empty. The row with the largest id stays; of
     rows that repeat that id, one (null ids stay only where all of the group are null). Digests find candidate groups
-    through the state; then every hit's bytes are compared with those of the row that stays, and rows that only share a
-    digest are grouped by their bytes. An empty table gives an empty table. Other columns of docs are not read.
+    through the state; then rows of one digest are compared by their bytes, and those that only share a digest are grouped
+    by them. An empty table gives an empty table. Other columns of docs are not read.
     """
     spark = docs.sparkSession
     each = digest_table(docs, id_col, text_col, digest_bytes)
@@ -82,24 +82,23 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     updates = spark.read.parquet(f"{folder}/updates")
     groups = stored(updates.groupBy("digest").agg(F.max("keep").alias("keep"), F.max("n").alias("n")), "groups")
 
-    hits = each.join(groups.where("n > 1"), "digest").select("id", "file", "row", "digest", F.col("keep.row").alias("keep_row"), F.col("keep.id").alias("keep_id"), "n")
-    texts = docs.select(F.col(id_col).cast("long").alias("i"), F.input_file_name().alias("f"), F.col(text_col).alias("t"))
-    # rows that repeat an id within a file meet each other's texts here: the digest tells them apart
-    # sorted and merged at any size: the hits grow with the input, so that what is broadcast today is too large tomorrow
-    found = hits.join(texts.hint("merge"), F.col("id").eqNullSafe(F.col("i")) & (F.col("file") == F.col("f"))).withColumn("t", normalised(F.col("t")))
-    found = found.where(F.substring(F.unhex(F.sha2(F.col("t"), 256)), 1, digest_bytes) == F.col("digest"))
-    found = stored(found.select("id", "row", "digest", "keep_row", "keep_id", "n", "t"), "hits")
-    kept = stored(found.where("row = keep_row").select(F.col("digest").alias("d"), F.col("t").alias("kept_text")).dropDuplicates(["d"]), "kept")
-    # groups in which some row's bytes differ from those of the row that stays
-    split = found.join(kept, F.col("digest") == F.col("d")).where("t <> kept_text").select(F.col("digest").alias("d")).distinct()
+    # the check of the bytes: copies are put together before they are shuffled, so that a hot text is a row for each task
+    whole = normalised(F.col(text_col))
+    texts = docs.select(F.col(id_col).cast("long").alias("i"), F.input_file_name().alias("f"), whole.alias("t"))
+    texts = texts.withColumn("d", F.substring(F.unhex(F.sha2(F.col("t"), 256)), 1, digest_bytes))
+    split = texts.groupBy("d", "t").count().groupBy("d").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("d")
     split = stored(split, "collisions")
     out = each.join(groups, "digest").select("id", "digest", "row", F.col("keep.id").alias("keep_id"), F.col("keep.row").alias("keep_row"), "n")
     if not split.head(1):
         return out
-    rest = found.join(split, F.col("digest") == F.col("d"), "left_semi")
+    # rows that only share a digest are grouped by their bytes; rows that repeat an id within a file meet each other's
+    # texts here, and the digest tells them apart
+    found = each.join(split, F.col("digest") == F.col("d"), "left_semi")
+    found = found.join(texts.hint("merge"), F.col("id").eqNullSafe(F.col("i")) & (F.col("file") == F.col("f")) & (F.col("digest") == F.col("d")))
+    rest = stored(found.select("id", "row", "digest", "t").dropDuplicates(["row", "t"]), "hits")
     again = rest.groupBy("t").agg(F.max(F.struct("id", "row")).alias("keep"), F.countDistinct("row").alias("n"))
-    rest = rest.dropDuplicates(["row", "t"]).join(again.withColumnRenamed("n", "m"), "t")
-    rest = rest.select("id", "digest", "row", F.col("keep.id").alias("keep_id"), F.col("keep.row").alias("keep_row"), F.col("m").alias("n"))
+    rest = rest.join(again, "t")
+    rest = rest.select("id", "digest", "row", F.col("keep.id").alias("keep_id"), F.col("keep.row").alias("keep_row"), "n")
     return out.join(split, F.col("digest") == F.col("d"), "left_anti").unionByName(rest)
 
 

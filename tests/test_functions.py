@@ -110,3 +110,25 @@ def test_months():
 
 def test_first_match_takes_the_first_group(spark):
     assert one(spark, trends.first_match(F.col("c"), trends.INDUSTRIES, trends.OTHER), c="Email developer") == "AI & Data"
+
+
+PAY_TEXTS = [
+    ("20 - 30 triệu VNĐ", ["20 - 30 triệu VNĐ"]), ("15,5 triệu", ["15,5 triệu"]), ("upto 30M", ["upto 30M"]), ("up to $2000 USD", ["up to $2000 USD"]), ("từ 20 đến 30 triệu", ["30 triệu"]),
+    ("$2,000 - $3,000 USD", ["$2,000 - $3,000 USD"]), ("10.000.000đ", ["10.000.000đ"]), ("500$ / tháng", ["500$ / tháng"]), ("$ 1500 - 2000", ["$ 1500 - 2000"]), ("13 tháng lương/năm", ["13 tháng lương/năm"]),
+    ("mức lương 900 USD", ["900 USD"]), ("lương hấp dẫn", ["lương hấp dẫn"]), ("thu nhập cạnh tranh", ["thu nhập cạnh tranh"]), ("salary negotiable", ["salary negotiable"]), ("competitive salary range", ["competitive salary range"]),
+    ("nothing here", []),
+]
+
+
+def test_pay_and_dates_in_one_pass(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(PAY_TEXTS)] + [(99, None)], "i long, t string")
+    got = {r.i: r for r in spans.extract(df, df["t"], ("x",), ("y",), ("z",)).collect()}
+    assert [got[i].pay for i in range(len(PAY_TEXTS))] == [want for _, want in PAY_TEXTS]
+    assert not got[99].pay and not got[99].dates
+
+
+def test_spans_that_overlap_go_by_the_pattern():
+    import re
+
+    patterns = [re.compile(p) for p in ("bc", "abcd|x", "d")]
+    assert spans.ordered_spans("abcd x bc d", patterns, False) == ["bc", "bc", "x", "d", "d"]

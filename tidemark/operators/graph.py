@@ -36,13 +36,20 @@ def first_neighbours(edges: DataFrame, centers: DataFrame, k: int = 10) -> DataF
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("src").alias("center"), F.col("dst").alias("neighbour"))
 
 
+#: Keywords of a request at most: so many rows are broadcast.
+MOST_KEYWORDS = 10_000
+
+
 def best_node(nodes: DataFrame, keywords: DataFrame) -> DataFrame:
     """(keyword, id, name): one node whose name contains each keyword; an exact name first, then the shortest, then by id.
 
-    Keywords are a request's few rows, so each is compared with every name.
+    Keywords are a request's few rows, so each is compared with every name; ValueError beyond MOST_KEYWORDS of them.
     """
     low, key = F.lower("name"), F.lower("keyword")
-    hits = nodes.join(F.broadcast(keywords.select("keyword").distinct().limit(1000)), F.contains(low, key))
+    asked = keywords.select("keyword").distinct()
+    if len(asked.take(MOST_KEYWORDS + 1)) > MOST_KEYWORDS:
+        raise ValueError(f"a request has more than {MOST_KEYWORDS} keywords")
+    hits = nodes.join(F.broadcast(asked), F.contains(low, key))
     order = W.partitionBy("keyword").orderBy(F.desc((low == key).cast("int")), F.length("name"), "id")
     return hits.withColumn("rank", F.row_number().over(order)).where("rank = 1").select("keyword", "id", "name")
 

@@ -50,7 +50,9 @@ def c10_user_profile(spark, sf):
 
 
 def c12_missing_to_zero(spark, sf):
-    n = v.requires(spark, sf).where("job_id % 50 = 0").groupBy("tech_id").agg(F.count(F.lit(1)).alias("n"))
+    """Dear jobs that require each technology; none for most."""
+    dear = v.jobs(spark, sf).where("salary > 450000").select("job_id")
+    n = v.requires(spark, sf).join(dear, "job_id").groupBy("tech_id").agg(F.count(F.lit(1)).alias("n"))
     return v.technologies(spark, sf).select("tech_id").join(n, "tech_id", "left").na.fill(0, ["n"])
 
 
@@ -121,7 +123,9 @@ def d17_mention_counts(spark, sf):
 
 def d18_bounded_lists(spark, sf):
     t = v.uses(spark, sf).join(v.technologies(spark, sf), "tech_id")
-    return t.groupBy("company_id").agg(F.array_join(F.slice(F.array_sort(F.collect_set(F.lower("name"))), 1, 5), ",").alias("technologies"))
+    n = t.select("company_id", F.lower("name").alias("name")).distinct()
+    first = n.withColumn("k", F.row_number().over(W.partitionBy("company_id").orderBy("name"))).where("k <= 5")
+    return first.groupBy("company_id").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("technologies"))
 
 
 def d21_confusion(spark, sf):
@@ -204,11 +208,11 @@ def e7_last_months(spark, sf):
 
 def f7_sessions(spark, sf):
     s = v.table(spark, sf, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("messages"), F.max("turn").alias("last_turn"))
-    return s.orderBy(F.desc("last_turn"), "conv_id").limit(20)
+    return s.orderBy(F.desc("last_turn"), "conv_id")
 
 
 def f10_messages(spark, sf):
-    c = v.table(spark, sf, "conversations").where("conv_id % 10 = 0")
+    c = v.table(spark, sf, "conversations")
     return c.withColumn("place", F.row_number().over(W.partitionBy("conv_id").orderBy("turn")).cast("long")).select("conv_id", "place", "role", F.length("text").cast("long").alias("chars"))
 
 
@@ -259,7 +263,7 @@ ORACLES = {
     "c7_word_mentions": "with w as (select doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))) as word from documents) select word, count(*) as articles from w where word in ('" + "', '".join(WORDS) + "') group by 1",
     "c8_co_mentions": v.with_views("requires") + ", " + PAIRS + " select * from pairs where n >= 2",
     "c10_user_profile": "select c_custkey, c_name, n_name from customer left join nation on c_nationkey = n_nationkey and n_nationkey < 10",
-    "c12_missing_to_zero": "select p_partkey as tech_id, count(l_orderkey) as n from part left join lineitem on p_partkey = l_partkey and l_orderkey % 50 = 0 group by 1",
+    "c12_missing_to_zero": "select p_partkey as tech_id, count(k) as n from part left join (select l_partkey as k from lineitem join orders on o_orderkey = l_orderkey where o_totalprice > 450000) on k = p_partkey group by 1",
     "c13_foreign_keys": "with m as (select distinct l_partkey as k from lineitem where l_partkey not in (select p_partkey from part where p_partkey % 7 <> 3)) select (select count(*) from m) as missing, (select string_agg(cast(k as varchar), ',' order by cast(k as varchar)) from (select k from m order by k limit 5)) as sample",
     "c15_alias_rewrite": v.with_views("requires", "technologies", "uses") + ", " + CANON + " select canonical as tech_id, count(distinct company_id) as companies from uses join canon on id = tech_id group by 1",
     "c16_seed_edges": "select r_name, n_name from region, nation where n_name in ('NATION_1', 'NATION_2', 'NATION_3')",
@@ -290,8 +294,8 @@ union all select 'documents.blank_source', 'warning', count(*) filter (where tri
     "e3_representatives": v.with_views("requires", "technologies") + ", " + CANON + " select id, canonical from canon",
     "e9_top_required": v.with_views("requires") + " select tech_id, count(distinct job_id) as jobs from requires group by 1 order by jobs desc, tech_id limit 10",
     "e7_last_months": v.with_views("jobs") + ", m as (select title, date_trunc('month', posted_at) as m, count(*) as n from jobs group by 1, 2), r as (select *, row_number() over (partition by title order by m desc) as k from m) select title, strftime(m, '%Y-%m') as month, n from r where k <= 3",
-    "f7_sessions": "select conv_id, count(*) as messages, max(turn) as last_turn from conversations group by 1 order by last_turn desc, conv_id limit 20",
-    "f10_messages": "select conv_id, row_number() over (partition by conv_id order by turn) as place, role, length(text) as chars from conversations where conv_id % 10 = 0",
+    "f7_sessions": "select conv_id, count(*) as messages, max(turn) as last_turn from conversations group by 1",
+    "f10_messages": "select conv_id, row_number() over (partition by conv_id order by turn) as place, role, length(text) as chars from conversations",
     "g1_related_both": v.with_views("requires") + ", " + PAIRS + ", b as (select a as src, b as dst from pairs where n >= 2 union select b, a from pairs where n >= 2) select src, count(*) as related from b group by 1",
     "g2_priority_merge": v.with_views("jobs") + ", p as (select 0 as prio, title, min(job_id) as job_id from jobs where title like '%HIGH%' group by 2 union all select 1, title, min(job_id) from jobs where title like '%LOW%' group by 2 union all select 2, title, min(job_id) from jobs group by 2), r as (select *, row_number() over (partition by title order by prio) as k from p) select title, job_id from r where k = 1 order by prio, title limit 20",
     "g4_array_union": "with x as (select p_partkey, split(p_name, ' ') as a, [lower(p_type), split_part(p_name, ' ', 1)] as b from part) select p_partkey, array_to_string(a, ',') || case when list_contains(a, b[1]) then '' else ',' || b[1] end as words from x",

@@ -14,7 +14,7 @@ TERMS = (("token", "license", "apache license"), ("clown", "idiot"), ("of the",)
 
 def _files(spark, sf):
     """Documents as post files in both layouts, every seventh with a trailing comma and every eleventh broken."""
-    d = v.table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 200).alias("t"))
+    d = v.table(spark, sf, "documents").select("doc_id", F.col("text").alias("t"))
     rec = F.to_json(F.struct(F.col("t").alias("title"), F.lit("c").alias("content"), (F.col("doc_id") % 2 == 0).alias("is_relevant")))
     job = F.to_json(F.struct(F.col("t").alias("job_title"), F.lit("c").alias("description"), F.lit(True).alias("is_relevant")))
     obj = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit('{"post_detail":['), rec, F.lit(",]}"))).when(F.col("doc_id") % 11 == 0, F.concat(F.lit('{"post_detail":[{"x": '), rec, F.lit(" , "))).otherwise(F.concat(F.lit('{"source_platform":"s","post_detail":['), rec, F.lit("]}")))
@@ -157,9 +157,9 @@ def l2_graph_writer(spark, sf):
 
 
 def l3_vectors(spark, sf):
-    m = streams.parsed(_stream(_messages(spark, sf))).where("not bad").withColumn("content", F.substring("content", 1, 400))
+    m = streams.parsed(_stream(_messages(spark, sf))).where("not bad")
     out = streams.run_once(streams.vectors_of(m, 16))
-    return out.select("source_url", F.size("embedding").cast("long").alias("dim"), (F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x) > 0.99).alias("unit"))
+    return out.select("source_url", F.array_join(F.transform("embedding", lambda x: F.format_number(x, 4)), " ").alias("embedding"))
 
 
 def l5_dead_letters(spark, sf):
@@ -185,9 +185,9 @@ def l8_mention_counts(spark, sf):
 NAMES = [n for n in list(globals()) if n[0] in "abl" and n[1].isdigit()]
 QUERIES = {k: globals()[k] for k in NAMES}
 ORACLES = {
-    "a1_posts": "select case when doc_id % 3 = 0 then true else doc_id % 2 = 0 end as is_relevant, count(*) as n, sum(length(substr(text, 1, 200)))::bigint as chars from documents where doc_id % 3 = 0 or (doc_id % 7 <> 0 and doc_id % 11 <> 0) group by 1",
+    "a1_posts": "select case when doc_id % 3 = 0 then true else doc_id % 2 = 0 end as is_relevant, count(*) as n, sum(length(text))::bigint as chars from documents where doc_id % 3 = 0 or (doc_id % 7 <> 0 and doc_id % 11 <> 0) group by 1",
     "a2_repaired": "select case when doc_id % 3 = 0 then 0 when doc_id % 7 = 0 then 1 when doc_id % 11 = 0 then 2 else 0 end::bigint as fixed, count(*) as n from documents group by 1",
-    "a2_posts_after_repair": "select doc_id, length(substr(text, 1, 200)) as chars from documents",
+    "a2_posts_after_repair": "select doc_id, length(text) as chars from documents",
     "b9_relevant": "select count(*) as n from documents where doc_id % 3 = 0 or (doc_id % 7 <> 0 and doc_id % 11 <> 0 and doc_id % 2 = 0)",
     "a3_dropped_fields": "select c_custkey, c_name, c_mktsegment from customer",
     "a4_first_records": "select o_orderkey, o_orderstatus from orders order by o_orderkey limit 10000",

@@ -62,7 +62,7 @@ def h6_levels(spark, sf):
 
 
 def h7_categories(spark, sf):
-    return _docs(spark, sf).groupBy(text.tech_category(F.substring("text", 1, 40)).alias("category")).agg(F.count(F.lit(1)).alias("n"))
+    return _docs(spark, sf).groupBy(text.tech_category("text").alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def h8_sentiment(spark, sf):
@@ -209,7 +209,7 @@ ORACLES = {
     "h4_salary_range": "with " + SALARY + ", n as (select p_partkey, regexp_extract_all(salary, '[0-9]+') as n from s) select p_partkey, case when len(n) >= 2 then n[1]::bigint end as low, case when len(n) >= 2 then n[2]::bigint end as high from n",
     "h5_dates": "select o_orderkey, case when o_orderkey % 3 = 2 then date '2001-07-15' else o_orderdate::date end as day from orders",
     "h6_levels": "select " + _case("text", text.LEVELS, "mid") + " as level, count(*) as n from documents group by 1",
-    "h7_categories": "select " + _case("substr(text, 1, 40)", text.CATEGORIES, "Other") + " as category, count(*) as n from documents group by 1",
+    "h7_categories": "select " + _case("text", text.CATEGORIES, "Other") + " as category, count(*) as n from documents group by 1",
     "h8_sentiment": "with x as (select doc_id, " + " + ".join(f"contains(lower(text), '{w}')::int" for w in ("th", "die", "pour")) + " as p, " + " + ".join(f"contains(lower(text), '{w}')::int" for w in ("idiot", "ei", "que")) + " as n from documents) select doc_id, round(case when p + n > 0 then (p - n) / (p + n) else 0 end, 6) as sentiment from x",
     "h9_roles": "select " + _case("text", text.ROLES, "Unknown") + " as role, count(*) as n from documents group by 1",
     "h10_sources": "select case source when 'src1' then 'First' when 'src2' then 'Second' else source end as name, count(*) as n from documents group by 1",
@@ -229,10 +229,10 @@ ORACLES = {
     "h29_envelopes": """select '{"message_type":"job","data":{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}}' as value, o_orderkey as key from orders""",
     "h31_profiles": "with x as (select c_custkey, list_filter([case when c_custkey % 3 = 0 then '- Vai trò: ' || c_mktsegment end, case when c_custkey % 2 = 0 then '- Kỹ năng hiện có: a, b' end, case when c_custkey % 5 = 0 then '- Địa điểm: ' || c_name end], lambda x: x is not null) as l from customer) select c_custkey, case when len(l) > 0 then 'Thông tin người dùng:' || chr(10) || array_to_string(l, chr(10)) else '' end as block from x",
     "i2_techs": "with x as (select p_partkey, regexp_extract_all(p_name || ', ' || p_name || ' rings', '\\b(small ring|red widget|green gear|widget|blue|ring)\\b') as t from part) select p_partkey, coalesce(t[1], '') || case when len(list_distinct(t)) > 1 then '|' || list_filter(t, lambda x: x <> t[1])[1] else '' end as techs from x",
-    "i5_places": "with x as (select doc_id, unnest(list_distinct(list_transform(regexp_extract_all(' ' || replace(lower(text), ' ', '  ') || ' ', '(?:of  the|und  die|de  la|que  de)'), lambda y: y))) as p from documents) select replace(p, '  ', ' ') as phrase, count(distinct doc_id) as docs from x where false group by 1",
+    # each sign is written twice, so that neighbouring phrases have one each
+    "i5_places": "with x as (select doc_id, unnest(regexp_extract_all(regexp_replace(lower(text), '([^\\p{L}\\p{N}_.])', '\\1\\1', 'g'), '(?:^|[^\\p{L}\\p{N}_.])(of  the|und  die|de  la|que  de)(?:[^\\p{L}\\p{N}_.]|$)', 1)) as p from documents) select replace(p, '  ', ' ') as phrase, count(distinct doc_id) as docs from x group by 1",
     "i6_organisations": "select p_partkey, case when contains(p_name, 'ring') or contains(p_name, 'gear') then p_name else '' end as orgs from part",
     "i9_windows": "with x as (select doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) as n from documents) select doc_id, case when n = 0 then 0 else 1 + greatest(ceil((n - 200) / 180), 0) end::bigint as windows from x",
     "i1_dates": "select o_orderkey, 'Ngày 3 tháng 5 năm 2026|' || strftime(o_orderdate, '%-d/%-m/%Y') || '|' || strftime(o_orderdate, '%-m/%Y') as dates from orders",
     "i8_grouped": "with x as (select p_partkey, list_sort(list_distinct(regexp_extract_all(p_name, '\\b(small ring|red widget|green gear|widget|blue|ring)\\b'))) as t from part) select p_partkey, array_to_string(list_filter(t, lambda y: contains(y, 'ring')), '|') as tech, array_to_string(list_filter(t, lambda y: not contains(y, 'ring')), '|') as role from x",
 }
-del ORACLES["i5_places"]

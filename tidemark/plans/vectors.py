@@ -28,7 +28,7 @@ def d14_content_vectors(spark, sf):
     e = v.table(spark, sf, "embeddings")
     n = e.count()
     m = v.uses(spark, sf).select("tech_id", (F.col("company_id") % n).alias("article_id"))
-    t = v.technologies(spark, sf).where("tech_id % 20 = 0")
+    t = v.technologies(spark, sf)
     out = vectors.content_vectors(m.join(t.select("tech_id"), "tech_id"), e.select(F.col("vec_id").alias("article_id"), "embedding"), t, 3)
     return out.select("tech_id", "n", F.round(F.col("embedding")[0], 6).alias("first"), F.round(F.col("embedding")[63], 6).alias("last"))
 
@@ -63,7 +63,7 @@ def c18_lookup(spark, sf):
     """Technology names to clusters and labels; found is false for names without one."""
     r = _rows(spark, sf).select(F.col("id").alias("tech_id"), "cluster_id").where("cluster_id <> -1")
     t = v.technologies(spark, sf).groupBy(F.lower("name").alias("key")).agg(F.min("tech_id").alias("tech_id"))
-    asked = v.technologies(spark, sf).where("tech_id % 10 = 0").select(F.col("tech_id").alias("asked_id"), F.concat("name", F.when(F.col("tech_id") % 30 == 0, "?").otherwise("")).alias("asked"))
+    asked = v.technologies(spark, sf).select(F.col("tech_id").alias("asked_id"), F.concat("name", F.when(F.col("tech_id") % 30 == 0, "?").otherwise("")).alias("asked"))
     out = asked.join(t, F.lower("asked") == F.col("key"), "left").join(r, "tech_id", "left")
     return out.select("asked_id", "cluster_id", F.col("cluster_id").isNotNull().alias("found"))
 
@@ -77,7 +77,9 @@ def k17_catalogue(spark, sf):
     """Clusters with their size and their members' names in order."""
     r = _rows(spark, sf).select(F.col("id").alias("tech_id"), "cluster_id").where("cluster_id <> -1")
     t = v.technologies(spark, sf).join(r, "tech_id")
-    return t.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("members"), F.array_join(F.slice(F.array_sort(F.collect_set("name")), 1, 10), ",").alias("sample"))
+    sizes = t.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("members"))
+    names = t.select("cluster_id", "name").distinct().withColumn("k", F.row_number().over(W.partitionBy("cluster_id").orderBy("name"))).where("k <= 10")
+    return sizes.join(names.groupBy("cluster_id").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("sample")), "cluster_id")
 
 
 def b16_catalogue_search(spark, sf):
@@ -173,13 +175,13 @@ CENT = R + ", x as (select cluster_id, id, unnest(vec) as x, generate_subscripts
 CAT = v.with_views("technologies") + ", r as (select vec_id as tech_id, case when vec_id % 11 = 0 then -1 else label end::bigint as cluster_id from embeddings), t as (select cluster_id, name from technologies join r using (tech_id) where cluster_id <> -1), s as (select cluster_id, name, row_number() over (partition by cluster_id order by name) as k from (select distinct * from t)), k as (select cluster_id, (select count(*) from t where t.cluster_id = s.cluster_id) as members, string_agg(name, ',' order by name) filter (where k <= 10) as sample from s group by 1)"
 ORACLES = {
     "h26_vectors": R + ", n as (select id, vec, lead(vec) over (partition by cluster_id order by id) as next from r) select id, round(list_dot_product(vec, next), 6) as dot, round(list_cosine_similarity(vec, next), 6) as cosine, round(list_distance(vec, next), 6) as distance, round(sqrt(list_dot_product(vec, vec)), 6) as norm from n where next is not null",
-    "d14_content_vectors": v.with_views("uses", "technologies") + ", e as (select vec_id, embedding::double[] as vec, sqrt(list_dot_product(embedding::double[], embedding::double[])) as n from embeddings), x as (select tech_id, vec[1] / n as a, vec[64] / n as z from uses join e on vec_id = company_id % (select count(*) from embeddings) where tech_id % 20 = 0), g as (select tech_id, count(*) as n, avg(a) as a, avg(z) as z from x group by 1 having count(*) >= 3) select tech_id, coalesce(n, 0) as n, round(a, 6) as first, round(z, 6) as last from technologies left join g using (tech_id) where tech_id % 20 = 0",
+    "d14_content_vectors": v.with_views("uses", "technologies") + ", e as (select vec_id, embedding::double[] as vec, sqrt(list_dot_product(embedding::double[], embedding::double[])) as n from embeddings), x as (select tech_id, vec[1] / n as a, vec[64] / n as z from uses join e on vec_id = company_id % (select count(*) from embeddings) ), g as (select tech_id, count(*) as n, avg(a) as a, avg(z) as z from x group by 1 having count(*) >= 3) select tech_id, coalesce(n, 0) as n, round(a, 6) as first, round(z, 6) as last from technologies left join g using (tech_id)",
     "k1_vector_search": R + ", s as (select q.id as query_id, r.id, list_cosine_similarity(q.vec, r.vec) as s from r q, r where q.id % 50 = 0), k as (select *, row_number() over (partition by query_id order by s desc, id) as rank from s) select query_id, id, round(s, 6) as score, rank from k where rank <= 5",
     "e6_top_members": CENT + ", s as (select cluster_id, id, round(list_cosine_similarity(vec, centroid), 6) as similarity from r join c using (cluster_id)), k as (select *, row_number() over (partition by cluster_id order by similarity desc, id) as rank from s) select * from k where rank <= 5",
     "k14_near_clusters": CENT + ", d as (select id, c.cluster_id, list_distance(vec, centroid) as d from r join c on r.cluster_id <> c.cluster_id), s as (select *, 1 - d / max(d) over (partition by id) as s from d) select id, cluster_id, round(s, 4) as score from s where s >= 0.05",
     "d19_sizes": R + " select cluster_id, count(*) as members from r where cluster_id <> -1 group by 1",
     "d20_cluster_context": v.with_views("uses") + ", n as (select label::bigint as cluster_id, company_id, count(*) as n from uses join embeddings on vec_id = tech_id where vec_id % 11 <> 0 group by 1, 2), k as (select *, row_number() over (partition by cluster_id order by n desc, company_id) as r from n) select cluster_id, string_agg(company_id, ',' order by r) as companies from k where r <= 8 group by 1",
-    "c18_lookup": v.with_views("technologies") + ", t as (select lower(name) as key, min(tech_id) as tech_id from technologies group by 1), a as (select tech_id as asked_id, lower(name || case when tech_id % 30 = 0 then '?' else '' end) as key from technologies where tech_id % 10 = 0) select asked_id, label::bigint as cluster_id, label is not null as found from a left join t using (key) left join embeddings on vec_id = tech_id and vec_id % 11 <> 0",
+    "c18_lookup": v.with_views("technologies") + ", t as (select lower(name) as key, min(tech_id) as tech_id from technologies group by 1), a as (select tech_id as asked_id, lower(name || case when tech_id % 30 = 0 then '?' else '' end) as key from technologies) select asked_id, label::bigint as cluster_id, label is not null as found from a left join t using (key) left join embeddings on vec_id = tech_id and vec_id % 11 <> 0",
     "c21_align_labels": v.with_views("technologies") + " select tech_id, case when vec_id is null or vec_id % 11 = 0 then -1 else label end::bigint as cluster_id from technologies left join embeddings on vec_id = tech_id",
     "k17_catalogue": CAT + " select * from k",
     "b16_catalogue_search": CAT + " select cluster_id, members from k where contains(sample, 'anvil') and members > 5",

@@ -91,13 +91,16 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def profile(nodes: DataFrame, label: str, columns: Sequence[str]) -> DataFrame:
-    """(label, property, total, known, samples): one pass; the three least values as samples."""
-    aggs = [F.count(F.lit(1)).alias("total")]
-    for c in columns:
-        aggs += [F.count(c).alias("n_" + c), F.array_join(F.slice(F.array_sort(F.collect_set(F.substring(F.col(c).cast("string"), 1, 20))), 1, 3), "|").alias("s_" + c)]
-    one = nodes.groupBy(F.col(label).alias("label")).agg(*aggs)
-    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("property"), F.col("n_" + c).alias("known"), F.col("s_" + c).alias("samples")) for c in columns])).alias("x")
-    return one.select("label", "total", rows).select("label", "x.property", "total", "x.known", "x.samples")
+    """(label, property, total, known, samples): counts in one pass, and the three least values, cut at 20 characters, as
+    samples; different values are ranked, not gathered."""
+    value = F.array(*[F.struct(F.lit(c).alias("property"), F.col(c).cast("string").alias("value")) for c in columns])
+    each = nodes.select(F.col(label).alias("label"), F.explode(value).alias("x")).select("label", "x.property", F.substring("x.value", 1, 20).alias("value"))
+    counts = each.groupBy("label", "property", "value").agg(F.count(F.lit(1)).alias("n"))
+    totals = counts.groupBy("label", "property").agg(F.sum("n").alias("total"), F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("known"))
+    least = counts.where("value is not null").withColumn("k", F.row_number().over(W.partitionBy("label", "property").orderBy("value"))).where("k <= 3")
+    least = least.groupBy("label", "property").agg(F.array_join(F.array_sort(F.collect_list("value")), "|").alias("samples"))
+    same = totals["label"].eqNullSafe(least["label"]) & (totals["property"] == least["property"])
+    return totals.join(least, same, "left").select(totals["label"], totals["property"], "total", "known", F.coalesce("samples", F.lit("")).alias("samples"))
 
 
 def new_urls(pages: DataFrame, seen: DataFrame, ads: Sequence[str] = ("eclick",)) -> DataFrame:

@@ -62,3 +62,24 @@ def test_pipeline_stages(spark):
     assert 0.95 * size(near) <= size(mixed) <= size(near)
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).toPandas()
     assert len(packed) >= len(mixed) and packed.groupby("sequence_id")["length"].sum().max() <= 2048
+
+
+def test_pipeline_stages_on_awkward_rows(spark, tmp_path):
+    """Nulls, empty and repeated rows, repeated ids, a long text and columns with names that stages use; and no rows."""
+    rows = [(1, "good words " * 30), (2, None), (3, ""), (3, "same id"), (None, "no id"), (None, None), (4, "good words " * 30), (4, "good words " * 30), (5, "long " * 50_000), (6, "other good text of words " * 9)]
+    df = spark.createDataFrame([(i, t, "en", "s" if i and i % 2 else None) for i, t in rows], "doc_id long, text string, lang string, source string")
+    from pyspark.sql import functions as F
+
+    df = df.withColumns({c: F.lit("x") for c in ("id", "row", "_score", "_kept_id", "_digest", "_i", "_n", "_copy", "digest")})
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for docs in (df, df.where("false")):
+        kept = {}
+        for name, stage in corpus_pipeline.STAGES:
+            columns, docs = docs.columns, stage(spark, docs, str(tmp_path))
+            kept[name] = docs.count()
+            assert name == "packing" or docs.columns == columns
+        if kept["quality"]:
+            # equal texts: 1, 4, 4; null and empty: 2, 3, null
+            assert kept["quality"] == 10 and kept["exact_dedup"] == 6 and 4 <= kept["near_dedup"] <= 6 and kept["packing"] > 0
+        else:
+            assert set(kept.values()) == {0}

@@ -87,8 +87,8 @@ _cache: dict = {}
 
 
 def once(key, make):
-    """make() once for each Python worker and key; one entry of each kind is held."""
-    kind = key[0]
-    if kind not in _cache or _cache[kind][0] != key:
-        _cache[kind] = (key, make())
-    return _cache[kind][1]
+    """make() once for each Python worker and key. One entry is held: what an earlier stage of a pipeline needed goes."""
+    if key not in _cache:
+        _cache.clear()
+        _cache[key] = make()
+    return _cache[key]

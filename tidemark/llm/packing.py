@@ -20,7 +20,7 @@ TOKENIZER = "word_bpe_49k.json"
 GROUP_PIECES, EMPTIER = 4096, 0.985
 #: Steps of a group's search in which no sequence is saved, after which it ends.
 SEARCH_STEPS = 2000
-_MAX_CHUNKS, _SIGNS = 400_000, ".,;:!?*&$#%|"
+_MAX_CHUNKS, _SIGNS = 300_000, ".,;:!?*&$#%|"
 #: Bytes of text that are split at once, and chunks whose ids are put together at once.
 _SLICE, _RUN = 12_000_000, 500_000
 #: What a special token begins with, and combining marks.

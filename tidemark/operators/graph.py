@@ -204,10 +204,13 @@ def random_walks(edges: DataFrame, length: int = 10, walks: int = 10, seed: int
 
 
 def node_vectors(walks: DataFrame, dim: int = 64, seed: int = 42) -> DataFrame:
-    """(id, embedding) by Word2Vec over the walks' node ids."""
+    """(id, vector) by Word2Vec over the walks' node ids. Each partition of the walks is fitted by a task; Word2Vec itself
+    keeps the list of ids, and its weights, in every one of them and in the driver."""
     from pyspark.ml.feature import Word2Vec
 
-    model = Word2Vec(vectorSize=dim, minCount=1, seed=seed, inputCol="path", outputCol="v", numPartitions=1, maxIter=1).fit(walks.select(F.transform("path", lambda x: x.cast("string")).alias("path")))
+    paths = walks.select(F.transform("path", lambda x: x.cast("string")).alias("path"))
+    parts = max(1, paths.rdd.getNumPartitions())
+    model = Word2Vec(vectorSize=dim, minCount=1, seed=seed, inputCol="path", outputCol="v", numPartitions=parts, maxIter=1).fit(paths)
     return model.getVectors().select(F.col("word").alias("id"), "vector")
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tidemark.operators import graph, market, retrieve
+from tidemark.operators import entities, graph, market, retrieve
 from tidemark.plans import views as v
+from tidemark.plans.basics import MENTIONS
 from tidemark.sources.shared import stored
 
 
@@ -57,7 +59,7 @@ def j4_enriched(spark, sf):
 
 
 def j5_pagerank(spark, sf):
-    r = graph.pagerank(_edges(spark, sf), rounds=10)
+    r = graph.pagerank(_edges(spark, sf))
     return r.where(F.startswith("id", F.lit("t"))).select("id", F.round("score", 5).alias("score"))
 
 
@@ -86,17 +88,27 @@ def j8_communities(spark, sf):
 
 
 def j9_projection(spark, sf):
-    e = graph.fast_random_projection(_edges(spark, sf), 16)
-    return e.select("id", F.size("embedding").cast("long").alias("dim"))
+    e = graph.fast_random_projection(_edges(spark, sf))
+    return e.select("id", F.array_join(F.transform("embedding", lambda x: F.format_number(x, 4)), " ").alias("embedding"))
 
 
 def j10_walks(spark, sf):
-    w = graph.random_walks(_edges(spark, sf), 5, 2)
-    return w.groupBy(F.size("path").cast("long").alias("length")).agg(F.count(F.lit(1)).alias("walks"))
+    w = graph.random_walks(_edges(spark, sf))
+    return w.select("id", F.col("walk").cast("long").alias("walk"), F.array_join("path", ">").alias("path"))
+
+
+def j10_vectors(spark, sf):
+    n = graph.node_vectors(graph.random_walks(_edges(spark, sf)))
+    return n.select("id", F.array_join(F.transform(vector_to_array("vector"), lambda x: F.format_number(x, 3)), " ").alias("embedding"))
 
 
 def j11_projected(spark, sf):
-    return graph.symmetric(_edges(spark, sf)).groupBy(F.substring("src", 1, 1).alias("label")).agg(F.count(F.lit(1)).alias("edges"))
+    """The undirected projection of companies, jobs and technologies by USES and REQUIRES, counted by label and type."""
+    u = v.uses(spark, sf).select(F.lit("USES").alias("type"), F.lit("Company").alias("from"), F.col("company_id").alias("src"), F.lit("Technology").alias("to"), F.col("tech_id").alias("dst"))
+    q = v.requires(spark, sf).distinct().select(F.lit("REQUIRES").alias("type"), F.lit("Job").alias("from"), F.col("job_id").alias("src"), F.lit("Technology").alias("to"), F.col("tech_id").alias("dst"))
+    e = u.unionByName(q)
+    both = e.unionByName(e.select("type", F.col("to").alias("from"), F.col("dst").alias("src"), F.col("from").alias("to"), F.col("src").alias("dst")))
+    return both.groupBy("type", F.col("from").alias("label")).agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("src").alias("nodes"))
 
 
 def j12_upsert(spark, sf):
@@ -108,14 +120,16 @@ def j12_upsert(spark, sf):
 
 
 def j14_edge_tables(spark, sf):
-    """REQUIRES with how often, and MENTIONS of every company, from the posts."""
+    """REQUIRES with how often; what a job asks for more than once is mandatory. MENTIONS: j14_edges."""
     r = v.requires(spark, sf).groupBy("job_id", "tech_id").agg(F.count(F.lit(1)).alias("frequency"))
-    return r.select("job_id", "tech_id", (F.col("frequency") > 1).alias("mandatory"), "frequency").where("frequency > 1")
+    return r.select("job_id", "tech_id", (F.col("frequency") > 1).alias("mandatory"), "frequency")
 
 
 def j15_wrote(spark, sf):
-    c = v.table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "role")
-    return c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("wrote"))
+    """Who is named in an article wrote it: the projection of MENTIONS of persons."""
+    people = spark.createDataFrame([("Idiot", "Person"), ("clown", "Person"), ("apache license", "Person")], "name string, label string")
+    m = entities.dictionary_entities(v.articles(spark, sf), people, "article_id", "content")
+    return m.select(F.col("name").alias("person"), F.col("id").alias("article_id")).distinct()
 
 
 def j17_cluster_edges(spark, sf):
@@ -185,10 +199,10 @@ ORACLES = {
     "j4_enriched": v.with_views("jobs", "hires", "companies") + " select job_id, floor(salary)::bigint as min_salary, location from jobs join hires using (job_id) join companies using (company_id) where salary >= 450000 and contains(lower(location), 'nation_1')",
     "j6_degree": E + " select src as id, count(*) as degree from near group by 1",
     "j7_components": E + " select min(src) as component, count(distinct src) as n from near",
-    "j11_projected": E + " select src[1] as label, count(*) as edges from near group by 1",
+    "j11_projected": v.with_views("uses", "requires") + ", q as (select distinct * from requires) select 'USES' as type, 'Company' as label, count(*) as edges, count(distinct company_id) as nodes from uses union all select 'USES', 'Technology', count(*), count(distinct tech_id) from uses union all select 'REQUIRES', 'Job', count(*), count(distinct job_id) from q union all select 'REQUIRES', 'Technology', count(*), count(distinct tech_id) from q",
     "j12_upsert": v.with_views("companies") + " select company_id, name, location, case when company_id % 2 = 0 then rating else rating + 1 end as rating from companies",
-    "j14_edge_tables": v.with_views("requires") + " select job_id, tech_id, true as mandatory, count(*) as frequency from requires group by 1, 2 having count(*) > 1",
-    "j15_wrote": "select conv_id, count(*) as wrote from conversations where role = 'user' group by 1",
+    "j14_edge_tables": v.with_views("requires") + " select job_id, tech_id, count(*) > 1 as mandatory, count(*) as frequency from requires group by 1, 2",
+    "j15_wrote": v.with_views("articles") + ", " + MENTIONS + " select name as person, article_id from e where name <> 'of the'",
     "j17_cluster_edges": "select label::bigint as cluster_id, count(*) as members from embeddings group by 1",
     "g5_merged_nodes": E + " select label, count(*) as n from nodes group by 1",
     "k2_overlap": "with " + W + " select query_id, id, score from s where score >= 0.4",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -48,14 +50,9 @@ def nearest(base: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
     Each task keeps the k best of its rows for a block of queries, so at most tasks x k rows a query are shuffled.
     """
     out = None
-    ids = queries.select("id").orderBy("id")
-    n = ids.count()
-    cuts = [None] if n <= BLOCK else [(i, i + BLOCK) for i in range(0, n, BLOCK)]
-    numbered = queries
-    if n > BLOCK:
-        numbered = queries.withColumn("b", F.floor(F.percent_rank().over(W.orderBy("id")) * (n - 1) / BLOCK).cast("int"))
-    for b, cut in enumerate(cuts):
-        part = (numbered if cut is None else numbered.where(F.col("b") == b)).select("id", "vec").toPandas()  # a block of queries
+    blocks = -(-queries.count() // BLOCK)
+    for b in range(blocks):
+        part = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).select("id", "vec").toPandas()  # about BLOCK queries
         if part.empty:
             continue
         q, qid = np.array(part["vec"].tolist(), np.float64), part["id"].to_numpy()
@@ -112,50 +109,82 @@ def near_clusters(rows: DataFrame, threshold: float = 0.7) -> DataFrame:
     return s.where(F.col("s") >= threshold).select("id", F.col("other").alias("cluster_id"), F.round("s", 4).alias("score"))
 
 
-def neighbour_pairs(rows: DataFrame, eps: float, pivots: int = 32) -> DataFrame:
-    """(a, b): all pairs within eps (Euclidean), both directions. Rows are dealt to the cell of their nearest pivot and to
-    every cell whose pivot is no further than that by more than 2 eps, which keeps every pair together in some cell."""
-    p = rows.withColumn("h", F.xxhash64("id")).orderBy("h").limit(pivots).select("vec").toPandas()  # a fixed number of rows
+#: Pivots at most: every task holds all of them.
+MOST_PIVOTS = 4096
+
+
+def neighbour_pairs(rows: DataFrame, eps: float, pivots: int | None = None, block: int = BLOCK) -> DataFrame:
+    """(a, b): all pairs within eps (Euclidean), both directions.
+
+    Rows are dealt to the cell of their nearest pivot and to every cell whose pivot is no further than that by more than
+    2 eps, which keeps every pair together in some cell. A cell of more than `block` rows is split by hash into blocks, each
+    of which meets every block of its cell in a group of its own, so a group holds two blocks at most. Pivots are about the
+    square root of the number of rows; where eps is too wide for cells to part the rows, all of them are one cell.
+    """
+    n = rows.count()
+    if not n:
+        return rows.sparkSession.createDataFrame([], "a long, b long")
+    if pivots is None:
+        pivots = min(MOST_PIVOTS, math.isqrt(n)) if n > block else 1
+    p = rows.withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(pivots).select("vec").toPandas()  # MOST_PIVOTS at most
     center = np.array(p["vec"].tolist(), np.float64).reshape(len(p), -1)
 
+    def near(pdf: pd.DataFrame, center: np.ndarray):
+        x = np.array(pdf["vec"].tolist(), np.float64)
+        d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (center * center).sum(1)[None] - 2 * x @ center.T, 0))
+        return d.argmin(1), *np.nonzero(d <= d.min(1)[:, None] + 2 * eps + 1e-9)
+
+    def count(batches):
+        for pdf in batches:
+            if not pdf.empty:
+                yield pd.DataFrame({"n": [len(near(pdf, center)[1])]})
+
+    if len(center) > 1 and (rows.select("vec").mapInPandas(count, "n long").agg(F.sum("n")).first()[0] or 0) > n * -(-n // block):
+        center = center[:1]  # more copies in cells than in blocks of the whole
+
     def deal(batches):
         for pdf in batches:
-            if pdf.empty:
-                continue
-            x = np.array(pdf["vec"].tolist(), np.float64)
-            d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (center * center).sum(1)[None] - 2 * x @ center.T, 0))
-            home = d.argmin(1)
-            r, c = np.nonzero(d <= d.min(1)[:, None] + 2 * eps + 1e-9)
-            yield pd.DataFrame({"cell": c, "home": home[r] == c, "id": pdf["id"].to_numpy()[r], "vec": [pdf["vec"].iloc[i] for i in r]})
+            if not pdf.empty:
+                home, r, c = near(pdf, center)
+                yield pd.DataFrame({"cell": c, "home": home[r] == c, "id": pdf["id"].to_numpy()[r], "vec": [pdf["vec"].iloc[i] for i in r]})
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, ids, home = np.array(pdf["vec"].tolist(), np.float64), pdf["id"].to_numpy(), pdf["home"].to_numpy(bool)
-        out = []
-        for s in range(0, len(x), 1024):
-            mine = np.flatnonzero(home[s : s + 1024]) + s
-            d = (x[mine] ** 2).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * x[mine] @ x.T
-            i, j = np.nonzero(d <= eps * eps + 1e-12)
-            keep = ids[mine[i]] != ids[j]
-            out.append(pd.DataFrame({"a": ids[mine[i]][keep], "b": ids[j][keep]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": []})
-
-    cells = rows.select("id", "vec").mapInPandas(deal, "cell int, home boolean, id long, vec array<double>")
-    return cells.groupBy("cell").applyInPandas(pairs, "a long, b long").distinct()
+        mine, other = pdf[pdf["asks"]], pdf[~pdf["asks"]]
+        out = [pd.DataFrame({"a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="int64")})]
+        if len(mine) and len(other):
+            q, y, qid, yid = *(np.array(d["vec"].tolist(), np.float64) for d in (mine, other)), mine["id"].to_numpy(), other["id"].to_numpy()
+            for s in range(0, len(q), 1024):
+                x = q[s : s + 1024]
+                i, j = np.nonzero((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T <= eps * eps + 1e-12)
+                keep = qid[s + i] != yid[j]
+                out.append(pd.DataFrame({"a": qid[s + i][keep], "b": yid[j][keep]}))
+        return pd.concat(out)
+
+    cells = stored(rows.select("id", "vec").mapInPandas(deal, "cell int, home boolean, id long, vec array<double>"), "cells")
+    sizes = cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    cells = cells.join(F.broadcast(sizes), "cell")  # a row a pivot
+    own, each = F.pmod(F.xxhash64("id"), "blocks"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    asks = cells.where("home").select("cell", F.lit(True).alias("asks"), "id", "vec", own.alias("x"), each.alias("y"))
+    told = cells.select("cell", F.lit(False).alias("asks"), "id", "vec", each.alias("x"), own.alias("y"))
+    return asks.unionByName(told).groupBy("cell", "x", "y").applyInPandas(pairs, "a long, b long").distinct()
 
 
 def dbscan(rows: DataFrame, eps: float, min_samples: int) -> DataFrame:
     """(id, cluster_id): core rows have min_samples rows within eps, themselves included; clusters are the components of
-    core rows, named by their least id; a border row joins the cluster of its least core neighbour; the rest is -1."""
-    near = stored(neighbour_pairs(rows, eps), "near")
-    core = stored(near.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") + 1 >= min_samples).select(F.col("a").alias("id")), "core")
-    if min_samples <= 1:
-        core = rows.select("id")
+    core rows, named by their least id; a border row joins the cluster of its least core neighbour; the rest is -1. Equal
+    vectors are compared once, by their least id, and counted; rows without a vector are noise."""
+    one = stored(rows.where("vec is not null").groupBy("vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "vectors")
+    near = stored(neighbour_pairs(one, eps), "near")
+    others = near.join(one.select(F.col("id").alias("b"), "n"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("others"))
+    around = F.col("n") + F.coalesce("others", F.lit(0))
+    core = stored(one.select("id", "n").join(others, "id", "left").where(around >= min_samples).select("id"), "core")
     links = near.join(core.withColumnRenamed("id", "a"), "a").join(core.withColumnRenamed("id", "b"), "b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     found = core.join(components(links), "id", "left").select("id", F.coalesce("component", "id").alias("cluster_id"))
     found = stored(found, "clusters")
-    border = near.join(found.select(F.col("id").alias("b"), "cluster_id"), "b").groupBy("a").agg(F.min_by("cluster_id", "b").alias("border"))
-    out = rows.select("id").join(found, "id", "left").join(border.withColumnRenamed("a", "id"), "id", "left")
-    return out.select("id", F.coalesce("cluster_id", "border", F.lit(-1)).cast("long").alias("cluster_id"))
+    border = near.join(found.select(F.col("id").alias("b"), "cluster_id"), "b").groupBy(F.col("a").alias("id")).agg(F.min_by("cluster_id", "b").alias("border"))
+    label = one.select("id", "vec").join(found, "id", "left").join(border, "id", "left")
+    label = label.select("vec", F.coalesce("cluster_id", "border", F.lit(-1)).cast("long").alias("cluster_id"))
+    return rows.select("id", "vec").join(label, "vec", "left").select("id", F.coalesce("cluster_id", F.lit(-1)).cast("long").alias("cluster_id"))
 
 
 def k_distances(rows: DataFrame, k: int = 5) -> DataFrame:

@@ -43,10 +43,30 @@ def test_walks_stay_on_edges(edges):
 
 def test_communities_cut_a_bridge(spark):
     e = [(a, b) for g in ("abcd", "wxyz") for i, a in enumerate(g) for b in g[i + 1 :]] + [("d", "w")]
-    got = {r.id: r.community for r in graph.communities(spark.createDataFrame(e, "src string, dst string"), 10).collect()}
+    got = {r.id: r.community for r in graph.communities(spark.createDataFrame(e, "src string, dst string")).collect()}
     assert len({got[x] for x in "abcd"}) == 1 and len({got[x] for x in "wxyz"}) == 1 and got["a"] != got["z"]
 
 
+def _modularity(pairs, label):
+    near = {(a, b) for a, b in pairs} | {(b, a) for a, b in pairs}
+    inside = sum(label[a] == label[b] for a, b in near) / len(near)
+    return inside - sum((sum(label[a] == c for a, _ in near) / len(near)) ** 2 for c in set(label.values()))
+
+
+def test_communities_of_contracted_ones(spark):
+    """Single moves stop at the 24 triangles of a ring; only when these are nodes do neighbours among them join."""
+    e = [(f"{t:02d}{x}", f"{t:02d}{y}") for t in range(24) for x, y in ("ab", "bc", "ca")]
+    e += [(f"{t:02d}c", f"{(t + 1) % 24:02d}a") for t in range(24)]
+    got = {r.id: r.community for r in graph.communities(spark.createDataFrame(e, "src string, dst string")).collect()}
+    triangles = {x: x[:2] for x in got}
+    assert len(got) == 72 and all(c == min(x for x in got if got[x] == c) for c in set(got.values()))
+    assert len(set(got.values())) < 24 and _modularity(e, got) > _modularity(e, triangles) + 0.01
+
+
+def test_communities_of_no_edges(spark):
+    assert graph.communities(spark.createDataFrame([("a", "a")], "src string, dst string")).count() == 0
+
+
 def test_upsert_is_idempotent(spark):
     a = spark.createDataFrame([(1, "x", "Unknown", 0)], "id long, name string, place string, ord int")
     b = spark.createDataFrame([(1, "y", "Huế", 1), (2, "z", None, 1)], "id long, name string, place string, ord int")
@@ -68,7 +88,9 @@ def test_neighbour_pairs_are_all_pairs(points):
     x, df = points
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
     want = {(i, j) for i, j in zip(*np.nonzero(d <= 0.5)) if i != j}
-    assert {(r.a, r.b) for r in vectors.neighbour_pairs(df, 0.5, pivots=6).collect()} == want
+    # cells of one block and of several, one cell of several blocks, and the number of pivots that the rows give
+    for pivots, block in ((6, 2048), (6, 9), (1, 50), (None, 30), (None, 2048)):
+        assert {(r.a, r.b) for r in vectors.neighbour_pairs(df, 0.5, pivots, block).collect()} == want
 
 
 def test_dbscan_finds_the_groups(points):
@@ -76,6 +98,23 @@ def test_dbscan_finds_the_groups(points):
     assert got[120] == -1 and len({got[i] for i in range(120)}) == 3
 
 
+def test_dbscan_against_brute_force(spark):
+    """With many copies of one vector, lone copies, a border row and rows without a vector."""
+    x = np.round(np.random.default_rng(11).uniform(0, 6, (150, 2)), 2)
+    x = np.concatenate([x, np.tile([[3.0, 3.0]], (60, 1)), np.tile([[30.0, 30.0]], (4, 1)), [[40.0, 40.0]], [[40.0, 40.3]], [[40.0, 40.0]]])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)) <= 0.4 + 1e-9
+    core = d.sum(1) >= 4
+    label = np.where(core, np.arange(len(x)), len(x))
+    for _ in x:
+        label = np.where(core, np.where(d & core, label[None], len(x)).min(1), label)
+    want = [label[i] if core[i] else label[np.flatnonzero(d[i] & core)[0]] if (d[i] & core).any() else -1 for i in range(len(x))]
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)] + [(len(x), None)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>")
+    got = {r.id: r.cluster_id for r in vectors.dbscan(df, 0.4, 4).collect()}
+    assert got == dict(enumerate([int(w) for w in want] + [-1])) and len(set(want)) > 3
+    assert vectors.dbscan(df.limit(0), 0.4, 4).count() == 0
+
+
 def test_k_distances_of_all_rows(spark):
     """More rows than one block, or than any sample of the curve."""
     x = np.random.default_rng(3).normal(size=(5200, 3))
@@ -140,6 +179,24 @@ def test_rerank_falls_back(spark):
     assert sorted((r.id, r.low_confidence) for r in got if r.query_id == 2) == [(0, True), (1, True), (2, True)]
 
 
+def test_overlap_counts_every_word(spark, monkeypatch):
+    """Against sets, with a word that all documents hold, more questions than a block, nulls and texts without words."""
+    rng = np.random.default_rng(8)
+    text = lambda n: " ".join(["the", *(f"w{x}" for x in rng.integers(0, 30, n))])
+    docs = [(i, text(12)) for i in range(600)] + [(600, None), (601, "..."), (None, "the w1"), (602, "the")]
+    asked = [(i, text(4)) for i in range(11)] + [(11, "The THE the"), (12, ""), (13, None), (None, "the")]
+    d, q = spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame(asked, "id long, text string")
+    split = lambda t: set((t or "").lower().replace(".", "").split())
+    want = {(a, b): round(len(split(t) & split(u)) / len(split(t)), 6) for a, t in asked for b, u in docs if a is not None and b is not None and split(t) & split(u)}
+    for block in (2048, 3):
+        monkeypatch.setattr(retrieve, "BLOCK", block)
+        assert {(r.query_id, r.id): r.score for r in retrieve.overlap_scores(q, d).collect()} == want
+        assert {(r.query_id, r.id) for r in retrieve.overlap_scores(q, d, least=0.6).collect()} == {p for p, s in want.items() if s >= 0.6}
+        best = {(r.query_id, r.id) for r in retrieve.overlap_scores(q, d, k=3).collect()}
+        assert best == {(a, b) for a in range(12) for _, b in sorted((-s, b) for (c, b), s in want.items() if c == a)[:3]}
+    assert retrieve.overlap_scores(q.limit(0), d).count() == retrieve.overlap_scores(q, d.limit(0), k=3).count() == 0
+
+
 def test_missing_snapshot_tables_are_listed(spark, tmp_path):
     with pytest.raises(FileNotFoundError, match="jobs, skills"):
         posts.read_snapshot(spark, f"file://{tmp_path}", ["jobs", "skills"])

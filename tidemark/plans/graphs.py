@@ -37,7 +37,7 @@ def j1_explore_deep(spark, sf):
 
 def j2_distances(spark, sf):
     """Hops from one company over all of the graph."""
-    d = graph.distances(_edges(spark, sf), spark.createDataFrame([("c0",)], "id string"), 3)
+    d = graph.distances(_edges(spark, sf), spark.createDataFrame([("c0",)], "id string"))
     return d.groupBy("hop").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -84,7 +84,7 @@ def j7_sparse_components(spark, sf):
 
 
 def j8_communities(spark, sf):
-    return graph.communities(_edges(spark, sf), 4).groupBy("community").agg(F.count(F.lit(1)).alias("n"))
+    return graph.communities(_edges(spark, sf)).groupBy("community").agg(F.count(F.lit(1)).alias("n"))
 
 
 def j9_projection(spark, sf):
@@ -153,17 +153,17 @@ def _qd(spark, sf):
 
 def k2_overlap(spark, sf):
     q, d = _qd(spark, sf)
-    return retrieve.overlap_scores(q, d).where("score >= 0.4")
+    return retrieve.overlap_scores(q, d, least=0.4)
 
 
 def k2_rerank(spark, sf):
     q, d = _qd(spark, sf)
-    return retrieve.rerank(retrieve.overlap_scores(q, d))
+    return retrieve.rerank(retrieve.overlap_scores(q, d, k=5))
 
 
 def k4_context(spark, sf):
     q, d = _qd(spark, sf)
-    return retrieve.context(retrieve.rerank(retrieve.overlap_scores(q, d)), d, 120)
+    return retrieve.context(retrieve.rerank(retrieve.overlap_scores(q, d, k=5)), d, 120)
 
 
 def k3_hybrid(spark, sf):
@@ -188,13 +188,13 @@ NAMES = [n for n in list(globals()) if n[0] in "dgjk" and n[1].isdigit()]
 QUERIES = {k: globals()[k] for k in NAMES}
 
 E = v.with_views("uses", "technologies", "companies") + ", edges as (select 'c' || company_id as src, 't' || tech_id as dst from uses), near as (select src, dst from edges union select dst, src from edges), nodes as (select 't' || tech_id as id, 'Technology' as label, name from technologies union all select 'c' || company_id, 'Company', name from companies)"
-W = "w as (select distinct doc_id as id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as word from documents), rare as (select word from w group by 1 having count(*) <= greatest((select count(*) from documents) * 0.1, 2)), q as (select distinct item_id as query_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as word from benchmark), qr as (select * from q where word in (select word from rare)), sz as (select query_id, count(*) as size from qr group by 1), s as (select query_id, id, round(count(*) / any_value(size), 6) as score from qr join w using (word) join sz using (query_id) group by 1, 2)"
+W = "w as (select distinct doc_id as id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as word from documents), q as (select distinct item_id as query_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as word from benchmark), sz as (select query_id, count(*) as size from q group by 1), s as (select query_id, id, round(count(*) / any_value(size), 6) as score from q join w using (word) join sz using (query_id) group by 1, 2)"
 RERANK = "with " + W + ", r as (select *, row_number() over (partition by query_id order by score desc, id) as rank, max(score) over (partition by query_id) < 0.4 as low_confidence from s), k as (select * from r where (not low_confidence and score >= 0.4 and rank <= 5) or (low_confidence and rank <= 3))"
 BEST = "best as (select id from (select k, id, row_number() over (partition by k order by case when lower(name) = k then 0 else 1 end, length(name), id) as r from nodes, (select unnest({keys}) as k) where contains(lower(name), k)) where r = 1)"
 ORACLES = {
     "j1_explore": E + ", " + BEST.format(keys="['small ring', 'blue bolt']") + ", n as (select src, dst, row_number() over (partition by src order by dst) as k from near where src in (select id from best)) select * from nodes where id in (select id from best union select dst from n where k <= 10)",
     "j1_explore_deep": E + ", " + BEST.format(keys="['small ring']") + ", n as (select src, dst, row_number() over (partition by src order by dst) as k from near where src in (select id from best)), one as (select src, dst from n where k <= 10), m as (select src, dst, row_number() over (partition by src order by dst) as k from near where src in (select dst from one) and src not in (select id from best)), a as (select src, dst from one union all select src, dst from m where k <= 10) select (select count(*) from (select id from best union select dst from a)) as nodes, (select count(*) from (select distinct least(src, dst), greatest(src, dst) from a)) as edges",
-    "j2_distances": E + ", l1 as (select distinct dst as id from near where src = 'c0'), l2 as (select distinct dst as id from near where src in (select id from l1) and dst <> 'c0'), l3 as (select distinct dst as id from near where src in (select id from l2) and dst not in (select id from l1)) select * from (select 0::bigint as hop, 1::bigint as n union all select 1, (select count(*) from l1) union all select 2, (select count(*) from l2) union all select 3, (select count(*) from l3)) where n > 0",
+    "j2_distances": E.replace("with ", "with recursive ", 1) + ", r(id, hop) as (select 'c0', 0::bigint union select dst, hop + 1 from r join near on src = id where hop < 6), l as (select id, min(hop) as hop from r group by 1) select hop, count(*) as n from l group by 1",
     "j3_by_location": v.with_views("uses", "companies", "technologies") + " select b.tech_id as other_id, count(distinct a.company_id) as companies from uses a join uses b on a.company_id = b.company_id and a.tech_id <> b.tech_id join companies c on c.company_id = a.company_id and contains(lower(location), 'nation_2') join technologies t on t.tech_id = a.tech_id and lower(t.name) = 'red widget' group by 1 order by companies desc, other_id limit 500",
     "j4_enriched": v.with_views("jobs", "hires", "companies") + " select job_id, floor(salary)::bigint as min_salary, location from jobs join hires using (job_id) join companies using (company_id) where salary >= 450000 and contains(lower(location), 'nation_1')",
     "j6_degree": E + " select src as id, count(*) as degree from near group by 1",

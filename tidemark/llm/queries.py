@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ctph, exact_dedup, language_id, mixing, packing, passages, quality, simhash, toxicity, url_filter
+from tidemark.llm import centroids, ctph, exact_dedup, language_id, mixing, packing, passages, quality, runs, sanitise, simhash, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,5 +60,21 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_quality, op3_toxicity, op4_fingerprints, op5_simhash, op6_packing, op7_exact_dedup, op8_mixing, op9_url_filter, op10_passages)}
-ORACLES = {"op7_exact_dedup": exact_dedup.EXACT_SQL, "op8_mixing": mixing.MIX_SQL}
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.clustered_vectors(table(spark, sf_dir, "embeddings"))
+    written = F.array_join(F.col("centroid").cast("array<string>"), ",")
+    return found.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", F.sha2(written, 256).alias("centroid_sha256"))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(runs.with_loops(table(spark, sf_dir, "documents")), "id", "text")
+    return runs.run_digests(found).withColumnRenamed("id", "doc_id")
+
+
+def op13_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitise.span_digests(sanitise.sanitised_spans(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
+_ALL = (op1_language_id, op2_quality, op3_toxicity, op4_fingerprints, op5_simhash, op6_packing, op7_exact_dedup, op8_mixing, op9_url_filter, op10_passages, op11_centroids, op12_runs, op13_sanitise)
+QUERIES = {f.__name__: f for f in _ALL}
+ORACLES = {"op7_exact_dedup": exact_dedup.EXACT_SQL, "op8_mixing": mixing.MIX_SQL, "op11_centroids": centroids.CENTROIDS_SQL}

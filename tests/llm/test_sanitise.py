@@ -74,9 +74,9 @@ def plain_terms(texts, reach, support, general):
     clean = lambda t: re.sub("|".join(f"(?:{p})" for p in PLAIN.values()), " ", t)
     texts = sorted(set(texts))
     beside = lambda words: [(w, f"{words[i - 1] if i else ''} {words[i + 1] if i + 1 < len(words) else ''}") for i, w in enumerate(words)]
-    near, shown, seen = defaultdict(set), defaultdict(set), defaultdict(set)
+    near, shown, seen, beside_any = defaultdict(set), defaultdict(set), defaultdict(set), defaultdict(set)
     for text in texts:
-        local, own, all_words = defaultdict(set), defaultdict(set), defaultdict(set)
+        local, own, all_words, any_value = defaultdict(set), defaultdict(set), defaultdict(set), defaultdict(set)
         for kind in PLAIN:
             spans = [m for m in re.finditer(PLAIN[kind], text)]
             for k, m in enumerate(spans):
@@ -89,16 +89,17 @@ def plain_terms(texts, reach, support, general):
                 for side in sides:
                     for w, b in beside(side):
                         local[value, w].add(b)
+                        any_value[w].add(b)
         for w, b in beside(word.findall(text.lower())):
             all_words[w].add(b)
-        for table, part in ((near, local), (shown, own), (seen, all_words)):
+        for table, part in ((near, local), (shown, own), (seen, all_words), (beside_any, any_value)):
             for k, v in part.items():
                 table[k].add(min(v, key=str.encode))
     out = {}
     for (value, w), obs in near.items():
         if len(obs) >= support:
             a = max(len(shown[value]), *(len(o) for (v, _), o in near.items() if v == value))
-            n, b = len(texts), max(len(seen[w]), len(obs))
+            n, b = len(texts), max(len(seen[w]), len(beside_any[w]))
             ic = math.log2(n / a)
             share = math.log2(n * len(obs) / (a * b)) / ic if ic else None
             if share is not None and round(share, 9) >= general:

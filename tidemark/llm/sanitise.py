@@ -122,15 +122,17 @@ def _without_values(text: Column) -> Column:
     return text
 
 
-def joint_counts(values: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(value, t, joint) and (value, shown): in how many texts a term stands beside a value and a value at all, each text
-    that has other words beside it."""
+def joint_counts(values: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(value, t, joint), (value, shown) and (t, near): in how many texts a term stands beside a value, a value at all,
+    and a term beside any value, each text that has other words beside it."""
     df = values.select("digest", protected(F.col("kind"), F.col("match")).alias("value"), _terms(_without_values(F.col("before"))).alias("b"), _terms(_without_values(F.col("after"))).alias("a"))
     shown = df.select("digest", "value", F.concat_ws(" ", F.coalesce(F.get("b", F.size("b") - 1), F.lit("")), F.coalesce(F.get("a", F.lit(0)), F.lit(""))).alias("w"))
     shown = shown.groupBy("digest", "value").agg(F.min("w").alias("w")).select("value", "w").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("shown"))
     sides = _beside(df, "b", "digest", "value").unionByName(_beside(df, "a", "digest", "value"))
-    joint = sides.groupBy("digest", "value", "t").agg(F.min("w").alias("w")).select("value", "t", "w").distinct().groupBy("value", "t").agg(F.count(F.lit(1)).alias("joint"))
-    return joint, shown
+    sides = stored(sides.groupBy("digest", "value", "t").agg(F.min("w").alias("w")), "beside")
+    joint = sides.select("value", "t", "w").distinct().groupBy("value", "t").agg(F.count(F.lit(1)).alias("joint"))
+    near = sides.groupBy("digest", "t").agg(F.min("w").alias("w")).select("t", "w").distinct().groupBy("t").agg(F.count(F.lit(1)).alias("near"))
+    return joint, shown, near
 
 
 def _small(df: DataFrame, limit: int) -> DataFrame:
@@ -146,24 +148,27 @@ def disclosing_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def _disclosing(texts: DataFrame, values: DataFrame, support: int, general: float, broadcast_rows: int) -> tuple[DataFrame, DataFrame]:
-    joint, shown = joint_counts(values)
-    joint = stored(joint, "joint")
-    # a value is shown at least as often as any term beside it
+    joint, shown, near = joint_counts(values)
+    joint = stored(joint.where(F.col("joint") >= support), "joint")
+    n = float(max(texts.select("digest").distinct().count(), 1))
+
+    def judged(df: DataFrame) -> DataFrame:
+        """With share = log2(p(t, value) / (p(t) p(value))) / -log2 p(value), if it is large enough."""
+        pmi, ic = F.log2(F.lit(n) * F.col("joint") / (F.col("seen") * F.col("shown"))), F.log2(F.lit(n) / F.col("shown"))
+        return df.withColumn("share", F.round(F.try_divide(pmi, ic), 9)).where(F.col("share") >= general)
+
+    # a value is shown at least as often as any term beside it, and a term is seen at least as often as beside values; a
+    # share falls as its term is seen more often, so what is too common already beside values needs no look at all texts
     most = joint.groupBy("value").agg(F.max("joint").alias("most"))
-    shown = shown.join(most, "value", "left").select("value", F.greatest("shown", F.coalesce("most", F.lit(0))).alias("shown"))
-    pairs = stored(joint.where(F.col("joint") >= support).join(shown, "value"), "joint-shown")
+    shown = shown.join(most, "value").select("value", F.greatest("shown", "most").alias("shown"))
+    pairs = stored(judged(joint.join(shown, "value").join(near.withColumnRenamed("near", "seen"), "t")), "pairs")
     candidates = stored(pairs.select("t").distinct(), "candidates")
     # all words of all texts; a text is one observation of a term, told apart by the words beside it
     words = _beside(texts.select("digest", _terms(F.col("text")).alias("words")), "words", "digest")
     seen = words.join(_small(candidates, broadcast_rows), "t").groupBy("digest", "t").agg(F.min("w").alias("w"))
     seen = stored(seen, "seen")
-    counts = seen.select("t", "w").distinct().groupBy("t").agg(F.count(F.lit(1)).alias("seen"))
-    n = texts.select("digest").distinct().count()
-    ic = F.log2(F.lit(float(max(n, 1))) / F.col("shown"))
-    # log2(p(t, value) / (p(t) p(value))) / -log2 p(value), where a term is seen wherever it stands beside a value
-    found = pairs.join(counts, "t").withColumn("seen", F.greatest("seen", "joint"))
-    pmi = F.log2(F.lit(float(max(n, 1))) * F.col("joint") / (F.col("seen") * F.col("shown")))
-    found = found.withColumn("share", F.round(F.try_divide(pmi, ic), 9)).where(F.col("share") >= general)
+    counts = seen.select("t", "w").distinct().groupBy("t").agg(F.count(F.lit(1)).alias("all_seen"))
+    found = judged(pairs.drop("share").join(counts, "t").withColumn("seen", F.greatest("seen", "all_seen")))
     return stored(found.select("t", "value", "joint", "seen", "shown", "share"), "disclosing"), seen
 
 

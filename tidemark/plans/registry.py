@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tidemark.plans import basics, graphs, market, sources, text, trends, vectors
+from tidemark.plans import basics, graphs, ingest, market, sources, text, trends, vectors
 
-MODULES = [basics, trends, market, text, vectors, graphs, sources]
+MODULES = [basics, trends, market, text, vectors, graphs, sources, ingest]
 
 
 def queries() -> dict[str, Callable]:

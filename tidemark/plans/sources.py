@@ -149,7 +149,7 @@ def l1_extraction(spark, sf):
     return out.select("source_url", F.md5(F.col("source_url").cast("binary")).alias("key"), F.array_join("techs", "|").alias("techs"), F.array_join("roles", "|").alias("roles"))
 
 
-def l2_graph_writer(spark, sf):
+def l2_technology_mentions(spark, sf):
     """Technology nodes from the extraction stream, each message once."""
     s = streams.extracted(_stream(_messages(spark, sf)), *TERMS).select("source_url", F.explode("techs").alias("name"))
     out = streams.run_once(s).dropDuplicates(["source_url", "name"])

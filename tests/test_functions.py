@@ -132,3 +132,34 @@ def test_spans_that_overlap_go_by_the_pattern():
 
     patterns = [re.compile(p) for p in ("bc", "abcd|x", "d")]
     assert spans.ordered_spans("abcd x bc d", patterns, False) == ["bc", "bc", "x", "d", "d"]
+
+
+SAMPLES = (
+    "ngày 3 tháng 5 năm 2026", "tháng 12 năm 2025", "Quý II / 2026", "Quý IV", "Q1 / 2026", "3/5/2026", "5/2026", "May 2026", "năm 2026", "Thứ Hai", "thứ hai tới", "3/5 và 4/5",
+    "10 - 20 triệu VNĐ", "15 triệu đồng", "upto 30 triệu", "up to $2000 USD", "từ 10 đến 20 triệu", "$1,000 - $2,000 USD", "10.000.000 đồng", "500 $ / tháng", "$ 500 - $ 900", "13 tháng lương",
+    "lương 20 triệu", "thu nhập 20 nghìn", "lương cạnh tranh", "thu nhập cạnh tranh", "thu nhập theo năng lực", "salary negotiable", "competitive salary range",
+)
+
+
+def test_dates_and_pay_are_those_of_the_patterns(spark):
+    """Every pattern with each kind of space that Python's matcher knows, in either case, and with digits of other scripts."""
+    import re
+
+    from tidemark.functions import spans
+
+    texts = []
+    for s in SAMPLES:
+        for space in " \t\n  　\u0085\u001c ":
+            texts += [s.replace(" ", space), s.upper().replace(" ", space)]
+        texts += ["".join(chr(0x0660 + int(c)) if c.isdigit() else c for c in s), f"x {s}, {s}."]
+    texts += ["", None, "nothing here", "thu", "quy"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: (r.x.dates if r.x else [], r.x.pay if r.x else []) for r in df.select("i", spans.dates_and_pay(F.col("t")).alias("x")).collect()}
+    dates, pay = ([re.compile(p, re.IGNORECASE) for p in ps] for ps in (spans.DATES, spans.PAY))
+    hit = [set(), set()]
+    for i, t in enumerate(texts):
+        want = (spans.ordered_spans(t or "", dates, False), spans.ordered_spans(t or "", pay, True))
+        assert tuple(map(list, (got[i][0] or [], got[i][1] or []))) == tuple(want), repr(t)
+        for k, ps in enumerate((dates, pay)):
+            hit[k] |= {p.pattern for p in ps if p.search(t or "")}
+    assert len(hit[0]) == len(spans.DATES) and len(hit[1]) == len(spans.PAY)

@@ -13,8 +13,9 @@ from pyspark.sql import types as T
 
 from tidemark.functions.patterns import DATES, PAY
 
-#: A text without any of these holds no date and no pay by those patterns.
-HINT = r"(?iu)\d|qu[yý]\s|th[ứu]\s|lương|salary"
+#: A text without any of these holds no date and no pay by those patterns. Digits and spaces are those of Python, whose
+#: matcher runs the patterns: digits of all scripts, and no-break, thin and other spaces.
+HINT = r"(?iu)\p{Nd}|(?:qu[yý]|th[ứu])[\s\p{Z}\x1c-\x1f\x85]|lương|salary"
 ENTITY = T.ArrayType(T.StructType([T.StructField("entity", T.StringType()), T.StructField("label", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 

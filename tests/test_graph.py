@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import features, graph, market, retrieve, vectors
+from tidemark.operators import features, graph, louvain, market, retrieve, vectors
 from tidemark.sources import posts
 from tidemark.streaming import streams
 
@@ -43,7 +43,7 @@ def test_walks_stay_on_edges(edges):
 
 def test_communities_cut_a_bridge(spark):
     e = [(a, b) for g in ("abcd", "wxyz") for i, a in enumerate(g) for b in g[i + 1 :]] + [("d", "w")]
-    got = {r.id: r.community for r in graph.communities(spark.createDataFrame(e, "src string, dst string")).collect()}
+    got = {r.id: r.community for r in louvain.communities(spark.createDataFrame(e, "src string, dst string")).collect()}
     assert len({got[x] for x in "abcd"}) == 1 and len({got[x] for x in "wxyz"}) == 1 and got["a"] != got["z"]
 
 
@@ -57,14 +57,14 @@ def test_communities_of_contracted_ones(spark):
     """Single moves stop at the 24 triangles of a ring; only when these are nodes do neighbours among them join."""
     e = [(f"{t:02d}{x}", f"{t:02d}{y}") for t in range(24) for x, y in ("ab", "bc", "ca")]
     e += [(f"{t:02d}c", f"{(t + 1) % 24:02d}a") for t in range(24)]
-    got = {r.id: r.community for r in graph.communities(spark.createDataFrame(e, "src string, dst string")).collect()}
+    got = {r.id: r.community for r in louvain.communities(spark.createDataFrame(e, "src string, dst string")).collect()}
     triangles = {x: x[:2] for x in got}
     assert len(got) == 72 and all(c == min(x for x in got if got[x] == c) for c in set(got.values()))
     assert len(set(got.values())) < 24 and _modularity(e, got) > _modularity(e, triangles) + 0.01
 
 
 def test_communities_of_no_edges(spark):
-    assert graph.communities(spark.createDataFrame([("a", "a")], "src string, dst string")).count() == 0
+    assert louvain.communities(spark.createDataFrame([("a", "a")], "src string, dst string")).count() == 0
 
 
 def test_upsert_is_idempotent(spark):
@@ -218,3 +218,27 @@ def test_stream_equals_batch(spark, tmp_path):
     s = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "v"))
     got = streams.run_once(streams.unique_visits(s, "30 days")).select("day", "ip")
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in streams.unique_visits(df).collect()}
+
+
+def test_modularity_and_blocks(spark):
+    """Twelve dense groups and a hub beside them all: found whole and block by block, where the hub has more links than a
+    block holds; the figure that decides is the definition's."""
+    rng = np.random.default_rng(4)
+    e = [(g * 100 + a, g * 100 + b) for g in range(12) for a in range(15) for b in range(a) if rng.random() < 0.7]
+    e += [(g * 100 + int(rng.integers(15)), (g + 1) % 12 * 100 + int(rng.integers(15))) for g in range(12) for _ in range(2)]
+    e += [(9999, g * 100 + a) for g in range(12) for a in range(15)]
+    df = spark.createDataFrame(e, "src long, dst long")
+    links = graph.symmetric(df).withColumn("w", F.lit(1.0))
+    groups = {x: x // 100 for pair in e for x in pair}
+    for limit in (1_000_000, 170):
+        own = louvain.communities(df, block_links=limit)
+        got = {r.id: r.community for r in own.collect()}
+        assert set(got) == set(groups) and all(c == min(x for x in got if got[x] == c) for c in set(got.values()))
+        q = _modularity(e, got)
+        assert abs(louvain.modularity(links, own, float(links.count())) - q) < 1e-9
+        assert q > _modularity(e, groups) - 0.01
+
+
+def test_communities_leave_out_null_ends(spark):
+    df = spark.createDataFrame([("a", None), (None, None), ("a", "b"), ("b", "a"), ("a", "b")], "src string, dst string")
+    assert {tuple(r) for r in louvain.communities(df).collect()} == {("a", "a"), ("b", "a")}

@@ -147,71 +147,6 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataF
     return score
 
 
-def communities(edges: DataFrame, levels: int = 10, rounds: int = 20, tolerance: float = 1e-4) -> DataFrame:
-    """(id, community) by Louvain's method on the undirected graph, named by the least id: nodes move to the neighbouring
-    community that raises modularity most, then each community becomes one node and the same goes on, for at most `levels`
-    levels or until modularity rises by `tolerance` no more. Ties go to the least community."""
-    links = stored(symmetric(edges).withColumn("w", F.lit(1.0)), "links")
-    total = float(links.count()) or 1.0
-    member = links.select(F.col("src").alias("id")).distinct().withColumn("community", F.col("id"))
-    score = _modularity(links, member, total)
-    for _ in range(levels):
-        moved, new = _moves(links, total, score, rounds, tolerance)
-        if new <= score + tolerance:
-            break
-        score, to = new, moved.select(F.col("id").alias("community"), F.col("community").alias("to"))
-        member = stored(member.join(to, "community").select("id", F.col("to").alias("community")), "member")
-        ends = links.join(moved.select(F.col("id").alias("src"), F.col("community").alias("a")), "src").join(moved.select(F.col("id").alias("dst"), F.col("community").alias("b")), "dst")
-        links = stored(ends.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")), "links")
-    least = member.groupBy("community").agg(F.min("id").alias("least"))
-    return member.join(least, "community").select("id", F.col("least").alias("community"))
-
-
-def _modularity(links: DataFrame, own: DataFrame, total: float) -> float:
-    """Of a partition (id, community); links stand in both directions, those inside a contracted node once, doubled."""
-    ends = links.join(own.select(F.col("id").alias("src"), F.col("community").alias("a")), "src").join(own.select(F.col("id").alias("dst"), F.col("community").alias("b")), "dst")
-    parts = ends.groupBy("a").agg(F.sum("w").alias("all"), F.sum(F.when(F.col("a") == F.col("b"), F.col("w")).otherwise(0.0)).alias("inside"))
-    return parts.agg(F.sum(F.col("inside") / total - F.pow(F.col("all") / total, 2))).first()[0] or 0.0
-
-
-def _moves(links: DataFrame, total: float, score: float, rounds: int, tolerance: float) -> tuple[DataFrame, float]:
-    """(id, community) and its modularity: one level of moves from nodes that each are a community.
-
-    Nodes move at once, so in each round a half of the communities, drawn by hash, only lose nodes and the others only
-    gain some, and a node counts a share of the others that want into the same community, drawn by hash too, as being there
-    before it. The best partition is kept; the level ends when three rounds on end have changed modularity by less than
-    `tolerance`, or after `rounds`."""
-    deg = stored(links.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("degree")), "degree")
-    best = own = deg.select("id", F.col("id").alias("community"), "degree")
-    before, calm = score, 0
-    for r in range(rounds):
-        gains = F.pmod(F.xxhash64("community", F.lit(r)), F.lit(2)) == 0
-        weight = own.groupBy("community").agg(F.sum("degree").alias("all"))
-        near = links.where("src <> dst").join(own.select(F.col("id").alias("dst"), "community"), "dst").groupBy(F.col("src").alias("id"), "community").agg(F.sum("w").alias("w"))
-        stay = own.select("id", "community", F.lit(0.0).alias("w"))
-        pairs = near.unionByName(stay).groupBy("id", "community").agg(F.sum("w").alias("w")).join(weight, "community").withColumn("gains", gains)
-        pairs = pairs.join(own.select("id", "degree", F.col("community").alias("now")), "id")
-        at_home = F.col("community") == F.col("now")
-        rest = F.col("all") - F.when(at_home, F.col("degree")).otherwise(0.0)
-        pairs = pairs.withColumn("gain", F.round(F.col("w") - F.col("degree") * rest / total, 9))
-        home, other = F.max(F.when(at_home, F.struct("gain", "gains"))), F.when(~at_home & F.col("gains"), F.struct((-F.col("gain")).alias("loss"), "community"))
-        choice = stored(pairs.groupBy("id", "degree", "now").agg(home.alias("home"), F.min(other).alias("to")), "choice")
-        want = choice.where(~F.col("home.gains") & (-F.col("to.loss") > F.col("home.gain")))
-        crowd = want.groupBy(F.col("to.community").alias("community")).agg(F.sum("degree").alias("crowd"))
-        want = want.select("id", "degree", F.col("to.community").alias("community"), (-F.col("to.loss") - F.col("home.gain")).alias("better")).join(crowd, "community")
-        share = F.pmod(F.xxhash64("id", F.lit(r)), F.lit(1024)) / 1024
-        moved = want.where(F.col("better") > F.col("degree") * share * (F.col("crowd") - F.col("degree")) / total).select("id", F.col("community").alias("to"))
-        own = stored(choice.select("id", "now", "degree").join(moved, "id", "left").select("id", F.coalesce("to", "now").alias("community"), "degree"), "community")
-        now = _modularity(links, own, total)
-        if now > score:
-            best, score = own, now
-        calm = calm + 1 if abs(now - before) < tolerance else 0
-        if calm == 3:
-            break
-        before = now
-    return best.select("id", "community"), score
-
-
 def fast_random_projection(edges: DataFrame, dim: int = 64, weights: Sequence[float] = (0.0, 1.0, 1.0, 1.0)) -> DataFrame:
     """(id, embedding): sparse random vectors by hash, averaged over neighbours and L2-normalised in rounds, summed by weight."""
     near = stored(symmetric(edges), "near")

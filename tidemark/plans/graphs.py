@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tidemark.operators import entities, graph, market, retrieve
+from tidemark.operators import entities, graph, louvain, market, retrieve
 from tidemark.plans import views as v
 from tidemark.plans.basics import MENTIONS
 from tidemark.sources.shared import stored
@@ -84,7 +84,7 @@ def j7_sparse_components(spark, sf):
 
 
 def j8_communities(spark, sf):
-    return graph.communities(_edges(spark, sf)).groupBy("community").agg(F.count(F.lit(1)).alias("n"))
+    return louvain.communities(_edges(spark, sf))
 
 
 def j9_projection(spark, sf):

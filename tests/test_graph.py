@@ -168,8 +168,8 @@ def test_adjusted_skewness(spark):
 
 
 def test_best_trial_takes_the_least_davies_bouldin(spark):
-    t = spark.createDataFrame([(4, 0.9, 0.1, 4, True), (8, 0.3, 0.1, 8, True), (9, 0.1, 0.1, 9, False)], "k long, davies_bouldin double, noise_ratio double, clusters long, valid boolean")
-    assert features.best_trial(t, "davies_bouldin").first().k == 8
+    t = spark.createDataFrame([(4, 0.9, 0.1, 4, True), (8, 0.3, 0.1, 8, True), (9, 0.1, 0.1, 9, False)], "place long, davies_bouldin double, noise_ratio double, clusters long, valid boolean")
+    assert features.best_trial(t, "davies_bouldin").first().place == 8
 
 
 def test_rerank_falls_back(spark):
@@ -242,3 +242,35 @@ def test_modularity_and_blocks(spark):
 def test_communities_leave_out_null_ends(spark):
     df = spark.createDataFrame([("a", None), (None, None), ("a", "b"), ("b", "a"), ("a", "b")], "src string, dst string")
     assert {tuple(r) for r in louvain.communities(df).collect()} == {("a", "a"), ("b", "a")}
+
+
+def test_node_vectors_bring_neighbours_together(spark):
+    """Ten groups of twelve nodes, densely linked inside and by a few links between: nodes of one group are alike."""
+    rng = np.random.default_rng(6)
+    e = [(f"{g:02d}-{a:02d}", f"{g:02d}-{b:02d}") for g in range(10) for a in range(12) for b in range(a) if rng.random() < 0.6]
+    e += [(f"{g:02d}-00", f"{(g + 1) % 10:02d}-01") for g in range(10)]
+    walks = graph.random_walks(spark.createDataFrame(e, "src string, dst string"), 10, 10)
+    got = {r.id: np.array(r.vector) for r in graph.node_vectors(walks, 16).collect()}
+    assert set(got) == {x for pair in e for x in pair} and {len(v) for v in got.values()} == {16}
+    ids = sorted(got)
+    x = np.array([got[i] / np.linalg.norm(got[i]) for i in ids])
+    cosine, group = x @ x.T, np.array([i[:2] for i in ids])
+    same = (group[:, None] == group[None]) & ~np.eye(len(ids), dtype=bool)
+    assert cosine[same].mean() > cosine[group[:, None] != group[None]].mean() + 0.4
+    # the most alike node is of the own group
+    np.fill_diagonal(cosine, -1)
+    assert (group[cosine.argmax(1)] == group).mean() > 0.9
+    assert graph.node_vectors(walks.where("false")).count() == 0
+
+
+def test_co_occurrences_and_numbers(spark):
+    walks = spark.createDataFrame([(["a", "b", "c", "a"],), (["b"],)], "path array<string>")
+    got = {(r.id, r.context): r.n for r in graph.co_occurrences(walks, 2).collect()}
+    path, want = ["a", "b", "c", "a"], {}
+    for i, u in enumerate(path):
+        for j, w in enumerate(path):
+            if 0 < abs(i - j) <= 2 and u != w:
+                want[u, w] = want.get((u, w), 0) + 1
+    assert got == want
+    ids = spark.createDataFrame([(f"{i % 37:03d}",) for i in range(100)] + [(None,)], "id string")
+    assert sorted((r.id, r.number) for r in graph.numbered(ids).collect()) == [(f"{i:03d}", i) for i in range(37)]

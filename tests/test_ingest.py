@@ -33,7 +33,7 @@ def test_windows_give_what_whole_texts_give(spark):
     df = spark.createDataFrame(list(texts.items()), "id long, text string").withColumns({c: F.lit("x") for c in ("chunk", "start", "label", "words", "entity")})
     # stretches are shorter than the overlap, so each lies whole in some window
     longest = max(e - b for t in texts.values() for b, e, *_ in shout_model(t.split()))
-    got = scoring.merged_entities(scoring.scored_windows(scoring.word_windows(df, "id", "text", 40, max(longest + 1, 12)), lambda: shout_model, "shout"))
+    got = scoring.merged_entities(scoring.scored_windows(scoring.word_windows(df, "id", "text", 40, shared := max(longest + 1, 12)), lambda: shout_model, "shout", shared))
     got = sorted((r.id, r.start, " ".join(r.words), r.label, r.score) for r in got.collect())
     want = sorted((i, b, " ".join(t.split()[b:e]), "SHOUT", 0.91) for i, t in texts.items() for b, e, *_ in shout_model(t.split()))
     assert got == want and len(want) > 100
@@ -41,7 +41,7 @@ def test_windows_give_what_whole_texts_give(spark):
 
 def test_long_runs_are_put_together_again(spark):
     df = spark.createDataFrame([(1, "x " + "ONE TWO " * 150 + "y")], "id long, text string")
-    got = scoring.merged_entities(scoring.scored_windows(scoring.word_windows(df, "id", "text", 40, 10), lambda: shout_model, "shout")).collect()
+    got = scoring.merged_entities(scoring.scored_windows(scoring.word_windows(df, "id", "text", 40, 10), lambda: shout_model, "shout", 10)).collect()
     assert [(r.start, r.words) for r in got] == [(1, ["ONE", "TWO"] * 150)]
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -9,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.vectors import unit
-from tidemark.operators.vectors import clustering_metrics
+from tidemark.operators.vectors import clustering_metrics, dbscan
+from tidemark.sources.batches import read_batches, write_batch, written_batches
 from tidemark.sources.shared import stored
 
 
@@ -21,13 +23,24 @@ def feature_matrix(ids: DataFrame, blocks: Mapping[str, DataFrame]) -> DataFrame
     return out.na.fill(0.0)
 
 
-def scaled(df: DataFrame, key: str, weights: Mapping[str, float], method: str = "standard") -> DataFrame:
-    """Columns scaled by standard (population deviation), minmax or robust (median and quartiles) and weighted; a column
-    without spread, NaN and null are 0. The statistics are one row."""
+#: Rows up to which quartiles are exact, and the share of ranks by which those of more rows may be off.
+EXACT_ROWS, RANKS = 1_000_000, 100_000
+
+
+def scaled(df: DataFrame, key: str, weights: Mapping[str, float], method: str = "standard", exact_rows: int = EXACT_ROWS) -> DataFrame:
+    """Columns scaled by standard (population deviation), minmax or robust (median and quartiles, between values where a rank
+    falls there) and weighted; a column without spread, NaN and null are 0. The statistics are one row. Beyond exact_rows
+    rows robust takes quartiles from a mergeable sketch of bounded size, off by 1 / 100,000 of the ranks at most."""
+    if method == "robust":
+        exact = df.limit(exact_rows + 1).count() <= exact_rows
+        quartile = lambda x, q: F.percentile(x, q) if exact else F.percentile_approx(x, q, RANKS)
     stats = []
     for c in weights:
-        x = F.col(c)
-        a, b = {"standard": (F.avg(x), F.stddev_pop(x)), "minmax": (F.min(x), F.max(x) - F.min(x)), "robust": (F.percentile_approx(x, 0.5), F.percentile_approx(x, 0.75) - F.percentile_approx(x, 0.25))}[method]
+        x = F.when(~F.isnan(c), F.col(c))
+        if method == "robust":
+            a, b = quartile(x, 0.5), quartile(x, 0.75) - quartile(x, 0.25)
+        else:
+            a, b = {"standard": (F.avg(c), F.stddev_pop(c)), "minmax": (F.min(c), F.max(c) - F.min(c))}[method]
         stats += [a.alias(f"_a{c}"), b.alias(f"_b{c}")]
     one = df.agg(*stats)
     def col(c, w):
@@ -69,14 +82,44 @@ def kmeans(rows: DataFrame, k: int, seed: int = 42, restarts: int = 1) -> DataFr
     return best.transform(x).select("id", "vec", F.col("prediction").cast("long").alias("cluster_id"))
 
 
-def grid_search(rows: DataFrame, ks: Sequence[int], least: int, most: int, noise: float = 0.6) -> DataFrame:
-    """A row for each trial: k, its metrics, and whether it keeps the bounds on clusters and noise. A trial is a Spark fit."""
-    out = None
-    for k in ks:
-        m = clustering_metrics(stored(kmeans(rows, k), "trial")).withColumn("k", F.lit(k).cast("long"))
-        out = m if out is None else out.unionByName(m)
-    ok = (F.col("clusters") >= least) & (F.col("clusters") <= most) & (F.col("noise_ratio") <= noise)
-    return stored(out.withColumn("valid", ok), "trials")
+TRIALS = "place long, algorithm string, params string, error string, clusters long, noise_ratio double, davies_bouldin double, calinski_harabasz double, silhouette double, valid boolean"
+_METRICS = ("clusters", "noise_ratio", "davies_bouldin", "calinski_harabasz", "silhouette")
+
+
+def _fit(rows: DataFrame, algorithm: str, params: Mapping) -> DataFrame:
+    """(id, vec, cluster_id) of one algorithm with its parameters."""
+    if algorithm == "kmeans":
+        if not 0 < params["k"]:
+            raise ValueError(f"k-means needs clusters, not {params['k']}")
+        return kmeans(rows, **params)
+    if algorithm == "dbscan":
+        if not params["eps"] > 0:
+            raise ValueError(f"DBSCAN needs a positive eps, not {params['eps']}")
+        return rows.select("id", "vec").join(dbscan(rows, **params), "id")
+    raise ValueError(f"no algorithm {algorithm}")
+
+
+def run_trials(rows: DataFrame, trials: Sequence[tuple[str, Mapping]], folder: str, least: int, most: int, noise: float = 0.6) -> DataFrame:
+    """The table of trials (algorithm, parameters) over rows (id, vec): metrics, and whether each keeps the bounds on
+    clusters and noise. A trial is a Spark fit of its own; one that fails is a row with its reason and no metrics.
+
+    Each finished trial is a batch of the table in `folder`; a search that is started again there skips what is finished.
+    Trials are told apart by their place, so a search goes on with the same list.
+    """
+    spark = rows.sparkSession
+    done = set(written_batches(spark, folder))
+    for place, (algorithm, params) in enumerate(trials):
+        if place in done:
+            continue
+        error, found = None, None
+        try:
+            found = clustering_metrics(stored(_fit(rows, algorithm, params), "trial")).first().asDict()
+        except Exception as e:  # noqa: BLE001  the other trials go on
+            error = f"{type(e).__name__}: {e}".splitlines()[0][:300]
+        ok = found is not None and least <= found["clusters"] <= most and (found["noise_ratio"] or 0.0) <= noise
+        row = (place, algorithm, json.dumps(params, sort_keys=True), error, *[found[m] if found else None for m in _METRICS], ok)
+        write_batch({"trials": spark.createDataFrame([row], TRIALS)}, folder, place)
+    return read_batches(spark, folder, "trials", TRIALS).drop("batch")
 
 
 #: Whether more is better.
@@ -84,9 +127,9 @@ DIRECTION = {"silhouette": True, "calinski_harabasz": True, "davies_bouldin": Fa
 
 
 def best_trial(trials: DataFrame, metric: str) -> DataFrame:
-    """The best trial of those within bounds by the metric, then less noise, more clusters, smaller k."""
+    """The best trial of those within bounds by the metric, then less noise, more clusters, the earlier place."""
     first = F.desc(metric) if DIRECTION[metric] else F.asc(metric)
-    return trials.where("valid").orderBy(first, "noise_ratio", F.desc("clusters"), "k").limit(1)
+    return trials.where("valid").orderBy(first, "noise_ratio", F.desc("clusters"), "place").limit(1)
 
 
 def name_vectors(names: DataFrame, dim: int) -> DataFrame:

@@ -5,6 +5,7 @@ Nodes are (id, label, name, ...), edges (type, src, dst). Ids are strings made o
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -179,15 +180,56 @@ def random_walks(edges: DataFrame, length: int = 10, walks: int = 10, seed: int
     return now.select("id", "walk", "path")
 
 
-def node_vectors(walks: DataFrame, dim: int = 64, seed: int = 42) -> DataFrame:
-    """(id, vector) by Word2Vec over the walks' node ids. Each partition of the walks is fitted by a task; Word2Vec itself
-    keeps the list of ids, and its weights, in every one of them and in the driver."""
-    from pyspark.ml.feature import Word2Vec
+def numbered(ids: DataFrame) -> DataFrame:
+    """(id, number) of the different ids, numbered from 0 in their order, without gathering them: a number is a place in a
+    range of the order behind the ranges before it."""
+    parts = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = stored(ids.select("id").where("id is not null").distinct().repartitionByRange(parts, "id").withColumn("part", F.spark_partition_id()), "ids")
+    before = F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))  # a row a partition
+    before = d.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    place = F.row_number().over(W.partitionBy("part").orderBy("id")) - 1 + F.col("before")
+    return d.join(before, "part").select("id", place.cast("long").alias("number"))
 
-    paths = walks.select(F.transform("path", lambda x: x.cast("string")).alias("path"))
-    parts = max(1, paths.rdd.getNumPartitions())
-    model = Word2Vec(vectorSize=dim, minCount=1, seed=seed, inputCol="path", outputCol="v", numPartitions=parts, maxIter=1).fit(paths)
-    return model.getVectors().select(F.col("word").alias("id"), "vector")
+
+def co_occurrences(walks: DataFrame, window: int = 5) -> DataFrame:
+    """(id, context, n): how often a node stands within `window` steps of another one on the walks (path)."""
+    at = walks.select("path", F.posexplode("path").alias("i", "id"))
+    near = F.slice("path", F.greatest(F.col("i") - window + 1, F.lit(1)), F.least(F.col("i"), F.lit(window)))
+    ahead = F.slice("path", F.col("i") + 2, F.lit(window))
+    each = at.select("id", F.explode(F.concat(near, ahead)).alias("context")).where("id <> context")
+    return each.groupBy("id", "context").agg(F.count(F.lit(1)).alias("n"))
+
+
+def node_vectors(walks: DataFrame, dim: int = 64, seed: int = 42, window: int = 5, negatives: int = 1, rounds: int = 5) -> DataFrame:
+    """(id, vector) of the nodes on walks (path): the factors of the matrix that skip-gram with negative sampling fits, the
+    pointwise mutual information of node and context less log(negatives) (Levy and Goldberg, 2014), where it is positive.
+
+    Factors are tables in blocks of nodes on both sides, updated in turn by Spark's alternating least squares; no list of
+    ids or vectors is gathered. Nodes without positive information (with more negatives, there may be some) have no vector;
+    no walks: no rows.
+    """
+    from pyspark.ml.recommendation import ALS
+
+    pairs = stored(co_occurrences(walks, window), "pairs")
+    of_id = pairs.groupBy("id").agg(F.sum("n").alias("a"))
+    of_context = pairs.groupBy("context").agg(F.sum("n").alias("b"))
+    total = float(pairs.agg(F.sum("n")).first()[0] or 0)
+    pmi = F.log(F.col("n") * F.lit(total) / (F.col("a") * F.col("b"))) - math.log(negatives)
+    number = stored(numbered(pairs.select("id").unionByName(pairs.select(F.col("context").alias("id")))), "numbers")
+    if number.count() >= 1 << 31:
+        raise OverflowError("2^31 nodes or more")
+    known = stored(pairs.join(of_id, "id").join(of_context, "context").withColumn("pmi", pmi).where("pmi > 0"), "pmi")
+    # on average 1, so that the penalty means the same for every graph
+    mean = known.agg(F.avg("pmi")).first()[0] or 1.0
+    rows = known.withColumn("pmi", F.col("pmi") / mean).join(number.withColumnRenamed("number", "u"), "id")
+    rows = rows.join(number.select(F.col("id").alias("context"), F.col("number").alias("v")), "context").select(F.col("u").cast("int"), F.col("v").cast("int"), F.col("pmi").cast("float"))
+    rows = stored(rows, "information")
+    if not rows.head(1):
+        return pairs.select("id", F.array().cast("array<double>").alias("vector")).where("false")
+    blocks = int(walks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    als = ALS(rank=dim, maxIter=rounds, regParam=0.05, seed=seed, userCol="u", itemCol="v", ratingCol="pmi", numUserBlocks=blocks, numItemBlocks=blocks)
+    factors = als.fit(rows).userFactors
+    return factors.join(number, factors["id"] == number["number"]).select(number["id"], F.col("features").cast("array<double>").alias("vector"))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, replace: dict[str, Sequence[str]] | None = None) -> DataFrame:

@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from tidemark.sources.shared import stored
 
 Model = Callable[[list[str]], Iterable[tuple[int, int, str, float]]]
-_SPAN = pa.struct([("start", pa.int64()), ("words", pa.list_(pa.string())), ("label", pa.string()), ("score", pa.float64())])
+_SPAN = pa.struct([("start", pa.int64()), ("words", pa.list_(pa.string())), ("label", pa.string()), ("score", pa.float64()), ("edge", pa.bool_())])
 _SCORED = pa.schema([("id", pa.int64()), ("chunk", pa.int64()), ("failed", pa.string()), ("spans", pa.list_(_SPAN))])
-SCORED = "id long, chunk long, failed string, spans array<struct<start: long, words: array<string>, label: string, score: double>>"
+SCORED = "id long, chunk long, failed string, spans array<struct<start: long, words: array<string>, label: string, score: double, edge: boolean>>"
 _models: dict[str, Model] = {}
 
 
@@ -38,7 +38,19 @@ def word_windows(df: DataFrame, id_col: str, text_col: str, size: int = 480, ove
     return each.select("id", F.col("chunk").cast("long").alias("chunk"), (F.col("chunk") * step).cast("long").alias("start"), "words")
 
 
-def _score(load: Callable[[], Model], name: str):
+def _whole(spans: Iterable, n: int) -> list[tuple[int, int, str, float]]:
+    """The well-formed spans of a window of n words; those of one label that share words are one."""
+    good = sorted((str(label).upper(), b, e, float(score)) for b, e, label, score in spans if label and score is not None and 0 <= b < e <= n)
+    out: list[tuple[int, int, str, float]] = []
+    for label, b, e, score in good:
+        if out and out[-1][2] == label and b < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]), label, max(score, out[-1][3]))
+        else:
+            out.append((b, e, label, score))
+    return out
+
+
+def _score(load: Callable[[], Model], name: str, overlap: int):
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
@@ -50,8 +62,9 @@ def _score(load: Callable[[], Model], name: str):
             failed, spans = [], []
             for start, words in zip(batch.column("start").to_pylist(), batch.column("words").to_pylist()):
                 try:
-                    found = [(b, e, str(label).upper(), float(score)) for b, e, label, score in model(words) if label and score is not None and 0 <= b < e <= len(words)]
-                    spans.append([{"start": start + b, "words": words[b:e], "label": label, "score": score} for b, e, label, score in found])
+                    found = _whole(model(words), len(words))
+                    inner = range(overlap if start else 0, len(words) - overlap + 1)
+                    spans.append([{"start": start + b, "words": words[b:e], "label": label, "score": score, "edge": b not in inner or e not in inner} for b, e, label, score in found])
                     failed.append(None)
                 except Exception as e:  # noqa: BLE001  the window is lost, its text's other windows stay
                     spans.append([])
@@ -61,16 +74,20 @@ def _score(load: Callable[[], Model], name: str):
     return run
 
 
-def scored_windows(windows: DataFrame, load: Callable[[], Model], name: str) -> DataFrame:
-    """(id, chunk, failed, spans) of each window: what the model finds, places counted in the whole text; `failed` says why
-    where the model raised. Spans without a label or score, or outside their window, are dropped."""
-    return windows.mapInArrow(_score(load, name), SCORED)
+def scored_windows(windows: DataFrame, load: Callable[[], Model], name: str, overlap: int = 50) -> DataFrame:
+    """(id, chunk, failed, spans) of each window: what the model finds, places counted in the whole text, and whether a span
+    reaches into the words that the window shares with others (`overlap`, as they were cut with). `failed` says why where
+    the model raised. Spans without a label or score, or outside their window, are dropped."""
+    return windows.mapInArrow(_score(load, name, overlap), SCORED)
 
 
 def merged_entities(scored: DataFrame) -> DataFrame:
     """(id, label, start, words, score): spans of one label that share words, as they do where windows overlap, are one,
-    with the best score and all their words. Spans that only touch stay apart."""
-    each = scored.select("id", F.explode("spans").alias("s")).select("id", "s.label", "s.start", "s.words", "s.score")
+    with the best score and all their words. Spans that only touch stay apart. Only those at the edges of windows are
+    shuffled; the others are whole."""
+    found = scored.select("id", F.explode("spans").alias("s")).select("id", "s.label", "s.start", "s.words", "s.score", "s.edge")
+    inner = found.where(~F.col("edge")).select("id", "label", "start", "words", F.round("score", 2).alias("score"))
+    each = found.where("edge")
     each = each.withColumn("end", F.col("start") + F.size("words"))
     order = W.partitionBy("id", "label").orderBy("start", F.desc("end"))
     reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
@@ -85,7 +102,7 @@ def merged_entities(scored: DataFrame) -> DataFrame:
         F.array().cast("array<string>"),
         lambda acc, p: F.concat(acc, F.slice(p.words, (F.col("start") + F.size(acc) - p.start + 1).cast("int"), F.greatest(F.size(p.words) - (F.col("start") + F.size(acc) - p.start).cast("int"), F.lit(0)))),
     )
-    return whole.select("id", "label", "start", joined.alias("words"), F.round("score", 2).alias("score"))
+    return inner.unionByName(whole.select("id", "label", "start", joined.alias("words"), F.round("score", 2).alias("score")))
 
 
 def model_entities(df: DataFrame, load: Callable[[], Model], name: str, id_col: str = "id", text_col: str = "text", size: int = 480, overlap: int = 50, least_words: int = 1) -> DataFrame:
@@ -97,7 +114,7 @@ def model_entities(df: DataFrame, load: Callable[[], Model], name: str, id_col:
     Blank and null texts have none and no window. A text whose windows all failed keeps its row. Rows with a null id are
     one text after another under that id; an empty table gives an empty table.
     """
-    scored = stored(scored_windows(word_windows(df, id_col, text_col, size, overlap), load, name), "scored")
+    scored = stored(scored_windows(word_windows(df, id_col, text_col, size, overlap), load, name, overlap), "scored")
     counts = scored.groupBy("id").agg(F.count(F.lit(1)).alias("chunks"), F.count("failed").alias("failed"))
     found = merged_entities(scored).where(F.size("words") >= least_words).withColumn("entity", F.array_join("words", " "))
     found = found.groupBy("id", "label", F.lower("entity").alias("key")).agg(F.min_by(F.struct("start", "entity", "score"), "start").alias("e"))
@@ -116,15 +133,16 @@ def word_bucket(word: str) -> str:
     return hashlib.md5(word.lower().encode()).hexdigest()[:4]
 
 
-def fit_tagger(df: DataFrame, text_col: str, label_col: str) -> dict[str, str]:
+def fit_tagger(df: DataFrame, text_col: str, label_col: str, none: str | None = None) -> dict[str, str]:
     """A tagger's table (bucket, label) from labelled texts: the label in whose texts a bucket's words stand most often,
-    of equals the first by name. All rows with a text and a label count; 65,536 buckets at most reach the driver."""
+    of equals the first by name; words of the label `none` are not tagged. All rows with a text and a label count; 65,536
+    buckets at most reach the driver."""
     words = F.filter(F.split(F.lower(F.col(text_col)), r"\s+"), lambda w: w != "")
     each = df.where(F.col(label_col).isNotNull()).select(F.col(label_col).alias("label"), F.explode(words).alias("w"))
     counts = each.groupBy("w", "label").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.groupBy(F.substring(F.md5(F.col("w").cast("binary")), 1, 4).alias("bucket"), "label").agg(F.sum("n").alias("n"))
     best = counts.groupBy("bucket").agg(F.min_by("label", F.struct((-F.col("n")).alias("n"), "label")).alias("label"))
-    return {r["bucket"]: r["label"] for r in best.collect()}
+    return {r["bucket"]: r["label"] for r in best.collect() if r["label"] != none}
 
 
 class RunTagger:

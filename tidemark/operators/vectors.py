@@ -97,16 +97,29 @@ def top_members(rows: DataFrame, k: int) -> DataFrame:
     return j.withColumn("rank", F.row_number().over(W.partitionBy("cluster_id").orderBy(F.desc("similarity"), "id"))).where(F.col("rank") <= k)
 
 
+#: Centroids that stand in one row when rows meet them.
+CENTROIDS = 256
+
+
 def near_clusters(rows: DataFrame, threshold: float = 0.7) -> DataFrame:
     """(id, cluster_id, score): other clusters whose centroid is near, 1 - distance / the largest of these distances.
 
-    Centroids are one row a cluster, a few dozen; each row meets each of them.
+    Centroids stand in blocks, an array of CENTROIDS at most a row; each row meets each block by the block's number, so the
+    pairs of row and centroid are made inside a row, and only near ones and a maximum leave it.
     """
-    c = centroids(rows).select(F.col("cluster_id").alias("other"), "centroid")
-    d = rows.select("id", F.col("cluster_id").alias("own"), "vec").join(c, F.col("own") != F.col("other")).select("id", "other", euclidean("vec", "centroid").alias("d"))
-    far = F.max("d").over(W.partitionBy("id"))
-    s = d.withColumn("far", far).where("far > 0").withColumn("s", 1 - F.col("d") / F.col("far"))
-    return s.where(F.col("s") >= threshold).select("id", F.col("other").alias("cluster_id"), F.round("s", 4).alias("score"))
+    c = stored(centroids(rows).select(F.col("cluster_id").alias("other"), "centroid"), "centroids")
+    blocks = -(-c.count() // CENTROIDS)
+    if not blocks:
+        return rows.select("id", "cluster_id", F.lit(0.0).alias("score")).where("false")
+    c = c.withColumn("block", F.pmod(F.xxhash64("other"), F.lit(blocks))).groupBy("block").agg(F.collect_list(F.struct("other", "centroid")).alias("them"))
+    each = rows.select("id", F.col("cluster_id").alias("own"), "vec").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    others = F.filter("them", lambda x: x.other != F.col("own"))
+    d = each.join(c, "block").select("id", "vec", others.alias("them")).select("id", F.transform("them", lambda x: F.struct(x.other.alias("other"), euclidean(F.col("vec"), x.centroid).alias("d"))).alias("ds"))
+    d = d.withColumn("far", F.array_max(F.transform("ds", lambda x: x.d)))
+    if blocks > 1:
+        d = d.withColumn("far", F.max("far").over(W.partitionBy("id")))
+    d = d.where("far > 0").withColumn("near", F.filter("ds", lambda x: 1 - x.d / F.col("far") >= threshold))
+    return d.select("id", F.explode("near").alias("x"), "far").select("id", F.col("x.other").alias("cluster_id"), F.round(1 - F.col("x.d") / F.col("far"), 4).alias("score"))
 
 
 #: Pivots at most: every task holds all of them.

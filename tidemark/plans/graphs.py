@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tidemark.operators import entities, graph, louvain, market, retrieve
+from tidemark.operators import entities, graph, louvain, market, retrieve, writeback
 from tidemark.plans import views as v
 from tidemark.plans.basics import MENTIONS
-from tidemark.sources.shared import stored
+from tidemark.sources.shared import new_folder, stored
 
 
 def _edges(spark, sf):
@@ -99,7 +98,7 @@ def j10_walks(spark, sf):
 
 def j10_vectors(spark, sf):
     n = graph.node_vectors(graph.random_walks(_edges(spark, sf)))
-    return n.select("id", F.array_join(F.transform(vector_to_array("vector"), lambda x: F.format_number(x, 3)), " ").alias("embedding"))
+    return n.select("id", F.array_join(F.transform("vector", lambda x: F.format_number(x, 3)), " ").alias("embedding"))
 
 
 def j11_projected(spark, sf):
@@ -132,6 +131,28 @@ def j15_wrote(spark, sf):
     return m.select(F.col("name").alias("person"), F.col("id").alias("article_id")).distinct()
 
 
+def _clustered(spark, sf):
+    """Embeddings with their label as cluster, every eleventh noise."""
+    cluster = F.when(F.col("vec_id") % 11 == 0, -1).otherwise(F.col("label")).cast("long")
+    return v.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), cluster.alias("cluster_id"), F.col("embedding").cast("array<double>").alias("vec"))
+
+
+def j17_edges(spark, sf):
+    """Two runs of the write-back, the first with all rows in one cluster: what is read is the second run alone."""
+    folder, rows = new_folder(spark, "write-back"), _clustered(spark, sf)
+    names = v.table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("cluster_id"), F.col("r_name").alias("name"))
+    writeback.write_generation(folder, rows.withColumn("cluster_id", F.lit(77).cast("long")), names)
+    writeback.write_generation(folder, rows, names, 0.05)
+    return writeback.read_generation(spark, folder, "edges")
+
+
+def j17_clusters(spark, sf):
+    folder = new_folder(spark, "write-back")
+    names = v.table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("cluster_id"), F.col("r_name").alias("name"))
+    writeback.write_generation(folder, _clustered(spark, sf), names)
+    return writeback.read_generation(spark, folder, "clusters")
+
+
 def j17_cluster_edges(spark, sf):
     """Cluster nodes with BELONGS_TO edges written as tables, read again and counted."""
     e = v.table(spark, sf, "embeddings").select(F.col("vec_id").alias("tech_id"), F.col("label").cast("long").alias("cluster_id"))
@@ -191,7 +212,10 @@ E = v.with_views("uses", "technologies", "companies") + ", edges as (select 'c'
 W = "w as (select distinct doc_id as id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as word from documents), q as (select distinct item_id as query_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) as word from benchmark), sz as (select query_id, count(*) as size from q group by 1), s as (select query_id, id, round(count(*) / any_value(size), 6) as score from q join w using (word) join sz using (query_id) group by 1, 2)"
 RERANK = "with " + W + ", r as (select *, row_number() over (partition by query_id order by score desc, id) as rank, max(score) over (partition by query_id) < 0.4 as low_confidence from s), k as (select * from r where (not low_confidence and score >= 0.4 and rank <= 5) or (low_confidence and rank <= 3))"
 BEST = "best as (select id from (select k, id, row_number() over (partition by k order by case when lower(name) = k then 0 else 1 end, length(name), id) as r from nodes, (select unnest({keys}) as k) where contains(lower(name), k)) where r = 1)"
+_CLUSTERED = "with r as (select vec_id as id, embedding::double[] as vec, case when vec_id % 11 = 0 then -1 else label end::bigint as cluster_id from embeddings), x as (select cluster_id, unnest(vec) as x, generate_subscripts(vec, 1) as i from r where cluster_id <> -1), m as (select cluster_id, i, avg(x) as x from x group by 1, 2), c as (select cluster_id, list(x order by i) as centroid from m group by 1)"
 ORACLES = {
+    "j17_edges": _CLUSTERED + ", d as (select id, c.cluster_id, list_distance(vec, centroid) as d from r join c on r.cluster_id <> c.cluster_id), s as (select *, 1 - d / max(d) over (partition by id) as s from d) select 'NEAR_CLUSTER' as type, id as src, cluster_id as dst, round(s, 4) as score from s where s >= 0.05 union all select 'BELONGS_TO', id, cluster_id, 1.0 from r where cluster_id <> -1",
+    "j17_clusters": _CLUSTERED + " select cluster_id, coalesce(any_value(r_name), 'Cluster ' || cluster_id) as name, count(*) as size from r left join region on r_regionkey = cluster_id where cluster_id <> -1 group by cluster_id",
     "j1_explore": E + ", " + BEST.format(keys="['small ring', 'blue bolt']") + ", n as (select src, dst, row_number() over (partition by src order by dst) as k from near where src in (select id from best)) select * from nodes where id in (select id from best union select dst from n where k <= 10)",
     "j1_explore_deep": E + ", " + BEST.format(keys="['small ring']") + ", n as (select src, dst, row_number() over (partition by src order by dst) as k from near where src in (select id from best)), one as (select src, dst from n where k <= 10), m as (select src, dst, row_number() over (partition by src order by dst) as k from near where src in (select dst from one) and src not in (select id from best)), a as (select src, dst from one union all select src, dst from m where k <= 10) select (select count(*) from (select id from best union select dst from a)) as nodes, (select count(*) from (select distinct least(src, dst), greatest(src, dst) from a)) as edges",
     "j2_distances": E.replace("with ", "with recursive ", 1) + ", r(id, hop) as (select 'c0', 0::bigint union select dst, hop + 1 from r join near on src = id where hop < 6), l as (select id, min(hop) as hop from r group by 1) select hop, count(*) as n from l group by 1",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import sql
 from tidemark.operators import importing, scoring
 from tidemark.plans import views as v
 from tidemark.plans.sources import _stream
@@ -11,24 +12,28 @@ from tidemark.sources.shared import new_folder
 from tidemark.streaming import delivery, graph_writer
 
 TECHS = ("token", "license", "idiot", "clown", "SQL.")
-LEAST_WORDS = 4
+LEAST_WORDS = 2
+
+
+def _tagger(spark, sf):
+    """A tagger of words that stand more often in texts labelled toxic than in others, fitted on all labelled texts."""
+    label = F.when(F.col("toxic") == 1, "TOXIC").otherwise("CLEAN")
+    d = v.table(spark, sf, "documents").join(v.table(spark, sf, "labels").where("toxic is not null").select("doc_id", label.alias("label")), "doc_id")
+    table = scoring.fit_tagger(d, "text", "label", "CLEAN")
+    return lambda: scoring.RunTagger(table)
 
 
 def i10_scored(spark, sf):
-    """Runs of at least four words that a tagger, fitted on the texts' own languages, gives one language: scored in windows
-    of 200 words and merged."""
-    d = v.table(spark, sf, "documents")
-    table = scoring.fit_tagger(d, "text", "lang")
-    found = scoring.merged_entities(scoring.scored_windows(scoring.word_windows(d, "doc_id", "text", 200, 20), lambda: scoring.RunTagger(table), new_folder(spark, "tagger")))
+    """Runs of at least two words that a fitted tagger marks, scored in windows of 200 words and merged."""
+    windows = scoring.word_windows(v.table(spark, sf, "documents"), "doc_id", "text", 200, 20)
+    found = scoring.merged_entities(scoring.scored_windows(windows, _tagger(spark, sf), new_folder(spark, "tagger"), 20))
     found = found.where(F.size("words") >= LEAST_WORDS)
     return found.select(F.col("id").alias("doc_id"), "label", "start", F.size("words").cast("long").alias("words"), F.md5(F.array_join("words", " ").cast("binary")).alias("entity"))
 
 
 def i10_model_entities(spark, sf):
     """The same tagger's entities by text: how many windows, failures, and different entities of each label."""
-    d = v.table(spark, sf, "documents")
-    table = scoring.fit_tagger(d, "text", "lang")
-    out = scoring.model_entities(d, lambda: scoring.RunTagger(table), new_folder(spark, "tagger"), "doc_id", "text", 200, 20, LEAST_WORDS)
+    out = scoring.model_entities(v.table(spark, sf, "documents"), _tagger(spark, sf), new_folder(spark, "tagger"), "doc_id", "text", 200, 20, LEAST_WORDS)
     return out.select(F.col("id").alias("doc_id"), "chunks", "failed", F.size("entities").cast("long").alias("entities"))
 
 
@@ -181,15 +186,33 @@ def j13_import_links(spark, sf):
     return links.unionByName(link("job_skills", F.col("n"))).unionByName(link("job_technologies", F.col("n")))
 
 
-QUERIES = {f.__name__: f for f in (i10_scored, i10_model_entities, l2_graph_writer, l2_graph_edges, l9_delivered, l9_latest, a11_kafka_rows_read, j13_import_nodes, j13_import_links)}
+def m1_sql_phrases(spark, sf):
+    """An extraction in SQL alone: phrases of a dictionary by source, a row a span before they are counted."""
+    sql.register(spark)
+    return spark.sql(
+        "SELECT tm_slug(d.source) AS source, lower(p.entity) AS phrase, count(DISTINCT d.doc_id) AS docs FROM {d} AS d, LATERAL tm_phrases(d.text, array('of the', 'und die', 'de la', 'que de')) AS p GROUP BY 1, 2",
+        d=v.table(spark, sf, "documents"),
+    )
+
+
+def m1_sql_dates(spark, sf):
+    """Dates by patterns in SQL alone."""
+    sql.register(spark)
+    return spark.sql(
+        "SELECT o.o_orderkey, s.place, s.entity, s.label FROM {o} AS o, LATERAL tm_dates(concat('Ngày 3 tháng 5 năm 2026, ', date_format(o.o_orderdate, 'd/M/yyyy'), ' và ', date_format(o.o_orderdate, 'M/yyyy'))) AS s",
+        o=v.table(spark, sf, "orders"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (m1_sql_phrases, m1_sql_dates, i10_scored, i10_model_entities, l2_graph_writer, l2_graph_edges, l9_delivered, l9_latest, a11_kafka_rows_read, j13_import_nodes, j13_import_links)}
 
-_RUNS = r"""with words as (select doc_id, lang, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda w: w <> '') as ws from documents),
-each as (select doc_id, lang, unnest(ws) as w, unnest(range(len(ws))) as i from words),
-counts as (select substr(md5(lower(w)), 1, 4) as bucket, lang, count(*) as n from each where lang is not null group by 1, 2),
-best as (select bucket, lang as label from counts qualify row_number() over (partition by bucket order by n desc, lang) = 1),
-tagged as (select doc_id, i, w, upper(label) as label from each join best on bucket = substr(md5(lower(w)), 1, 4)),
+_RUNS = r"""with words as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda w: w <> '') as ws from documents),
+each as (select doc_id, unnest(ws) as w, unnest(range(len(ws))) as i from words),
+counts as (select substr(md5(lower(w)), 1, 4) as bucket, case when toxic = 1 then 'TOXIC' else 'CLEAN' end as label, count(*) as n from each join labels using (doc_id) where toxic is not null group by 1, 2),
+best as (select bucket, label from counts qualify row_number() over (partition by bucket order by n desc, label) = 1),
+tagged as (select doc_id, i, w, label from each join best on bucket = substr(md5(lower(w)), 1, 4) where label <> 'CLEAN'),
 runs as (select *, i - row_number() over (partition by doc_id, label order by i) as run from tagged),
-found as (select doc_id, label, min(i) as start, count(*) as words, string_agg(w, ' ' order by i) as entity from runs group by doc_id, label, run having count(*) >= 4)
+found as (select doc_id, label, min(i) as start, count(*) as words, string_agg(w, ' ' order by i) as entity from runs group by doc_id, label, run having count(*) >= 2)
 """
 _HAS = lambda ts: "list_filter([" + ", ".join(f"'{t}'" for t in ts) + "], lambda t: contains(lower(coalesce(text, '')), lower(rtrim(t, '.'))))"
 _GRAPH = v.with_views("jobs", "requires", "hires", "companies") + f""",
@@ -219,6 +242,9 @@ role as (select doc_id as place_at, 0 as i, 'Senior ' || lang as title, 'senior'
   union all select 1000000000000 + job_id, 0, title, 'mid', cast(salary as varchar), '2026-04-11' from j)
 """
 ORACLES = {
+    # each sign is written twice, so that neighbouring phrases have one each
+    "m1_sql_phrases": r"with x as (select doc_id, regexp_replace(replace(replace(lower(coalesce(source, '')), ' ', '-'), '_', '-'), '[^a-z0-9-]', '', 'g') as source, unnest(regexp_extract_all(regexp_replace(lower(text), '([^\p{L}\p{N}_.])', '\1\1', 'g'), '(?:^|[^\p{L}\p{N}_.])(of  the|und  die|de  la|que  de)(?:[^\p{L}\p{N}_.]|$)', 1)) as p from documents) select source, replace(p, '  ', ' ') as phrase, count(distinct doc_id) as docs from x group by 1, 2".replace("\\\\", "\\"),
+    "m1_sql_dates": "with d as (select o_orderkey, unnest(['Ngày 3 tháng 5 năm 2026', strftime(o_orderdate, '%-d/%-m/%Y'), strftime(o_orderdate, '%-m/%Y')]) as entity, unnest([0, 1, 2])::int as place from orders) select *, 'DATE' as label from d",
     "i10_scored": _RUNS + "select doc_id, label, start, words, md5(entity) as entity from found",
     "i10_model_entities": _RUNS + ", n as (select doc_id, count(distinct (label, lower(entity))) as entities from found group by 1) select doc_id, case when len(ws) = 0 then 0 else 1 + greatest(ceil((len(ws) - 200) / 180), 0) end::bigint as chunks, 0::bigint as failed, coalesce(entities, 0) as entities from words left join n using (doc_id)",
     "l2_graph_edges": _GRAPH + "select * from edges",

@@ -102,6 +102,15 @@ def a15_profile(spark, sf):
     return posts.profile(v.table(spark, sf, "customer"), "c_mktsegment", ["c_name", "c_nationkey"])
 
 
+def a15_edge_profile(spark, sf):
+    """Edges of all kinds with the labels of their ends; jobs are labelled by their title, technologies by their type."""
+    t = v.technologies(spark, sf).select("tech_id", F.col("category").alias("dst_label"))
+    r = v.requires(spark, sf).join(v.jobs(spark, sf).select("job_id", F.col("title").alias("src_label")), "job_id").join(t, "tech_id")
+    u = v.uses(spark, sf).join(v.companies(spark, sf).select("company_id", F.col("location").alias("src_label")), "company_id").join(t, "tech_id")
+    e = [df.select(F.lit(kind).alias("type"), "src_label", "dst_label") for kind, df in (("REQUIRES", r), ("USES", u))]
+    return posts.edge_profile(e[0].unionByName(e[1]))
+
+
 def a16_articles(spark, sf):
     a = posts.pages_to_articles(v.table(spark, sf, "pages"))
     return a.select("page_id", "title", F.length("content").cast("long").alias("chars"), (F.length("items") > 0).alias("has_items"))
@@ -199,7 +208,9 @@ ORACLES = {
     "a12_kafka_rows": """select md5(url) as key, '{"page_id":' || page_id || ',"url":"' || url || '"}' as value from pages""",
     "a13_publish": "select 'region' as name, (select count(*) from region) as rows union all select 'nation', (select count(*) from nation)",
     "a14_copied_graph": v.with_views("uses") + " select md5('C:c' || company_id) as src, count(*) as edges from uses group by 1",
-    "a15_profile": "with x as (select c_mktsegment as label, 'c_name' as property, substr(c_name, 1, 20) as s from customer union all select c_mktsegment, 'c_nationkey', cast(c_nationkey as varchar) from customer), g as (select label, property, count(*) as total, count(s) as known, list_sort(list_distinct(list(s)))[1:3] as l from x group by 1, 2) select label, property, total, known, array_to_string(l, '|') as samples from g",
+    "a15_profile": "with x as (select c_mktsegment as label, 'c_name' as property, c_name as s from customer union all select c_mktsegment, 'c_nationkey', cast(c_nationkey as varchar) from customer), g as (select label, property, count(*) as total, count(s) as known, list_sort(list_distinct(list(s)))[1:3] as l from x group by 1, 2) select label, property, total, known, array_to_string(l, '|') as samples from g",
+    "a15_edge_profile": v.with_views("technologies", "requires", "jobs", "uses", "companies") + """, e as (select 'REQUIRES' as type, title as src_label, category as dst_label from requires join jobs using (job_id) join technologies using (tech_id) union all select 'USES', location, category from uses join companies using (company_id) join technologies using (tech_id)),
+        n as (select type, src_label, dst_label, count(*) as n from e group by 1, 2, 3), p as (select *, sum(n) over (partition by type)::bigint as total, row_number() over (partition by type order by n desc, src_label nulls first, dst_label nulls first) as place from n) select * from p where place <= 5""",
     "a17_new_urls": "select distinct url from pages where not contains(url, 'top') and url not in (select url from pages where page_id % 3 = 0)",
     "a18_capped": "select page_id, url from pages order by page_id limit 150",
     "a19_ignore": "select distinct cast(ts as date) as day, cast(user_id as varchar) as ip from events",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import vectors as fv
 from tidemark.operators import features, vectors
 from tidemark.plans import views as v
+from tidemark.sources.shared import new_folder
 
 
 def _rows(spark, sf):
@@ -121,6 +122,12 @@ def k6_minmax(spark, sf):
     return features.scaled(p, "p_partkey", {"a": 1.0, "b": 0.5}, "minmax")
 
 
+def k6_robust(spark, sf):
+    """Median and quartiles of two columns, with a value between two rows and one without spread."""
+    p = v.table(spark, sf, "part").select("p_partkey", F.col("p_size").cast("double").alias("a"), F.col("p_retailprice").alias("b"), F.lit(7.0).alias("c"))
+    return features.scaled(p, "p_partkey", {"a": 1.0, "b": 0.5, "c": 1.0}, "robust")
+
+
 def k8_one_hot(spark, sf):
     p = v.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("community"))
     return features.one_hot(p, "id", "community", 3)
@@ -142,12 +149,16 @@ def k9_kmeans(spark, sf):
     return features.kmeans(_rows(spark, sf), 8, restarts=2).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("members"))
 
 
+#: Three fits and one that fails.
+GRID = (("kmeans", {"k": 4}), ("kmeans", {"k": 8}), ("dbscan", {"eps": 0.9, "min_samples": 5}), ("dbscan", {"eps": -1.0, "min_samples": 5}))
+
+
 def k12_grid(spark, sf):
-    return features.grid_search(_rows(spark, sf), (4, 8), least=2, most=28)
+    return features.run_trials(_rows(spark, sf), GRID, new_folder(spark, "trials"), least=2, most=28)
 
 
 def f5_best_trial(spark, sf):
-    return features.best_trial(features.grid_search(_rows(spark, sf), (4, 8), least=2, most=28), "davies_bouldin")
+    return features.best_trial(features.run_trials(_rows(spark, sf), GRID[:2], new_folder(spark, "trials"), least=2, most=28), "davies_bouldin")
 
 
 def k15_name_vectors(spark, sf):
@@ -189,6 +200,7 @@ ORACLES = {
     "k11_k_distance": R + ", d as (select a.id, list_distance(a.vec, b.vec) as d from r a, r b where a.id <> b.id), k as (select id, d, row_number() over (partition by id order by d) as k from d) select id, round(d, 6) as kth, row_number() over (order by round(d, 6) desc, id) as place from k where k = 5",
     "k6_scaled": "select p_partkey, round((p_size - avg(p_size) over ()) / stddev_pop(p_size) over (), 6) as a, round(2 * (p_retailprice - avg(p_retailprice) over ()) / stddev_pop(p_retailprice) over (), 6) as b, 0.0::double as c from part",
     "k6_minmax": "select p_partkey, round((p_size - min(p_size) over ()) / (max(p_size) over () - min(p_size) over ()), 6) as a, round(0.5 * (p_retailprice - min(p_retailprice) over ()) / (max(p_retailprice) over () - min(p_retailprice) over ()), 6) as b from part",
+    "k6_robust": "with s as (select median(p_size) as am, quantile_cont(p_size::double, 0.75) - quantile_cont(p_size::double, 0.25) as ab, median(p_retailprice) as bm, quantile_cont(p_retailprice, 0.75) - quantile_cont(p_retailprice, 0.25) as bb from part) select p_partkey, round((p_size - am) / ab, 6) as a, round(0.5 * (p_retailprice - bm) / bb, 6) as b, 0.0::double as c from part, s",
     "k8_one_hot": "with t as (select p_brand, row_number() over (order by count(*) desc, p_brand) as r from part group by 1) select p_partkey as id, coalesce(r = 1, false)::int::double as c0, coalesce(r = 2, false)::int::double as c1, coalesce(r = 3, false)::int::double as c2 from part left join t on t.p_brand = part.p_brand and r <= 3",
     "k5_matrix": v.with_views("requires", "uses", "technologies") + " select tech_id as id, (select count(*) from requires r where r.tech_id = t.tech_id)::double as jobs, case when tech_id % 3 <> 0 then (select count(*) from uses u where u.tech_id = t.tech_id) else 0 end::double as companies from technologies t",
     "k18_missing_vectors": "select not (doc_id % 2 = 0 and doc_id in (select vec_id from embeddings)) as made, count(*) as n from documents group by 1",

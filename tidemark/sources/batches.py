@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -11,11 +13,13 @@ def _files(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def write_batch(tables: dict[str, DataFrame], folder: str, batch: int) -> None:
+def write_batch(tables: dict[str, DataFrame], folder: str, batch: int, verify: Callable[[], None] | None = None) -> None:
     """Write each table to folder/name/batch=N and, last, the batch's mark. A batch that died before its mark is invisible;
-    when it is run again, it writes over what it left."""
+    when it is run again, it writes over what it left. verify() may look at the tables and raise before the mark."""
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch}")
+    if verify is not None:
+        verify()
     mark, fs = _files(next(iter(tables.values())).sparkSession, f"{folder}/marks/{batch}")
     fs.create(mark, True).close()
 

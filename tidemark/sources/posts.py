@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import stored
+
 POST = "struct<title: string, job_title: string, content: string, description: string, created_at: string, is_relevant: boolean>"
 OBJECT = f"source_platform string, source_url string, scraped_at string, post_detail array<{POST}>"
 
@@ -90,17 +92,30 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(n, key, "full_outer").select(key, *[F.coalesce("_" + c, c).alias(c) for c in cols])
 
 
-def profile(nodes: DataFrame, label: str, columns: Sequence[str]) -> DataFrame:
-    """(label, property, total, known, samples): counts in one pass, and the three least values, cut at 20 characters, as
-    samples; different values are ranked, not gathered."""
+def profile(nodes: DataFrame, label: str, columns: Sequence[str], samples: int = 3) -> DataFrame:
+    """(label, property, total, known, samples): counts in one pass, and the least different values, whole, as samples.
+
+    Each sample is a minimum above the one before: a pass a sample, in which values are not shuffled but compared."""
     value = F.array(*[F.struct(F.lit(c).alias("property"), F.col(c).cast("string").alias("value")) for c in columns])
-    each = nodes.select(F.col(label).alias("label"), F.explode(value).alias("x")).select("label", "x.property", F.substring("x.value", 1, 20).alias("value"))
-    counts = each.groupBy("label", "property", "value").agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.groupBy("label", "property").agg(F.sum("n").alias("total"), F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("known"))
-    least = counts.where("value is not null").withColumn("k", F.row_number().over(W.partitionBy("label", "property").orderBy("value"))).where("k <= 3")
-    least = least.groupBy("label", "property").agg(F.array_join(F.array_sort(F.collect_list("value")), "|").alias("samples"))
-    same = totals["label"].eqNullSafe(least["label"]) & (totals["property"] == least["property"])
-    return totals.join(least, same, "left").select(totals["label"], totals["property"], "total", "known", F.coalesce("samples", F.lit("")).alias("samples"))
+    each = nodes.select(F.col(label).alias("label"), F.explode(value).alias("x")).select("label", "x.property", "x.value")
+    out = each.groupBy("label", "property").agg(F.count(F.lit(1)).alias("total"), F.count("value").alias("known"), F.min("value").alias("last"))
+    out = stored(out.withColumn("found", F.array_compact(F.array("last"))), "profile")
+    for _ in range(samples - 1):
+        before = out.select(F.col("label").alias("l"), F.col("property").alias("p"), F.col("last").alias("b"))
+        more = each.join(before, F.col("label").eqNullSafe(F.col("l")) & (F.col("property") == F.col("p")) & (F.col("value") > F.col("b")))
+        more = more.groupBy(F.col("label").alias("l"), F.col("property").alias("p")).agg(F.min("value").alias("next"))
+        out = out.join(more, F.col("label").eqNullSafe(F.col("l")) & (F.col("property") == F.col("p")), "left")
+        out = stored(out.select("label", "property", "total", "known", F.col("next").alias("last"), F.array_compact(F.array_append("found", F.col("next"))).alias("found")), "profile")
+    return out.select("label", "property", "total", "known", F.array_join("found", "|").alias("samples"))
+
+
+def edge_profile(edges: DataFrame, top: int = 5) -> DataFrame:
+    """(type, total, place, src_label, dst_label, n): of each type of edges (type, src_label, dst_label) the pairs of labels
+    that stand most often, of equals the first by name. Labels are few, so pairs are counted exactly, before any shuffle."""
+    counts = edges.groupBy("type", "src_label", "dst_label").agg(F.count(F.lit(1)).alias("n"))
+    order = W.partitionBy("type").orderBy(F.desc("n"), "src_label", "dst_label")
+    counts = counts.withColumns({"total": F.sum("n").over(W.partitionBy("type")), "place": F.row_number().over(order).cast("long")})
+    return counts.where(F.col("place") <= top).select("type", "total", "place", "src_label", "dst_label", "n")
 
 
 def new_urls(pages: DataFrame, seen: DataFrame, ads: Sequence[str] = ("eclick",)) -> DataFrame:

@@ -61,7 +61,7 @@ def _extracted(spark, sf):
 
 def _written(spark, sf):
     folder = new_folder(spark, "graph")
-    graph_writer.write_graph(_stream(_extracted(spark, sf)), f"{folder}/tables", f"{folder}/checkpoint")
+    graph_writer.write_graph(_stream(_extracted(spark, sf), 24), f"{folder}/tables", f"{folder}/checkpoint")
     return graph_writer.read_graph(spark, f"{folder}/tables")
 
 

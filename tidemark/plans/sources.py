@@ -139,10 +139,10 @@ def a19_upsert(spark, sf):
     return posts.upsert(old, new, "c_custkey")
 
 
-def _stream(df):
+def _stream(df, files_per_batch=4):
     """A table that is read again as a stream of files."""
     t = stored(df, "stream-source")
-    return df.sparkSession.readStream.schema(t.schema).option("maxFilesPerTrigger", 4).parquet(t.inputFiles()[0].rsplit("/", 1)[0])
+    return df.sparkSession.readStream.schema(t.schema).option("maxFilesPerTrigger", files_per_batch).parquet(t.inputFiles()[0].rsplit("/", 1)[0])
 
 
 def _messages(spark, sf):

@@ -89,13 +89,16 @@ def write_graph(stream: DataFrame, folder: str, checkpoint: str, before_mark: Ca
     is called before each table is written (a test can raise there)."""
 
     def save(df: DataFrame, batch: int) -> None:
-        tables = batch_tables(messages(df.select("value")))
+        # six tables are made of one parsed batch
+        parsed = messages(df.select("value")).persist()
+        tables = batch_tables(parsed)
         if before_mark is not None:
             for i, name in enumerate(tables):
                 before_mark(name, batch)
                 if i + 1 < len(tables):
                     tables[name].write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch}")
         write_batch(tables, folder, batch)
+        parsed.unpersist()
 
     q = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(save).trigger(availableNow=True).start()
     q.awaitTermination()

@@ -64,11 +64,21 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once, or a few times. Rows that repeat an id, null ones too,
-    count by the mean of their copies. Texts without words, null ones too, are never taken. No rows: no rows."""
-    i, n, copy = (_free(docs, x) for x in ("_i", "_n", "_copy"))
-    taken = mixing.mix(docs).groupBy(F.col("id").alias(i)).agg(F.round(F.avg("copies")).cast("int").alias(n))
-    mixed = docs.hint("merge").join(taken.where(F.col(n) > 0), F.col("doc_id").eqNullSafe(F.col(i)))
-    return mixed.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(i, n, copy)
+    are told apart by source and text, and of those equal in all three each counts: together they are taken as often as the
+    mix takes them, so it keeps its budget. Texts without words, null ones too, are never taken. No rows: no rows."""
+    key, i, n, copy, r = (_free(docs, x) for x in ("_key", "_i", "_n", "_copy", "_repeated"))
+    again = stored(docs.groupBy(F.col("doc_id").alias(r)).count().where("count > 1").select(r, F.lit(True).alias(n)), "repeated")
+    own = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    if again.head(1):
+        docs = docs.join(again, F.col("doc_id").eqNullSafe(F.col(r)), "left")
+        told = F.concat_ws(":", own, F.sha2(F.concat_ws("\0", F.coalesce("source", F.lit("\1")), F.coalesce("text", F.lit(""))), 256))
+        docs = docs.withColumn(key, F.when(F.col(n), told).otherwise(own)).drop(r, n)
+    else:
+        docs = docs.withColumn(key, own)
+    taken = mixing.mix(docs, key).groupBy(F.col("id").alias(i)).agg(F.sum("copies").cast("int").alias(n))
+    one = docs.dropDuplicates([key]) if again.head(1) else docs
+    mixed = one.hint("merge").join(taken.where(F.col(n) > 0), F.col(key) == F.col(i))
+    return mixed.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(key, i, n, copy)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

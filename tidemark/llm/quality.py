@@ -60,7 +60,7 @@ def ngrams(texts: list[str], table: WordTable) -> tuple[np.ndarray, np.ndarray]:
     before = np.where(first, _C, np.concatenate([word[:1], word[:-1]]))
     shape = shape + _C * ((before == word) & ~first).astype(np.uint64)
     s1 = np.where(first, _C, np.concatenate([shape[:1], shape[:-1]]))
-    s2 = np.concatenate([s1[:1], s1[:-1]])
+    s2 = np.where(first, _C, np.concatenate([s1[:1], s1[:-1]]))
     kinds = (word * _A, (before * _B + word) * _A, (shape + _B) * _A, (s1 * _B + shape + _A) * _A, ((s2 * _C + s1) * _B + shape) * _A)
     return np.stack([((k ^ (k >> np.uint64(31))) * _B >> _SHIFT).astype(np.int64) for k in kinds]), lens
 

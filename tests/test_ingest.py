@@ -233,3 +233,32 @@ def test_articles_and_jobs(spark):
     assert want["job_skills"] == [("SENIOR DEV", "Go", "2")] and want["job_technologies"] == [("SENIOR DEV", "Go", "1")]
     none = importing.import_posts(files(spark, ("x", "{")), "2020-01-01")
     assert all(df.count() == 0 for df in none.values())
+
+
+# Questions
+
+
+def test_questions_by_dictionary_intent_and_model(spark):
+    from tidemark.operators import questions
+
+    def model(words):
+        if "boom" in words:
+            raise RuntimeError("no")
+        return [(i, i + 1, "ORG" if w[0] == "@" else "LOC", 1.0) for i, w in enumerate(words) if w[0] in "@~"]
+
+    rows = [(1, "Python and PYTHON jobs at FPT @FPT @fpt @Viettel ~Hue"), (2, "web work ~Hanoi"), (3, "boom Java at FPT"), (4, None), (5, " ")]
+    df = spark.createDataFrame(rows, "id long, text string").withColumns({c: F.lit("x") for c in ("t", "c", "entities")})
+    out = questions.question_entities(df, ("python", "java"), ("engineer",), ("FPT", "@FPT"), {"web": ("React", "Vue", "react")}, {"web|java": ("Developer",)}, lambda: model, "names")
+    got = {r.id: tuple(r)[1:] for r in out.collect()}
+    assert got[1] == (["Python"], [], ["FPT", "@FPT", "@Viettel"], ["~Hue"])
+    assert got[2] == (["React", "Vue"], ["Developer"], [], ["~Hanoi"])
+    assert got[3] == (["Java"], ["Developer"], ["FPT"], []) and got[4] == got[5] == ([], [], [], [])
+
+
+def test_projection_and_wrote(spark):
+    from tidemark.operators import graph
+
+    e = spark.createDataFrame([("USES", "C", "1", "T", "1"), ("USES", "C", "1", "T", "1"), ("MENTIONS", "A", "1", "Person", "Eva"), ("MENTIONS", "A", "1", "T", "1"), ("USES", "C", None, "T", "2"), ("OTHER", "C", "1", "T", "1")], "type string, src_label string, src string, dst_label string, dst string")
+    got = sorted(map(tuple, graph.projected(e, ("A", "C", "T"), ("USES", "MENTIONS")).collect()))
+    assert got == [("MENTIONS", "A", "1", "T", "1"), ("MENTIONS", "T", "1", "A", "1"), ("USES", "C", "1", "T", "1"), ("USES", "T", "1", "C", "1")]
+    assert [tuple(r) for r in graph.wrote(e).collect()] == [("WROTE", "Eva", "1")]

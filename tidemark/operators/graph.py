@@ -21,6 +21,22 @@ def symmetric(edges: DataFrame) -> DataFrame:
     return both.where("src <> dst").distinct()
 
 
+def projected(edges: DataFrame, labels: Sequence[str], types: Sequence[str]) -> DataFrame:
+    """(type, src_label, src, dst_label, dst): edges (the same columns) of the given types between nodes of the given labels,
+    each in both directions and once. Ids are told apart by label, so a job and a company may share one."""
+    kept = edges.where(F.col("type").isin(list(types)) & F.col("src_label").isin(list(labels)) & F.col("dst_label").isin(list(labels)))
+    kept = kept.where(F.col("src").isNotNull() & F.col("dst").isNotNull()).select("type", "src_label", "src", "dst_label", "dst")
+    back = kept.select("type", F.col("dst_label").alias("src_label"), F.col("dst").alias("src"), F.col("src_label").alias("dst_label"), F.col("src").alias("dst"))
+    return kept.unionByName(back).distinct()
+
+
+def wrote(mentions: DataFrame) -> DataFrame:
+    """WROTE edges (type, src, dst) from persons to the articles that MENTIONS edges (type, src, dst_label, dst) name them in,
+    each once."""
+    people = mentions.where("type = 'MENTIONS' and dst_label = 'Person'")
+    return people.select(F.lit("WROTE").alias("type"), F.col("dst").alias("src"), F.col("src").alias("dst")).distinct()
+
+
 def co_use(uses: DataFrame, companies: DataFrame, tech_ids: DataFrame, location: str) -> DataFrame:
     """(tech_id, company_id, other_id): what else the companies of a place use that use a technology. A path never goes
     back over the edge that it came by."""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import entities, graph, louvain, market, retrieve, writeback
@@ -110,6 +113,44 @@ def j11_projected(spark, sf):
     return both.groupBy("type", F.col("from").alias("label")).agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("src").alias("nodes"))
 
 
+LABELS = ("Technology", "Article", "Company", "Job", "Skill")
+TYPES = ("MENTIONS", "USES", "REQUIRES", "RELATED_TO", "IS_TECHNOLOGY")
+
+
+def _all_edges(spark, sf):
+    """Edges of all types: companies use parts; orders require parts and, as skills, their kinds; documents mention parts
+    whose number they end on; parts of one name are related; kinds that are also a part's name are technologies. One more
+    type and label, which the projection leaves out."""
+    t, part = v.technologies(spark, sf), v.table(spark, sf, "part")
+
+    def e(df, kind, a, src, b, dst):
+        return df.select(F.lit(kind).alias("type"), F.lit(a).alias("src_label"), src.cast("string").alias("src"), F.lit(b).alias("dst_label"), dst.cast("string").alias("dst"))
+
+    c = F.col
+    need = v.requires(spark, sf).join(t.select("tech_id", "category"), "tech_id")
+    first = t.groupBy(F.lower("name").alias("key")).agg(F.min("tech_id").alias("first"))
+    related = t.join(first, F.lower("name") == c("key")).where("tech_id <> first")
+    kinds = part.select(F.lower("p_name").alias("p_name")).distinct().join(t.select("tech_id", F.lower("name").alias("name")), c("p_name") == c("name"))
+    a = v.articles(spark, sf).select("article_id", "source", "lang").join(t.select("tech_id"), c("article_id") == c("tech_id"))
+    parts = [
+        e(v.uses(spark, sf), "USES", "Company", c("company_id"), "Technology", c("tech_id")), e(need, "REQUIRES", "Job", c("job_id"), "Technology", c("tech_id")),
+        e(need, "REQUIRES", "Job", c("job_id"), "Skill", c("category")), e(a, "MENTIONS", "Article", c("article_id"), "Technology", c("tech_id")), e(a, "MENTIONS", "Article", c("article_id"), "Person", c("source")),
+        e(related, "RELATED_TO", "Technology", c("tech_id"), "Technology", c("first")), e(kinds, "IS_TECHNOLOGY", "Skill", c("p_name"), "Technology", c("tech_id")), e(a, "POSTED_IN", "Article", c("article_id"), "Location", c("lang")),
+    ]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def j11_full_projection(spark, sf):
+    """The undirected projection of five labels by five types of edges, counted by type and the labels of both ends."""
+    p = graph.projected(_all_edges(spark, sf), LABELS, TYPES)
+    return p.groupBy("type", "src_label", "dst_label").agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("src").alias("nodes"))
+
+
+def j15_wrote_edges(spark, sf):
+    """Every person named in an article wrote it."""
+    return graph.wrote(_all_edges(spark, sf).where("dst is not null"))
+
+
 def j12_upsert(spark, sf):
     """Companies known first without a place, then with one; the place is filled, the first rating stays."""
     c = v.companies(spark, sf)
@@ -214,6 +255,13 @@ RERANK = "with " + W + ", r as (select *, row_number() over (partition by query_
 BEST = "best as (select id from (select k, id, row_number() over (partition by k order by case when lower(name) = k then 0 else 1 end, length(name), id) as r from nodes, (select unnest({keys}) as k) where contains(lower(name), k)) where r = 1)"
 _CLUSTERED = "with r as (select vec_id as id, embedding::double[] as vec, case when vec_id % 11 = 0 then -1 else label end::bigint as cluster_id from embeddings), x as (select cluster_id, unnest(vec) as x, generate_subscripts(vec, 1) as i from r where cluster_id <> -1), m as (select cluster_id, i, avg(x) as x from x group by 1, 2), c as (select cluster_id, list(x order by i) as centroid from m group by 1)"
 ORACLES = {
+    "j11_full_projection": v.with_views("technologies", "requires", "uses") + """, n as (select lower(name) as key, min(tech_id) as first from technologies group by 1),
+        e as (select 'USES' as type, 'Company' as src_label, company_id::varchar as src, 'Technology' as dst_label, tech_id::varchar as dst from uses union all select 'REQUIRES', 'Job', job_id::varchar, 'Technology', tech_id::varchar from requires
+          union all select 'REQUIRES', 'Job', job_id::varchar, 'Skill', category from requires join technologies using (tech_id) union all select 'MENTIONS', 'Article', doc_id::varchar, 'Technology', tech_id::varchar from documents join technologies on doc_id = tech_id
+          union all select 'RELATED_TO', 'Technology', tech_id::varchar, 'Technology', first::varchar from technologies join n on lower(name) = key where tech_id <> first
+          union all select 'IS_TECHNOLOGY', 'Skill', lower(p_name), 'Technology', tech_id::varchar from (select distinct lower(p_name) as p_name from part) join technologies on lower(name) = p_name),
+        b as (select * from e union select type, dst_label, dst, src_label, src from e) select type, src_label, dst_label, count(*) as edges, count(distinct src) as nodes from b where src is not null and dst is not null group by 1, 2, 3""",
+    "j15_wrote_edges": "select distinct 'WROTE' as type, source as src, doc_id::varchar as dst from documents join part on doc_id = p_partkey where source is not null",
     "j17_edges": _CLUSTERED + ", d as (select id, c.cluster_id, list_distance(vec, centroid) as d from r join c on r.cluster_id <> c.cluster_id), s as (select *, 1 - d / max(d) over (partition by id) as s from d) select 'NEAR_CLUSTER' as type, id as src, cluster_id as dst, round(s, 4) as score from s where s >= 0.05 union all select 'BELONGS_TO', id, cluster_id, 1.0 from r where cluster_id <> -1",
     "j17_clusters": _CLUSTERED + " select cluster_id, coalesce(any_value(r_name), 'Cluster ' || cluster_id) as name, count(*) as size from r left join region on r_regionkey = cluster_id where cluster_id <> -1 group by cluster_id",
     "j1_explore": E + ", " + BEST.format(keys="['small ring', 'blue bolt']") + ", n as (select src, dst, row_number() over (partition by src order by dst) as k from near where src in (select id from best)) select * from nodes where id in (select id from best union select dst from n where k <= 10)",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import sql
-from tidemark.operators import importing, scoring
+from tidemark.operators import importing, questions, scoring
 from tidemark.plans import views as v
 from tidemark.plans.sources import _stream
 from tidemark.sources.shared import new_folder
@@ -37,6 +37,27 @@ def i10_model_entities(spark, sf):
     return out.select(F.col("id").alias("doc_id"), "chunks", "failed", F.size("entities").cast("long").alias("entities"))
 
 
+def place_model(words):
+    """A stand-in for a model of names: what stands behind `at` is an organisation, what stands behind `in` a place."""
+    out = []
+    for i, w in enumerate(words[:-1]):
+        if w in ("at", "in"):
+            end = next((j for j in range(i + 1, len(words)) if words[j] in ("at", "in") or words[j].endswith("?")), len(words) - 1)
+            end = end if words[end] in ("at", "in") else end + 1
+            out.append((i + 1, end, "ORG" if w == "at" else "LOC", 0.9))
+    return out
+
+
+def i12_questions(spark, sf):
+    """All that a question about each company's jobs names: by dictionaries, by intents, and by a model."""
+    c = v.companies(spark, sf)
+    what = F.when(F.col("company_id") % 2 == 0, "blue ring and Blue Ring jobs").otherwise("paint work")
+    asked = c.select(F.col("company_id").alias("id"), F.concat(F.lit("Which "), what, F.lit(" are at "), "name", F.lit(" in "), F.coalesce("location", F.lit("Hue")), F.lit(" ?")).alias("text"))
+    known = [f"Supplier#{i:09d}" for i in range(3)]
+    out = questions.question_entities(asked, ("blue ring", "ring"), ("jobs",), known, {"paint|colour": ("brush", "roller")}, {"work": ("painter",)}, lambda: place_model, "places")
+    return out.select(F.col("id").alias("company_id"), *[F.array_join(x, "|").alias(x) for x in ("technologies", "job_titles", "companies", "locations")])
+
+
 def _extracted(spark, sf):
     """Extracted messages: documents as articles, every thirteenth broken, and orders with their company as jobs."""
     d = v.table(spark, sf, "documents")
@@ -204,7 +225,7 @@ def m1_sql_dates(spark, sf):
     )
 
 
-QUERIES = {f.__name__: f for f in (m1_sql_phrases, m1_sql_dates, i10_scored, i10_model_entities, l2_graph_writer, l2_graph_edges, l9_delivered, l9_latest, a11_kafka_rows_read, j13_import_nodes, j13_import_links)}
+QUERIES = {f.__name__: f for f in (i12_questions, m1_sql_phrases, m1_sql_dates, i10_scored, i10_model_entities, l2_graph_writer, l2_graph_edges, l9_delivered, l9_latest, a11_kafka_rows_read, j13_import_nodes, j13_import_links)}
 
 _RUNS = r"""with words as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda w: w <> '') as ws from documents),
 each as (select doc_id, unnest(ws) as w, unnest(range(len(ws))) as i from words),
@@ -242,6 +263,7 @@ role as (select doc_id as place_at, 0 as i, 'Senior ' || lang as title, 'senior'
   union all select 1000000000000 + job_id, 0, title, 'mid', cast(salary as varchar), '2026-04-11' from j)
 """
 ORACLES = {
+    "i12_questions": v.with_views("companies") + " select company_id, case when company_id % 2 = 0 then 'blue ring' else 'brush|roller' end as technologies, case when company_id % 2 = 0 then 'jobs' else 'painter' end as job_titles, name as companies, coalesce(location, 'Hue') || ' ?' as locations from companies",
     # each sign is written twice, so that neighbouring phrases have one each
     "m1_sql_phrases": r"with x as (select doc_id, regexp_replace(replace(replace(lower(coalesce(source, '')), ' ', '-'), '_', '-'), '[^a-z0-9-]', '', 'g') as source, unnest(regexp_extract_all(regexp_replace(lower(text), '([^\p{L}\p{N}_.])', '\1\1', 'g'), '(?:^|[^\p{L}\p{N}_.])(of  the|und  die|de  la|que  de)(?:[^\p{L}\p{N}_.]|$)', 1)) as p from documents) select source, replace(p, '  ', ' ') as phrase, count(distinct doc_id) as docs from x group by 1, 2".replace("\\\\", "\\"),
     "m1_sql_dates": "with d as (select o_orderkey, unnest(['Ngày 3 tháng 5 năm 2026', strftime(o_orderdate, '%-d/%-m/%Y'), strftime(o_orderdate, '%-m/%Y')]) as entity, unnest([0, 1, 2])::int as place from orders) select *, 'DATE' as label from d",

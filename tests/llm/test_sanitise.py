@@ -143,3 +143,17 @@ def test_spans_and_texts(spark):
     for r in sanitise.sanitised_spans(df).collect():
         places = [(s.start, s.end) for s in r.spans]
         assert places == sorted(places)
+
+
+def test_terms_against_sql(spark):
+    """The given tables hold hardly any term that gives a value away, so SQL is also held against made texts that do."""
+    import duckdb
+    import pandas as pd
+    from compare import difference, spark_rows, sql_rows
+
+    rows = corpus() + [(300, None), (301, ""), (100, corpus()[60][1])]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    got = spark_rows(sanitise.span_digests(sanitise.sanitised_spans(frame(spark, rows))).withColumnRenamed("id", "doc_id"))
+    want = sql_rows(con, sanitise.SANITISE_SQL)
+    assert difference(got, want) == "" and sum("term:" in str(r) for r in want[1]) >= 7

@@ -77,4 +77,4 @@ def op13_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (op1_language_id, op2_quality, op3_toxicity, op4_fingerprints, op5_simhash, op6_packing, op7_exact_dedup, op8_mixing, op9_url_filter, op10_passages, op11_centroids, op12_runs, op13_sanitise)
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLES = {"op7_exact_dedup": exact_dedup.EXACT_SQL, "op8_mixing": mixing.MIX_SQL, "op11_centroids": centroids.CENTROIDS_SQL}
+ORACLES = {"op7_exact_dedup": exact_dedup.EXACT_SQL, "op8_mixing": mixing.MIX_SQL, "op11_centroids": centroids.CENTROIDS_SQL, "op13_sanitise": sanitise.SANITISE_SQL}

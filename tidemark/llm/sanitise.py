@@ -252,3 +252,44 @@ def span_digests(found: DataFrame) -> DataFrame:
     of = lambda kind: F.filter("spans", lambda s: s.kind == kind)
     counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in PATTERNS]
     return found.select("id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
+#: The contract's patterns as SQL has them, and the whole operator in SQL: a text is one row, spans are found by splitting.
+_SQL_PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+){3}", "card": r"[0-9](?:[ -]?[0-9])+", "phone": r"\+[0-9][ ().0-9-]+[0-9]"}
+_SQL_CLEAN = "regexp_replace(" * 4 + "{}" + "".join(f", '{p}', ' ', 'g')" for p in _SQL_PATTERNS.values())
+SANITISE_SQL = r"""
+with d as (select distinct coalesce(text, '') as t from documents),
+""" + ",\n".join(
+    # one table for each kind, as patterns must be constants
+    rf"""m{r} as (select t, '{k}' as kind, {r} as rank, unnest(regexp_extract_all(t, '{p}')) as m, unnest(range(1, len(regexp_extract_all(t, '{p}')) + 1)) as i, regexp_split_to_array(t, '{p}') as gaps from d)"""
+    for r, (k, p) in enumerate(_SQL_PATTERNS.items())
+) + r""",
+m as (select *, regexp_replace(m, '[^0-9]', '', 'g') as digits, sum(length(gaps[i]) + length(m)) over (partition by t, kind order by i)::bigint as en from (from m0 union all from m1 union all from m2 union all from m3)),
+v as (select *, en - length(m) as st, right(gaps[i], 300) as before, left(gaps[i + 1], 300) as after, kind || ':' || case when kind in ('card', 'phone') then digits else lower(m) end as value from m where case kind
+  when 'ip' then len([x for x in string_split(m, '.') if length(ltrim(x, '0')) > 3 or coalesce(try_cast(ltrim(x, '0') as int), 0) > 255]) = 0
+  when 'card' then length(digits) between 12 and 19 and list_sum([case when j % 2 = 0 then (reverse(digits)[j]::int * 2) // 10 + (reverse(digits)[j]::int * 2) % 10 else reverse(digits)[j]::int end for j in range(1, length(digits) + 1)]) % 10 = 0
+  when 'phone' then length(digits) between 9 and 15 else true end),
+c as (select t, value, CLEAN(before) as b, CLEAN(after) as a from v),
+b as (select t, value, regexp_extract_all(lower(b), 'TERM') as b, regexp_extract_all(lower(a), 'TERM') as a from c),
+own as (select t, value, min(coalesce(b[len(b)], '') || ' ' || coalesce(a[1], '')) as w from b group by t, value),
+shown0 as (select value, count(distinct w) as shown from own group by value),
+side as (select t, value, unnest(x) as word, unnest([coalesce(x[j - 1], '') || ' ' || coalesce(x[j + 1], '') for j in range(1, len(x) + 1)]) as w from (select t, value, b as x from b union all select t, value, a from b)),
+beside as (select t, value, word, min(w) as w from side group by all),
+joint as (select value, word, count(distinct w) as joint from beside group by all having count(distinct w) >= 3),
+near as (select word, count(distinct w) as near from (select t, word, min(w) as w from beside group by all) group by word),
+shown as (select value, greatest(any_value(shown), max(joint)) as shown from joint join shown0 using (value) group by value),
+words as (select t, regexp_extract_all(lower(t), 'TERM') as x from d where exists (from joint)),
+each as (select t, unnest(x) as word, unnest([coalesce(x[j - 1], '') || ' ' || coalesce(x[j + 1], '') for j in range(1, len(x) + 1)]) as w from words),
+seen as (select word, count(distinct w) as seen from (select t, word, min(w) as w from each semi join joint using (word) group by all) group by word),
+n as (select count(*)::double as n from d),
+terms as (select distinct word from joint join shown using (value) join near using (word) join seen using (word), n where n > shown and round(log2(n * joint / (greatest(seen, near) * shown)) / log2(n / shown), 9) >= 0.9),
+places as (select t, unnest(regexp_extract_all(t, 'TERM')) as m, unnest(range(1, len(regexp_extract_all(t, 'TERM')) + 1)) as i, regexp_split_to_array(t, 'TERM') as gaps from d where exists (from terms)),
+placed as (select t, lower(m) as word, length(m) as size, sum(length(gaps[i]) + length(m)) over (partition by t order by i)::bigint as en from places),
+added as (select t, 'term' as kind, 4 as rank, en - size as st, en from placed semi join terms using (word)),
+free as (from added anti join v on v.t = added.t and v.st < added.en and v.en > added.st),
+spans as (select t, kind, rank, st, en from v union all from free),
+found as (select t, string_agg(kind || ':' || st || ':' || en, ',' order by st, rank) as spans, coalesce(string_agg(kind || ':' || st || ':' || en, ',' order by st, rank) filter (kind <> 'term'), '') as base,
+  count(*) filter (kind = 'email') as n_email, count(*) filter (kind = 'ip') as n_ip, count(*) filter (kind = 'card') as n_card, count(*) filter (kind = 'phone') as n_phone from spans group by t)
+select doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coalesce(n_card, 0) as n_card, coalesce(n_phone, 0) as n_phone, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from documents left join found on t = coalesce(text, '')
+""".replace("CLEAN(before)", _SQL_CLEAN.replace("{}", "before")).replace("CLEAN(after)", _SQL_CLEAN.replace("{}", "after")).replace("TERM", r"[\p{L}\p{N}]+(?:[''’_-][\p{L}\p{N}]+)*")

@@ -24,7 +24,7 @@ _models: dict[str, Model] = {}
 
 
 def word_windows(df: DataFrame, id_col: str, text_col: str, size: int = 480, overlap: int = 50) -> DataFrame:
-    """(id, chunk, start, words): windows of `size` white-space words, each beginning `overlap` words before the end of the
+    """(id, chunk, start, text): windows of `size` white-space words, joined by spaces, each beginning `overlap` words before the end of the
     one before; the last ends with the text. Null and blank texts have none. A text's windows are rows of their own, so a
     long text is not scored by one task alone."""
     if not 0 <= overlap < size:
@@ -33,9 +33,9 @@ def word_windows(df: DataFrame, id_col: str, text_col: str, size: int = 480, ove
     step = size - overlap
     each = df.select(F.col(id_col).cast("long").alias("id"), words.alias("all")).where(F.size("all") > 0)
     last = F.greatest(F.ceil((F.size("all") - size) / step), F.lit(0)).cast("long")
-    cut = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda i: F.slice("all", (i * step + 1).cast("int"), F.lit(size)))
-    each = each.select("id", F.posexplode(cut).alias("chunk", "words"))
-    return each.select("id", F.col("chunk").cast("long").alias("chunk"), (F.col("chunk") * step).cast("long").alias("start"), "words")
+    cut = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda i: F.array_join(F.slice("all", (i * step + 1).cast("int"), F.lit(size)), " "))
+    each = each.select("id", F.posexplode(cut).alias("chunk", "text"))
+    return each.select("id", F.col("chunk").cast("long").alias("chunk"), (F.col("chunk") * step).cast("long").alias("start"), "text")
 
 
 def _whole(spans: Iterable, n: int) -> list[tuple[int, int, str, float]]:
@@ -60,7 +60,8 @@ def _score(load: Callable[[], Model], name: str, overlap: int):
                 _models[name] = load()  # a model that can't be loaded fails the task, not the rows
             model = _models[name]
             failed, spans = [], []
-            for start, words in zip(batch.column("start").to_pylist(), batch.column("words").to_pylist()):
+            for start, text in zip(batch.column("start").to_pylist(), batch.column("text").to_pylist()):
+                words = text.split(" ")
                 try:
                     found = _whole(model(words), len(words))
                     inner = range(overlap if start else 0, len(words) - overlap + 1)
@@ -139,8 +140,8 @@ def fit_tagger(df: DataFrame, text_col: str, label_col: str, none: str | None =
     buckets at most reach the driver."""
     words = F.filter(F.split(F.lower(F.col(text_col)), r"\s+"), lambda w: w != "")
     each = df.where(F.col(label_col).isNotNull()).select(F.col(label_col).alias("label"), F.explode(words).alias("w"))
-    counts = each.groupBy("w", "label").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.groupBy(F.substring(F.md5(F.col("w").cast("binary")), 1, 4).alias("bucket"), "label").agg(F.sum("n").alias("n"))
+    # buckets are few, so words are summed before they are shuffled
+    counts = each.groupBy(F.substring(F.md5(F.col("w").cast("binary")), 1, 4).alias("bucket"), "label").agg(F.count(F.lit(1)).alias("n"))
     best = counts.groupBy("bucket").agg(F.min_by("label", F.struct((-F.col("n")).alias("n"), "label")).alias("label"))
     return {r["bucket"]: r["label"] for r in best.collect() if r["label"] != none}
 
@@ -148,22 +149,22 @@ def fit_tagger(df: DataFrame, text_col: str, label_col: str, none: str | None =
 class RunTagger:
     """A fitted tagger as a model: runs of words with one label are spans; words of unknown buckets end a run."""
 
-    def __init__(self, table: dict[str, str], known: int = 200_000):
+    def __init__(self, table: dict[str, str], known: int = 500_000):
         self.table, self.known, self.words = table, known, {}
 
-    def label(self, word: str) -> str | None:
-        if word not in self.words:
-            if len(self.words) >= self.known:
-                self.words.clear()
-            self.words[word] = self.table.get(word_bucket(word))
-        return self.words[word]
-
     def __call__(self, words: Sequence[str]) -> list[tuple[int, int, str, float]]:
-        labels = [*map(self.label, words), None]
-        out, begin = [], 0
-        for i in range(1, len(labels)):
-            if labels[i] != labels[begin]:
-                if labels[begin] is not None:
-                    out.append((begin, i, labels[begin], 1.0))
-                begin = i
+        seen = self.words
+        new = [w for w in words if w not in seen]
+        if len(seen) + len(new) > self.known:
+            seen.clear()
+            new = words
+        for w in new:
+            seen[w] = self.table.get(word_bucket(w))
+        out: list[tuple[int, int, str, float]] = []
+        for i, label in enumerate(map(seen.__getitem__, words)):
+            if label is not None:
+                if out and out[-1][1] == i and out[-1][2] == label:
+                    out[-1] = (out[-1][0], i + 1, label, 1.0)
+                else:
+                    out.append((i, i + 1, label, 1.0))
         return out

@@ -8,26 +8,32 @@ from tidemark.functions import sql
 from tidemark.operators import importing, questions, scoring
 from tidemark.plans import views as v
 from tidemark.plans.sources import _stream
-from tidemark.sources.shared import new_folder
+from tidemark.sources.shared import new_folder, stored
 from tidemark.streaming import delivery, graph_writer
 
 TECHS = ("token", "license", "idiot", "clown", "SQL.")
 LEAST_WORDS = 2
 
 
+#: Labelled texts that the tagger is fitted on at most.
+FIT_ROWS = 20_000
+
+
 def _tagger(spark, sf):
-    """A tagger of words that stand more often in texts labelled toxic than in others, fitted on all labelled texts."""
+    """A tagger of words that stand more often in texts labelled toxic than in others, fitted on the FIT_ROWS labelled texts
+    with the smallest md5 of their id: their ids are broadcast, so that no text is shuffled."""
     label = F.when(F.col("toxic") == 1, "TOXIC").otherwise("CLEAN")
-    d = v.table(spark, sf, "documents").join(v.table(spark, sf, "labels").where("toxic is not null").select("doc_id", label.alias("label")), "doc_id")
-    table = scoring.fit_tagger(d, "text", "label", "CLEAN")
+    known = v.table(spark, sf, "labels").where("toxic is not null").select("doc_id", label.alias("label"))
+    known = known.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(FIT_ROWS)
+    table = scoring.fit_tagger(v.table(spark, sf, "documents").join(F.broadcast(known), "doc_id"), "text", "label", "CLEAN")
     return lambda: scoring.RunTagger(table)
 
 
 def i10_scored(spark, sf):
     """Runs of at least two words that a fitted tagger marks, scored in windows of 200 words and merged."""
     windows = scoring.word_windows(v.table(spark, sf, "documents"), "doc_id", "text", 200, 20)
-    found = scoring.merged_entities(scoring.scored_windows(windows, _tagger(spark, sf), new_folder(spark, "tagger"), 20))
-    found = found.where(F.size("words") >= LEAST_WORDS)
+    scored = stored(scoring.scored_windows(windows, _tagger(spark, sf), new_folder(spark, "tagger"), 20), "scored")
+    found = scoring.merged_entities(scored).where(F.size("words") >= LEAST_WORDS)
     return found.select(F.col("id").alias("doc_id"), "label", "start", F.size("words").cast("long").alias("words"), F.md5(F.array_join("words", " ").cast("binary")).alias("entity"))
 
 
@@ -229,7 +235,8 @@ QUERIES = {f.__name__: f for f in (i12_questions, m1_sql_phrases, m1_sql_dates,
 
 _RUNS = r"""with words as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda w: w <> '') as ws from documents),
 each as (select doc_id, unnest(ws) as w, unnest(range(len(ws))) as i from words),
-counts as (select substr(md5(lower(w)), 1, 4) as bucket, case when toxic = 1 then 'TOXIC' else 'CLEAN' end as label, count(*) as n from each join labels using (doc_id) where toxic is not null group by 1, 2),
+known as (select doc_id, toxic from labels where toxic is not null order by md5(cast(doc_id as varchar)), doc_id limit 20000),
+counts as (select substr(md5(lower(w)), 1, 4) as bucket, case when toxic = 1 then 'TOXIC' else 'CLEAN' end as label, count(*) as n from each join known using (doc_id) group by 1, 2),
 best as (select bucket, label from counts qualify row_number() over (partition by bucket order by n desc, label) = 1),
 tagged as (select doc_id, i, w, label from each join best on bucket = substr(md5(lower(w)), 1, 4) where label <> 'CLEAN'),
 runs as (select *, i - row_number() over (partition by doc_id, label order by i) as run from tagged),

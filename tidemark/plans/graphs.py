@@ -284,3 +284,9 @@ ORACLES = {
     "d23_run_summary": v.with_views("visits") + " select count(*) as questions, round(avg((keyword <> 'error')::int), 6) as answered_rate, round(avg(floor(value)), 6) as mean_seconds, round(avg(length(ip)), 6) as mean_score from visits",
     "d11_company_edges": "with m as (select distinct l_orderkey as k, l_suppkey as x from lineitem) select a.x as a, b.x as b, count(*) as n from m a join m b on a.k = b.k and a.x < b.x group by 1, 2 having count(*) >= 5",
 }
+#: Twenty rounds, one after the other.
+ORACLES["j5_pagerank"] = (
+    v.with_views("uses") + ", u as (select 'c' || company_id as a, 't' || tech_id as b from uses), e as materialized (select a as src, b as dst from u union select b, a from u), d as materialized (select src, count(*) as degree from e group by 1), s0 as (select src as id, 1.0::double as score from d)"
+    + "".join(f", s{k + 1} as materialized (select dst as id, 0.15 + 0.85 * sum(score / degree) as score from e join d using (src) join s{k} on id = src group by 1)" for k in range(20))
+    + " select id, round(score, 5) as score from s20 where id like 't%'"
+)

@@ -220,3 +220,11 @@ ORACLES = {
     "l7_daily_keywords": "select cast(ts as date) as day, event_type as keyword, count(*) as searches from events group by 1, 2",
     "l8_mention_counts": "select event_type as name, count(*) as mentions from events group by 1",
 }
+#: The phrases of messages, each once by lower case: signs are doubled, so that neighbouring phrases have one each.
+_MESSAGES = r"""with m as (select 'u' || doc_id as source_url, regexp_replace(substr(text, 1, 60) || ' ' || text, '([^\p{L}\p{N}_.])', '\1\1', 'g') as t from documents where doc_id % 13 <> 0),
+f as (select source_url, [replace(x, '  ', ' ') for x in regexp_extract_all(t, '(?i)(?:^|[^\p{L}\p{N}_.])(apache  license|license|token)(?:[^\p{L}\p{N}_.]|$)', 1)] as techs,
+  regexp_extract_all(t, '(?i)(?:^|[^\p{L}\p{N}_.])(clown|idiot)(?:[^\p{L}\p{N}_.]|$)', 1) as roles from m),
+o as (select source_url, list_append([x for x, i in techs if list_position([lower(y) for y in techs], lower(x)) = i], 'Go') as techs, [x for x, i in roles if list_position([lower(y) for y in roles], lower(x)) = i] as roles from f)
+"""
+ORACLES["l1_extraction"] = _MESSAGES + "select source_url, md5(source_url) as key, array_to_string(techs, '|') as techs, array_to_string(roles, '|') as roles from o"
+ORACLES["l2_technology_mentions"] = _MESSAGES + "select lower(name) as name, count(*) as mentions from (select distinct source_url, unnest(techs) as name from o) group by 1"

@@ -200,8 +200,15 @@ ORACLES = {
     "k11_k_distance": R + ", d as (select a.id, list_distance(a.vec, b.vec) as d from r a, r b where a.id <> b.id), k as (select id, d, row_number() over (partition by id order by d) as k from d) select id, round(d, 6) as kth, row_number() over (order by round(d, 6) desc, id) as place from k where k = 5",
     "k6_scaled": "select p_partkey, round((p_size - avg(p_size) over ()) / stddev_pop(p_size) over (), 6) as a, round(2 * (p_retailprice - avg(p_retailprice) over ()) / stddev_pop(p_retailprice) over (), 6) as b, 0.0::double as c from part",
     "k6_minmax": "select p_partkey, round((p_size - min(p_size) over ()) / (max(p_size) over () - min(p_size) over ()), 6) as a, round(0.5 * (p_retailprice - min(p_retailprice) over ()) / (max(p_retailprice) over () - min(p_retailprice) over ()), 6) as b from part",
+    "k13_metrics": CENT + """, n as (select cluster_id, count(*) as n, avg(list_distance(vec, centroid)) as s, sum(pow(list_distance(vec, centroid), 2)) as w, any_value(centroid) as centroid from r join c using (cluster_id) group by 1),
+        mean as (select list(x order by i) as mean from (select i, avg(x) as x from x group by 1)), worst as (select a.cluster_id, max((a.s + b.s) / list_distance(a.centroid, b.centroid)) as r from n a join n b on a.cluster_id <> b.cluster_id group by 1),
+        k as (select count(*) as k, sum(n) as n, sum(w) as within, sum(n * pow(list_distance(centroid, mean), 2)) as between from n, mean),
+        d as (select a.id, a.cluster_id as own, b.cluster_id, sum(list_distance(a.vec, b.vec)) as d, count(*) as n from r a join r b on a.cluster_id <> -1 and b.cluster_id <> -1 group by 1, 2, 3),
+        ab as (select id, max(case when own = cluster_id then n end) as size, max(case when own = cluster_id then d / greatest(n - 1, 1) end) as a, min(case when own <> cluster_id then d / n end) as b from d group by 1)
+        select k as clusters, (select round(avg((cluster_id = -1)::int), 6) from r) as noise_ratio, (select round(avg(r), 4) from worst) as davies_bouldin, round(between / (k - 1) / (within / (n - k)), 2) as calinski_harabasz, (select round(avg(case when size > 1 then (b - a) / greatest(a, b) else 0 end), 4) from ab) as silhouette from k""",
     "k6_robust": "with s as (select median(p_size) as am, quantile_cont(p_size::double, 0.75) - quantile_cont(p_size::double, 0.25) as ab, median(p_retailprice) as bm, quantile_cont(p_retailprice, 0.75) - quantile_cont(p_retailprice, 0.25) as bb from part) select p_partkey, round((p_size - am) / ab, 6) as a, round(0.5 * (p_retailprice - bm) / bb, 6) as b, 0.0::double as c from part, s",
     "k8_one_hot": "with t as (select p_brand, row_number() over (order by count(*) desc, p_brand) as r from part group by 1) select p_partkey as id, coalesce(r = 1, false)::int::double as c0, coalesce(r = 2, false)::int::double as c1, coalesce(r = 3, false)::int::double as c2 from part left join t on t.p_brand = part.p_brand and r <= 3",
     "k5_matrix": v.with_views("requires", "uses", "technologies") + " select tech_id as id, (select count(*) from requires r where r.tech_id = t.tech_id)::double as jobs, case when tech_id % 3 <> 0 then (select count(*) from uses u where u.tech_id = t.tech_id) else 0 end::double as companies from technologies t",
     "k18_missing_vectors": "select not (doc_id % 2 = 0 and doc_id in (select vec_id from embeddings)) as made, count(*) as n from documents group by 1",
 }
+ORACLES["k11_knee"] = "with curve as (" + ORACLES["k11_k_distance"] + "), e as (select max(kth) as y0, min(kth) as y1, max(place) as n from curve) select kth as eps from curve, e order by round(1 - (place - 1) / greatest(n - 1, 1) - (kth - y1) / greatest(y0 - y1, 1e-12), 9) desc, place limit 1"

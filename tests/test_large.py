@@ -44,3 +44,32 @@ def test_content_vectors_in_blocks(spark, half_year):
         w = np.array([np.exp(-(late - x if day[x] else 0) / half_year) if half_year else 1.0 for x in mine])
         u = np.array([np.array(vec[x]) / np.linalg.norm(vec[x]) for x in mine])
         assert got[t].n == len(mine) and got[t].embedding == pytest.approx(((w[:, None] * u).sum(0) / w.sum()).tolist())
+
+
+def test_nodes_are_looked_at_again_only_after_a_neighbour_moved():
+    """Ten rings of ten in a ring: settled rings are not counted through again in each of the passes."""
+    from tidemark.operators import louvain
+
+    rng = np.random.default_rng(3)
+    pairs = {(min(a, b), max(a, b)) for g in range(10) for a, b in rng.integers(10 * g, 10 * g + 10, (30, 2)).tolist() if a != b} | {(10 * g, 10 * g + 11) for g in range(9)}
+    s, d = np.array(sorted([*pairs, *[(b, a) for a, b in pairs]])).T
+    w, n = np.ones(len(s)), 100
+    seen = []
+    own = louvain.local_moves(s, d, w, n, float(len(s)), np.arange(n), np.bincount(s, weights=w, minlength=n), n, visits=seen)
+    again = louvain.local_moves(s, d, w, n, float(len(s)), own, np.bincount(own[s], weights=w, minlength=n), n)
+    assert (again == own).all()  # settled: no single move is better
+    assert seen[0] == n and seen[-1] < n
+
+
+def test_communities_of_ids_that_are_no_numbers(spark):
+    """Strings and the numbers of their order have the same communities, through blocks too."""
+    from tidemark.operators import louvain
+
+    rng = np.random.default_rng(5)
+    pairs = [(int(a), int(b)) for g in range(6) for a, b in rng.integers(20 * g, 20 * g + 20, (80, 2))] + [(20 * g, 20 * g + 21) for g in range(5)]
+    nodes = sorted({x for a, b in pairs if a != b for x in (a, b)})
+    at = {x: i for i, x in enumerate(nodes)}
+    for links in (10_000, 200):
+        text = louvain.communities(spark.createDataFrame([(f"n{a:03d}", f"n{b:03d}") for a, b in pairs if a != b], "src string, dst string"), block_links=links)
+        ints = louvain.communities(spark.createDataFrame([(at[a], at[b]) for a, b in pairs if a != b], "src long, dst long"), block_links=links)
+        assert {r.id: r.community for r in text.collect()} == {f"n{nodes[r.id]:03d}": f"n{nodes[r.community]:03d}" for r in ints.collect()}

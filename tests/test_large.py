@@ -73,3 +73,17 @@ def test_communities_of_ids_that_are_no_numbers(spark):
         text = louvain.communities(spark.createDataFrame([(f"n{a:03d}", f"n{b:03d}") for a, b in pairs if a != b], "src string, dst string"), block_links=links)
         ints = louvain.communities(spark.createDataFrame([(at[a], at[b]) for a, b in pairs if a != b], "src long, dst long"), block_links=links)
         assert {r.id: r.community for r in text.collect()} == {f"n{nodes[r.id]:03d}": f"n{nodes[r.community]:03d}" for r in ints.collect()}
+
+
+def test_only_runs_that_are_names_are_counted(spark):
+    """Both ways give the same; with a small dictionary no run that is no name reaches the count of runs."""
+    from tidemark.operators import entities
+
+    t = spark.createDataFrame([(1, "Big data, big data. data"), (2, None), (3, "nothing here")], "id long, text string")
+    names = spark.createDataFrame([("Big Data", "TECH"), ("data", "TECH"), ("DATA", "ORG"), (" ", "ORG")], "name string, label string")
+    want = {(1, "TECH", "big data", 2), (1, "TECH", "data", 3), (1, "ORG", "data", 3)}
+    for most in (3, 1):
+        got = entities.dictionary_entities(t, names, most=most)
+        assert {tuple(r) for r in got.collect()} == want
+        joins_below = got._jdf.queryExecution().optimizedPlan().toString().split("count(1)")[1].count("Join")
+        assert joins_below == (most == 3)

@@ -6,12 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def dictionary_entities(texts: DataFrame, names: DataFrame, id_col: str = "id", text_col: str = "text", longest: int = 3) -> DataFrame:
+#: Names of a dictionary that is broadcast.
+KNOWN = 100_000
+
+
+def dictionary_entities(texts: DataFrame, names: DataFrame, id_col: str = "id", text_col: str = "text", longest: int = 3, most: int = KNOWN) -> DataFrame:
     """(id, label, name, n): names (name, label) of at most `longest` words that stand in a text as whole words, whatever
     their case, and how often.
 
-    Runs of words meet names by equality, so neither the texts nor the dictionary are compared one by one; runs are
-    counted for each text before they are shuffled. Null or empty texts have none.
+    Runs of words meet names by equality, so neither the texts nor the dictionary are compared one by one. A dictionary of
+    KNOWN keys or fewer is broadcast, and only runs that are names are counted and shuffled; runs meet a larger one by shuffle,
+    counted for each text before. Null or empty texts have none.
     """
     words = F.filter(F.split(F.lower(F.coalesce(text_col, F.lit(""))), r"[^\p{L}\p{N}#_+.]+"), lambda w: w != "")
     words = F.transform(words, lambda w: F.rtrim(w, F.lit(".")))
@@ -20,8 +25,12 @@ def dictionary_entities(texts: DataFrame, names: DataFrame, id_col: str = "id",
     def runs(k: int):
         return F.transform(F.slice("w", F.lit(1), F.greatest(F.size("w") - (k - 1), F.lit(0))), lambda x, i: F.array_join(F.slice("w", i + 1, k), " "))
 
-    found = each.select("id", F.explode(F.concat(*map(runs, range(1, longest + 1)))).alias("key")).groupBy("id", "key").agg(F.count(F.lit(1)).alias("n"))
+    found = each.select("id", F.explode(F.concat(*map(runs, range(1, longest + 1)))).alias("key"))
     known = names.where(F.length(F.trim("name")) > 0).select(F.lower(F.trim("name")).alias("key"), "label", "name").dropDuplicates(["key", "label"])
+    keys = known.select("key").distinct()
+    if len(keys.take(most + 1)) <= most:
+        found = found.join(F.broadcast(keys), "key")
+    found = found.groupBy("id", "key").agg(F.count(F.lit(1)).alias("n"))
     return found.join(known, "key").select("id", "label", F.lower("name").alias("name"), "n")
 
 

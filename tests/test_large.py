@@ -87,3 +87,14 @@ def test_only_runs_that_are_names_are_counted(spark):
         assert {tuple(r) for r in got.collect()} == want
         joins_below = got._jdf.queryExecution().optimizedPlan().toString().split("count(1)")[1].count("Join")
         assert joins_below == (most == 3)
+
+
+def test_post_files_are_parsed_once(spark):
+    from tidemark.operators import importing
+
+    value = '{"source_platform":"s","post_detail":[{"title":"T","content":"c","entities":{"TECH":["Go"],"ORG":["Acme"],"LOC":["Hue"]}},{"job":{"title":"Dev"},"company":{"name":"Acme"},"skills":["x"],"technologies":["Go"]}]}'
+    t = importing.import_posts(spark.createDataFrame([("f1", value)], "file string, value string"), "2026-01-01")
+    assert all("from_json" not in plan(df) for df in t.values())
+    assert [(r.name, r.location) for r in t["companies"].collect()] == [("Acme", "Hue")]
+    assert [(r.title, r.name, r.n) for r in t["job_technologies"].collect()] == [("Dev", "Go", 1)]
+    assert [(r.title, r.name) for r in t["article_company"].collect()] == [("T", "Acme")]

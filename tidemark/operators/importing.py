@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
+from tidemark.sources.shared import stored
 
 _NAMES = "array<string>"
 ENTITIES = f"struct<TECH: {_NAMES}, `SKILL/TECH`: {_NAMES}, ORG: {_NAMES}, LOC: {_NAMES}, JOB_ROLE: {_NAMES}, PER: {_NAMES}>"
@@ -33,8 +34,11 @@ def placed_posts(files: DataFrame) -> DataFrame:
 def _mentions(posts: DataFrame, names: str, kind: int) -> DataFrame:
     """(at, post, platform, name): the entries of a list of names, with their place; blank and null ones are left out."""
     at = F.struct("file", "pos", F.lit(kind).alias("kind"), "i").alias("at")
-    each = posts.select("file", "pos", "platform", "p", F.posexplode(names).alias("i", "name")).where("name <> ''")
-    return each.select(at, "platform", "p", "name")
+    # of a post only what the tables of mentions say of it, not its text
+    title = F.coalesce("p.job.title", "p.title").alias("title")
+    place = F.get("p.entities.LOC", F.lit(0)).alias("place")
+    each = posts.select("file", "pos", "platform", title, place, F.posexplode(names).alias("i", "name")).where("name <> ''")
+    return each.select(at, "platform", "title", "place", "name")
 
 
 def _first(value: Column | str, where: Column | None = None) -> Column:
@@ -60,7 +64,8 @@ def import_posts(files: DataFrame, as_of: str, not_companies: Sequence[str] = ()
     job_skills, job_technologies (title, name, n): names under a job's title, and how often.
     Posts without a title, null entries and broken files are left out; no files: empty tables.
     """
-    posts = placed_posts(files)
+    # files are parsed once and read by every table, which takes the columns of its own
+    posts = stored(placed_posts(files), "posts")
     news = posts.where("p.job is null and p.title is not null")
     jobs = posts.where("p.job.title is not null")
     e = "p.entities."
@@ -73,8 +78,8 @@ def import_posts(files: DataFrame, as_of: str, not_companies: Sequence[str] = ()
 
     banned = ~F.col("name").isin(list(not_companies)) if not_companies else F.lit(True)
     orgs = _mentions(news, e + "ORG", 0).where(banned & (F.length("name") > 2))
-    known = F.coalesce(F.get("p.entities.LOC", F.lit(0)), F.lit(UNKNOWN))
-    of_news = orgs.select("at", F.col("p.title").alias("title"), "name", F.lit("Technology").alias("field"), F.lit(UNKNOWN).alias("size"), known.alias("location"))
+    known = F.coalesce("place", F.lit(UNKNOWN))
+    of_news = orgs.select("at", "title", "name", F.lit("Technology").alias("field"), F.lit(UNKNOWN).alias("size"), known.alias("location"))
     at_job = F.struct("file", "pos", F.lit(0).alias("kind"), F.lit(0).alias("i")).alias("at")
     of_jobs = jobs.select(at_job, F.col("p.job.title").alias("title"), F.col("p.company.name").alias("name"), F.coalesce("p.company.field", F.lit("Technology")).alias("field"), F.coalesce("p.company.size", F.lit(UNKNOWN)).alias("size"), F.coalesce("p.company.location", F.lit(UNKNOWN)).alias("location"))
     of_jobs = of_jobs.where((F.col("name") != "") & banned)
@@ -89,7 +94,7 @@ def import_posts(files: DataFrame, as_of: str, not_companies: Sequence[str] = ()
 
     people = _mentions(news, e + "PER", 0).where(F.length("name") > 3).where(~F.col("name").isin(list(not_people)) if not_people else F.lit(True)).select("name").distinct()
     last = lambda df: df.groupBy("title").agg(F.max_by("name", "at").alias("name"))
-    counted = lambda df: df.select(F.col("p.job.title").alias("title"), "name").groupBy("title", "name").agg(F.count(F.lit(1)).alias("n"))
+    counted = lambda df: df.groupBy("title", "name").agg(F.count(F.lit(1)).alias("n"))
     articles = news.select("file", "pos", F.col("p.title").alias("title"), F.coalesce("p.content", "p.description", F.lit("")).alias("content"), text.source_name("platform").alias("source"), text.parse_date("p.created_at", as_of).alias("published"))
     return {
         "articles": articles, "technologies": technologies, "skills": skills, "companies": companies, "roles": roles, "people": people,

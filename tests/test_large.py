@@ -98,3 +98,30 @@ def test_post_files_are_parsed_once(spark):
     assert [(r.name, r.location) for r in t["companies"].collect()] == [("Acme", "Hue")]
     assert [(r.title, r.name, r.n) for r in t["job_technologies"].collect()] == [("Dev", "Go", 1)]
     assert [(r.title, r.name) for r in t["article_company"].collect()] == [("T", "Acme")]
+
+
+def test_only_edges_at_a_center_are_made_unique(spark):
+    e = spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "c"), ("c", "d"), ("a", "a"), (None, "a")], "src string, dst string")
+    got = graph.first_neighbours(e, spark.createDataFrame([("a",)], "id string"), 2)
+    assert sorted(tuple(r) for r in got.collect()) == [("a", "b"), ("a", "c")]
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftSemi" in text.split("Aggregate")[1]
+
+
+def test_shortest_path_makes_edges_unique_once(spark, monkeypatch):
+    made, real = [], graph.symmetric
+    monkeypatch.setattr(graph, "symmetric", lambda e: made.append(1) or real(e))
+    e = spark.createDataFrame([("s", "p"), ("p", "q"), ("q", "t"), ("s", "q2"), ("q2", "r"), ("r", "t")], "src string, dst string")
+    n = spark.createDataFrame([("q2", "Company")], "id string, label string")
+    assert graph.shortest_paths(n, e, "s", "t").first().path == ["s", "q2", "r", "t"] and len(made) == 1
+
+
+def test_nearest_meets_bounded_pieces(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "ROWS", 7)
+    x = np.random.default_rng(2).normal(size=(60, 4))
+    base = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>").coalesce(1)
+    got = {(r.query_id, r.rank): r.id for r in vectors.nearest(base, base.where("id < 3"), 4, "euclidean", True).collect()}
+    for q in range(3):
+        d = np.linalg.norm(x - x[q], axis=1)
+        d[q] = np.inf
+        assert [got[q, k] for k in range(1, 5)] == np.argsort(d)[:4].tolist()

@@ -125,3 +125,12 @@ def test_nearest_meets_bounded_pieces(spark, monkeypatch):
         d = np.linalg.norm(x - x[q], axis=1)
         d[q] = np.inf
         assert [got[q, k] for k in range(1, 5)] == np.argsort(d)[:4].tolist()
+
+
+@pytest.mark.parametrize("depth", [1, 2])
+def test_explore_sends_its_few_centers_to_the_edges(spark, depth):
+    n = spark.createDataFrame([(x, "T", f"node {x}") for x in "abcd"], "id string, label string, name string")
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d")], "src string, dst string")
+    nodes, pairs = graph.explore(n, e, spark.createDataFrame([("node a",)], "keyword string"), depth)
+    assert {r.id for r in nodes.collect()} == set("abc"[: depth + 1])
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().count("rightHint=(strategy=broadcast)") >= 2 * depth

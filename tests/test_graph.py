@@ -220,6 +220,21 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in streams.unique_visits(df).collect()}
 
 
+def test_vectors_count_words_by_place(spark):
+    """Against numpy, with places that no word has, repeated words and blank texts. Words are counted by their order and no
+    array of counts is made for each word."""
+    texts = [("a", "x y x", "Z  z\ty"), ("b", "", None), ("c", None, " ".join(f"w{i % 40}" for i in range(900)))]
+    df = spark.createDataFrame([(u, t, c) for u, t, c in texts], "source_url string, title string, content string")
+    words = sorted({w.lower() for _, t, c in texts for w in f"{t or ''} {c or ''}".split()})
+    at = {r.w: r.h for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.pmod(F.xxhash64("w"), F.lit(16)).alias("h")).collect()}
+    out = streams.vectors_of(df, 16)
+    got = {r.source_url: r.embedding for r in out.collect()}
+    for url, t, c in texts:
+        n = np.bincount([at[w] for w in f"{t or ''} {c or ''}".lower().split()], minlength=16).astype(float)
+        assert got[url] == pytest.approx((n / (np.linalg.norm(n) or 1.0)).tolist())
+    assert "array_repeat" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_modularity_and_blocks(spark):
     """Twelve dense groups and a hub beside them all: found whole and block by block, where the hub has more links than a
     block holds; the figure that decides is the definition's."""

@@ -166,7 +166,7 @@ def l2_technology_mentions(spark, sf):
 
 
 def l3_vectors(spark, sf):
-    m = streams.parsed(_stream(_messages(spark, sf))).where("not bad")
+    m = streams.parsed(_stream(_messages(spark, sf), 24)).where("not bad")
     out = streams.run_once(streams.vectors_of(m, 16))
     return out.select("source_url", F.array_join(F.transform("embedding", lambda x: F.format_number(x, 4)), " ").alias("embedding"))
 

@@ -48,7 +48,11 @@ def vectors_of(df: DataFrame, dim: int = 64) -> DataFrame:
     """(source_url, embedding): hashed words of title and content, of length 1; blank texts are zeros."""
     words = F.filter(F.split(F.lower(F.concat_ws(" ", "title", "content")), r"\s+"), lambda w: w != "")
     hashed = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dim)))
-    counts = F.aggregate(hashed, F.array_repeat(F.lit(0.0), dim), lambda a, h: F.transform(a, lambda x, i: F.when(i == h, x + 1).otherwise(x)))
+    # sorted, with each place once more before its words: a count is the way from one place to the next
+    marks = F.sequence(F.lit(0).cast("long"), F.lit(dim).cast("long"))
+    df = df.select("source_url", F.sort_array(F.concat(hashed, marks)).alias("at"))
+    first = [F.array_position("at", F.lit(i).cast("long")) for i in range(dim + 1)]
+    counts = F.array(*[(b - a - 1).cast("double") for a, b in zip(first[:-1], first[1:])])
     return df.select("source_url", unit(counts).alias("embedding"))
 
 

@@ -19,6 +19,14 @@ def test_components(edges):
     assert got == {"a": "a", "b": "a", "c": "a", "d": "a", "x": "x", "y": "x"}
 
 
+def test_edges_are_made_unique_in_bounded_tasks(spark, edges, monkeypatch):
+    monkeypatch.setattr(graph, "PAIRS", 2)
+    got = graph.symmetric(edges.union(edges))
+    want = {p for a, b in ("ab", "bc", "ca", "cd", "xy") for p in ((a, b), (b, a))}
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert got.rdd.getNumPartitions() == 7  # 14 edges, whatever the session's number of shuffle partitions
+
+
 def test_pagerank_keeps_its_mass(edges):
     r = graph.pagerank(edges, rounds=15).collect()
     assert sum(x.score for x in r) == pytest.approx(6.0)

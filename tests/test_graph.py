@@ -49,6 +49,23 @@ def test_walks_stay_on_edges(edges):
     assert len(walks) == 12 and all((a, b) in pairs for w in walks for a, b in zip(w.path, w.path[1:]))
 
 
+def test_walks_and_scores_do_not_depend_on_rows_and_hubs(spark):
+    """The same walks with one neighbour a row as with all in one; the same scores with all, some and no nodes as hubs."""
+    rng = np.random.default_rng(2)
+    e = [(f"{a}", f"{b}") for a, b in rng.integers(0, 30, (90, 2))] + [("hub", f"{a}") for a in range(25)]
+    df = spark.createDataFrame(e, "src string, dst string")
+    walks = [{tuple(map(str, r)) for r in graph.random_walks(df, 5, 3, chunk=c).collect()} for c in (1, 4, 1024)]
+    assert walks[0] == walks[1] == walks[2] and len(walks[0]) == 3 * len({x for p in e for x in p})
+    scores = [{r.id: r.score for r in graph.pagerank(df, rounds=4, hubs=h).collect()} for h in (0, 2, 500_000)]
+    near = {frozenset(p) for p in e if p[0] != p[1]}
+    want = dict.fromkeys({x for p in near for x in p}, 1.0)
+    of = {x: [next(iter(p - {x})) for p in near if x in p] for x in want}
+    for _ in range(4):
+        want = {x: 0.15 + 0.85 * sum(want[y] / len(of[y]) for y in of[x]) for x in want}
+    for got in scores:
+        assert got == pytest.approx(want)
+
+
 def test_communities_cut_a_bridge(spark):
     e = [(a, b) for g in ("abcd", "wxyz") for i, a in enumerate(g) for b in g[i + 1 :]] + [("d", "w")]
     got = {r.id: r.community for r in louvain.communities(spark.createDataFrame(e, "src string, dst string")).collect()}

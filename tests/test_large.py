@@ -134,3 +134,25 @@ def test_explore_sends_its_few_centers_to_the_edges(spark, depth):
     nodes, pairs = graph.explore(n, e, spark.createDataFrame([("node a",)], "keyword string"), depth)
     assert {r.id for r in nodes.collect()} == set("abc"[: depth + 1])
     assert pairs._jdf.queryExecution().optimizedPlan().toString().count("rightHint=(strategy=broadcast)") >= 2 * depth
+
+
+def test_projection_sends_no_vector_for_an_edge(spark):
+    """Any choice of hubs, in one block or several, gives the same as sums over all neighbours; edges are shuffled by ids alone."""
+    rng = np.random.default_rng(7)
+    pairs = sorted({(f"c{a}", f"t{b}") for a, b in rng.integers(0, [4, 12], (30, 2)).tolist()} | {("c0", "c1"), ("t0", "t1"), ("t1", "t2")})
+    e = spark.createDataFrame([*pairs, ("c0", "c0"), pairs[0]], "src string, dst string")
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    h = [F.pmod(F.xxhash64("id", F.lit(i)), F.lit(6)) for i in range(4)]
+    start = {r.id: np.array([{0: 3**0.5, 1: -(3**0.5)}.get(x, 0.0) for x in r.h]) for r in spark.createDataFrame([(x,) for x in near], "id string").select("id", F.array(*h).alias("h")).collect()}
+    want, now = {x: 0.5 * v for x, v in start.items()}, start
+    for w in (1.0, 2.0):
+        mean = {x: sum(now[y] for y in near[x]) / len(near[x]) for x in near}
+        now = {x: m / np.linalg.norm(m) if np.linalg.norm(m) > 1e-9 else 0 * m for x, m in mean.items()}
+        want = {x: want[x] + w * now[x] for x in near}
+    for hubs, block in ((100, 2), (5, 100), (0, 100)):
+        out = graph.fast_random_projection(e, 4, (0.5, 1.0, 2.0), hubs, block)
+        got = {r.id: r.embedding for r in out.collect()}
+        assert got.keys() == want.keys() and all(got[x] == pytest.approx(want[x].tolist(), abs=1e-9) for x in want)

@@ -156,3 +156,25 @@ def test_projection_sends_no_vector_for_an_edge(spark):
         out = graph.fast_random_projection(e, 4, (0.5, 1.0, 2.0), hubs, block)
         got = {r.id: r.embedding for r in out.collect()}
         assert got.keys() == want.keys() and all(got[x] == pytest.approx(want[x].tolist(), abs=1e-9) for x in want)
+
+
+def test_nearest_holds_slices_of_queries(spark, monkeypatch):
+    """Slices of queries, pieces of the base and blocks of queries, all smaller than what they are taken from."""
+    for name, size in (("QUERIES", 3), ("ROWS", 7), ("BLOCK", 9)):
+        monkeypatch.setattr(vectors, name, size)
+    x = np.random.default_rng(4).normal(size=(60, 4))
+    base = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>").coalesce(2)
+    got = {(r.query_id, r.rank): r.id for r in vectors.nearest(base, base.where("id < 20"), 3).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    assert got == {(q, k + 1): int(i) for q in range(20) for k, i in enumerate(np.argsort(-(u @ u[q]))[:3])}
+
+
+def test_rows_are_sent_to_few_blocks(spark):
+    """A cell is split into PARTS blocks at most while they are small enough, and each two meet once, for both directions."""
+    x = np.random.default_rng(6).uniform(size=(300, 2))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)) <= 0.1
+    out = vectors.neighbour_pairs(df, 0.1, 1, 5)
+    assert sorted((r.a, r.b) for r in out.collect()) == [(i, j) for i, j in zip(*np.nonzero(d)) if i != j]
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in text and text.count("explode(") == 1

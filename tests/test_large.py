@@ -178,3 +178,18 @@ def test_rows_are_sent_to_few_blocks(spark):
     assert sorted((r.a, r.b) for r in out.collect()) == [(i, j) for i, j in zip(*np.nonzero(d)) if i != j]
     text = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" not in text and text.count("explode(") == 1
+
+
+@pytest.mark.parametrize("starts", [1000, 1])
+def test_runs_are_made_of_first_words_of_names(spark, monkeypatch, starts):
+    """Runs at the end of a text, inside longer ones, and of names that share their first word."""
+    from tidemark.operators import entities
+
+    monkeypatch.setattr(entities, "STARTS", starts)
+    t = spark.createDataFrame([(1, "new york, New York times new"), (2, ""), (3, "york new. york")], "id long, text string")
+    names = spark.createDataFrame([("New York", "LOC"), ("new york times", "ORG"), ("york", "PER"), ("times new york city", "ORG")], "name string, label string")
+    got = entities.dictionary_entities(t, names)
+    want = {(1, "LOC", "new york", 2), (1, "ORG", "new york times", 1), (1, "PER", "york", 2), (3, "LOC", "new york", 1), (3, "PER", "york", 2)}
+    assert {tuple(r) for r in got.collect()} == want
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "arrays_zip" in text and ("LeftSemi" in text) == (starts == 1)

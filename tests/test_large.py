@@ -193,3 +193,19 @@ def test_runs_are_made_of_first_words_of_names(spark, monkeypatch, starts):
     assert {tuple(r) for r in got.collect()} == want
     text = got._jdf.queryExecution().optimizedPlan().toString()
     assert "arrays_zip" in text and ("LeftSemi" in text) == (starts == 1)
+
+
+def test_graph_writer_shuffles_no_posts_and_edges(spark, tmp_path):
+    """A message twice in a batch, and what it says twice, count once for readers."""
+    from tidemark.sources import batches
+    from tidemark.streaming import graph_writer
+
+    m = '{"message_type":"extracted_article","extracted_at":"2026-01-01T00:00:0%d","data":{"title":"T%d","source_url":"u","entities":{"TECH":["go","Go.",null,"Rust"],"ORG":["Acme"],"LOC":["Hue","Hue"]}}}'
+    tables = graph_writer.batch_tables(graph_writer.messages(spark.createDataFrame([(m % (1, 1),), (m % (2, 2),)], "value string")))
+    for name in ("posts", "edges"):
+        assert not {"Aggregate", "Deduplicate"} & set(tables[name]._jdf.queryExecution().optimizedPlan().toString().replace("[", " ").split())
+    assert tables["edges"].count() == 2 * 4
+    batches.write_batch(tables, f"file://{tmp_path}/g", 0)
+    t = graph_writer.read_graph(spark, f"file://{tmp_path}/g")
+    assert sorted((r.dst_label, r.dst) for r in t["edges"].collect()) == [("Company", "acme"), ("Location", "Hue"), ("Technology", "GO"), ("Technology", "RUST")]
+    assert [r.name for r in t["posts"].collect()] == ["T2"] and {(r.name, r.mention_count) for r in t["technologies"].collect()} == {("GO", 1), ("RUST", 1)}

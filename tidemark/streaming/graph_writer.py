@@ -40,7 +40,8 @@ def company_id(name: Column) -> Column:
 
 
 def batch_tables(m: DataFrame) -> dict[str, DataFrame]:
-    """The rows of the six tables that messages say."""
+    """The rows of the six tables that messages say. Tables of names are merged here, which leaves few rows; posts and edges,
+    a row or more a message, are not shuffled, since readers merge them once for all batches."""
     job = F.col("message_type") == "extracted_job"
     d, j = "data.", "data.job."
     of_job = lambda c: F.when(job, F.col(j + c))
@@ -51,9 +52,9 @@ def batch_tables(m: DataFrame) -> dict[str, DataFrame]:
         "url", "source_platform", F.when(~job, F.col(d + "publish_date")).alias("publish_date"), "at",
     )
     none = F.array().cast("array<string>")
-    each = lambda c: F.explode(F.coalesce(c, none))
-    tech = m.select("id", job.alias("job"), each(F.when(job, F.col(d + "technologies")).otherwise(F.col(d + "entities.TECH"))).alias("x"))
-    tech = tech.select("id", "job", F.upper(text.clean_entity("x")).alias("dst")).where("dst <> ''")
+    # what one message says twice is told apart here, without a shuffle
+    each = lambda c, f=lambda x: x: F.explode(F.array_distinct(F.transform(F.coalesce(c, none), f)))
+    tech = m.select("id", job.alias("job"), each(F.when(job, F.col(d + "technologies")).otherwise(F.col(d + "entities.TECH")), lambda x: F.upper(text.clean_entity(x))).alias("dst")).where("dst <> ''")
     skills = m.where(job).select("id", each(F.col(d + "skills")).alias("dst")).where("trim(dst) <> ''")
     places = m.where(~job).select("id", each(F.col(d + "entities.LOC")).alias("dst")).where("trim(dst) <> ''")
     named = m.where(~job).select("id", "at", each(F.col(d + "entities.ORG")).alias("x")).select("id", "at", text.clean_entity("x").alias("name"), F.lit(None).cast("string").alias("location"), F.lit("MENTIONS").alias("type"))
@@ -63,9 +64,9 @@ def batch_tables(m: DataFrame) -> dict[str, DataFrame]:
     of_post = F.when(F.col("job"), "REQUIRES").otherwise("MENTIONS")
     edges = [edge(tech, of_post, "Technology"), edge(skills, F.lit("REQUIRES"), "Skill"), edge(places, F.lit("MENTIONS"), "Location"), edge(company, F.col("type"), "Company")]
     return {
-        "posts": latest(posts), "technologies": tech.select(F.col("dst").alias("name")).distinct(),
+        "posts": posts, "technologies": tech.select(F.col("dst").alias("name")).distinct(),
         "companies": merged_companies(company.select(F.col("dst").alias("id"), "name", "at", "location", F.col("at").alias("location_at"))), "places": places.select(F.col("dst").alias("name")).distinct(),
-        "skills": skills.select(F.col("dst").alias("name")).distinct(), "edges": reduce(DataFrame.unionByName, edges).distinct(),
+        "skills": skills.select(F.col("dst").alias("name")).distinct(), "edges": reduce(DataFrame.unionByName, edges),
     }
 
 

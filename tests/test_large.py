@@ -209,3 +209,35 @@ def test_graph_writer_shuffles_no_posts_and_edges(spark, tmp_path):
     t = graph_writer.read_graph(spark, f"file://{tmp_path}/g")
     assert sorted((r.dst_label, r.dst) for r in t["edges"].collect()) == [("Company", "acme"), ("Location", "Hue"), ("Technology", "GO"), ("Technology", "RUST")]
     assert [r.name for r in t["posts"].collect()] == ["T2"] and {(r.name, r.mention_count) for r in t["technologies"].collect()} == {("GO", 1), ("RUST", 1)}
+
+
+def test_messages_are_parsed_once(spark, tmp_path):
+    """No condition on a message parses its JSON again; broken, null and other messages are left out."""
+    from tidemark.streaming import graph_writer
+
+    m = '{"message_type":"extracted_article","data":{"title":"T","source_url":"u"}}'
+    spark.createDataFrame([(m,), ("{broken",), (None,), ('{"message_type":"raw","data":{"source_url":"u"}}',), ('{"message_type":"extracted_job","data":{}}',)], "value string").write.parquet(f"file://{tmp_path}/m")
+    got = graph_writer.messages(spark.read.parquet(f"file://{tmp_path}/m"))
+    assert [(r.url, r.data.title) for r in got.collect()] == [("u", "T")]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+
+
+def test_only_edges_of_posts_said_again_are_compared(spark):
+    """Two messages of one post share edges; the other post's edges are not shuffled."""
+    from tidemark.streaming import graph_writer
+
+    posts = spark.createDataFrame([("p",), ("p",), ("q",)], "id string")
+    rows = [("t", "p", "x", "a"), ("t", "p", "x", "a"), ("t", "p", "x", "b"), ("t", "q", "x", "a"), ("t", "q", "y", "a")]
+    got = graph_writer.distinct_edges(posts, spark.createDataFrame(rows, "type string, src string, dst_label string, dst string"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(set(rows)) and got.columns == ["type", "src", "dst_label", "dst"]
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("LeftAnti") < text.index("Aggregate") < text.index("LeftSemi")
+
+
+def test_plain_names_need_no_replacements(spark):
+    """The shortcut for plain names gives what the replacements give."""
+    from tidemark.functions import text
+
+    names = ["Go", "G", "", None, "red blue ring", " a b", "a  b", "a b ", "A Store", "Store", "A Stores", "x YouTube Store", "C++", "a\n", "ab\n", "\u2581Anna AG.", "(x y)", "Quy b", "b Quy"]
+    df = spark.createDataFrame([(n, n if n is None else f"{n}\u2581") for n in names], "a string, b string")  # the mark goes again
+    assert [tuple(r) for r in df.select(text.clean_entity("a"), text.clean_entity("b")).collect()] == [(r[0], r[0]) for r in df.select(text.clean_entity("a")).collect()]

@@ -128,13 +128,16 @@ def canonical_tech(c, known: Mapping[str, str]) -> Column:
 
 
 def clean_entity(c) -> Column:
-    """Without word-piece marks, edge punctuation and broken ends; empty below two bytes."""
+    """Without word-piece marks, edge punctuation and broken ends; empty below two bytes. Plain names, the most, need one
+    look and none of the replacements."""
+    c = F.col(c) if isinstance(c, str) else c
+    plain = ~F.rlike(c, F.lit(rf"[^A-Za-z0-9 ]|^ | $|  | (?:{'|'.join(BAD_ENDS)})$")) & (F.octet_length(c) >= 2)
     s = _squeezed(F.regexp_replace(_text(c), "▁", ""))
     s = F.regexp_replace(s, r"""^[.,;:!?'"()\[\]{}<>«»]+|[.,;:!?'"()\[\]{}<>«»]+$""", "")
     cut = s
     for end in BAD_ENDS:
         cut = F.regexp_replace(cut, f" {end}$", "")
-    return F.when(F.octet_length(s) < 2, "").otherwise(F.trim(cut))
+    return F.when(plain, c).when(F.octet_length(s) < 2, "").otherwise(F.trim(cut))
 
 
 def title_for_classifier(c) -> Column:

@@ -64,6 +64,16 @@ def i12_questions(spark, sf):
     return out.select(F.col("id").alias("company_id"), *[F.array_join(x, "|").alias(x) for x in ("technologies", "job_titles", "companies", "locations")])
 
 
+def _needs(spark, sf):
+    """(job_id, technologies, skills, company_id) of the jobs with a known part: its parts' names and kinds, and the company that
+    v.hires gives. Lines are dealt out by job once, before sets are made of them."""
+    part = v.table(spark, sf, "part").select("p_partkey", "p_name", "p_type")
+    lines = v.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.col("l_partkey").alias("tech_id"), F.col("l_suppkey").alias("company_id"))
+    sets = [F.sort_array(F.collect_set(c)).alias(name) for c, name in (("p_name", "technologies"), ("p_type", "skills"))]
+    known = lines.join(part, F.col("tech_id") == F.col("p_partkey"), "left").repartition("job_id")
+    return known.groupBy("job_id").agg(*sets, F.min("company_id").alias("company_id"), F.count("p_partkey").alias("known")).where("known > 0").drop("known")
+
+
 def _extracted(spark, sf):
     """Extracted messages: documents as articles, every thirteenth broken, and orders with their company as jobs."""
     d = v.table(spark, sf, "documents")
@@ -74,9 +84,7 @@ def _extracted(spark, sf):
     at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") % 100_000)
     m = F.to_json(F.struct(F.lit("extracted_article").alias("message_type"), F.col("source").alias("source_platform"), at.alias("extracted_at"), data.alias("data")))
     articles = d.select(F.when(F.col("doc_id") % 13 == 0, F.lit("{broken")).otherwise(m).alias("value"))
-    part = v.table(spark, sf, "part").select("p_partkey", "p_name", "p_type")
-    needs = v.requires(spark, sf).join(part, F.col("tech_id") == F.col("p_partkey")).groupBy("job_id").agg(F.sort_array(F.collect_set("p_name")).alias("technologies"), F.sort_array(F.collect_set("p_type")).alias("skills"))
-    jobs = v.jobs(spark, sf).join(needs, "job_id").join(v.hires(spark, sf), "job_id").join(v.companies(spark, sf), "company_id")
+    jobs = v.jobs(spark, sf).join(_needs(spark, sf), "job_id").join(v.companies(spark, sf), "company_id")
     where = F.when(F.col("job_id") % 2 == 0, F.col("location"))
     data = F.struct(
         F.struct("title", F.concat(F.lit("o"), "job_id").alias("source_url"), F.col("salary").cast("string").alias("salary")).alias("job"),
@@ -179,9 +187,7 @@ def _post_files(spark, sf):
     post = F.to_json(F.struct(title.alias("title"), F.col("text").alias("description"), F.lit("11/04/2026 08:30:00").alias("created_at"), entities.alias("entities")))
     name = lambda kind, key: F.concat(F.lit(kind), F.lpad(F.col(key).cast("string"), 12, "0"))
     news = d.select(name("news", "doc_id").alias("file"), F.concat(F.lit('{"source_platform":"VN-EP","post_detail":[null,'), post, F.lit(',{"content":"x"}]}')).alias("value"))
-    part = v.table(spark, sf, "part").select("p_partkey", "p_name", "p_type")
-    needs = v.requires(spark, sf).join(part, F.col("tech_id") == F.col("p_partkey")).groupBy("job_id").agg(F.sort_array(F.collect_set("p_name")).alias("technologies"), F.sort_array(F.collect_set("p_type")).alias("skills"))
-    jobs = v.jobs(spark, sf).join(needs, "job_id").join(v.hires(spark, sf), "job_id").join(v.companies(spark, sf), "company_id")
+    jobs = v.jobs(spark, sf).join(_needs(spark, sf), "job_id").join(v.companies(spark, sf), "company_id")
     where = F.when(F.col("job_id") % 2 == 0, F.col("location"))
     title = F.concat_ws(" ", F.col("title"), F.col("job_id") % 100)
     post = F.to_json(F.struct(F.struct(title.alias("title"), F.lit("2026-04-11").alias("due_date"), F.col("salary").cast("string").alias("salary")).alias("job"), F.struct("name", where.alias("location")).alias("company"), "skills", "technologies"))

@@ -8,13 +8,13 @@ of the later message stays, in whatever order they come.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
 from tidemark.sources.batches import read_batches, write_batch
+from tidemark.sources.shared import stored
 
 ENTITIES = "struct<TECH: array<string>, ORG: array<string>, LOC: array<string>>"
 JOB = "struct<title: string, description: string, requirement: string, benefit: string, salary: string, source_url: string>"
@@ -30,7 +30,8 @@ TABLES = {
 
 def messages(raw: DataFrame) -> DataFrame:
     """Well-formed extracted messages of raw (value): those with a URL, of an article or a job. Others are left out."""
-    e = raw.select(F.from_json("value", EXTRACTED).alias("e")).select("e.*")
+    # a generated row is parsed once; a filter would be moved below a projection, and parse again for each condition
+    e = raw.select(F.inline(F.array(F.from_json("value", EXTRACTED))))
     url = F.coalesce("data.job.source_url", "data.source_url")
     return e.withColumn("url", url).where("data is not null and url is not null and message_type in ('extracted_article', 'extracted_job')")
 
@@ -39,34 +40,44 @@ def company_id(name: Column) -> Column:
     return text.slug(name)
 
 
-def batch_tables(m: DataFrame) -> dict[str, DataFrame]:
-    """The rows of the six tables that messages say. Tables of names are merged here, which leaves few rows; posts and edges,
-    a row or more a message, are not shuffled, since readers merge them once for all batches."""
+def said(m: DataFrame) -> DataFrame:
+    """A row a message: the columns of its post, its edges (type, dst_label, dst), each once, and its companies (id, name,
+    location). Names are cleaned here, once for all tables, and no table but posts takes the text."""
     job = F.col("message_type") == "extracted_job"
     d, j = "data.", "data.job."
-    of_job = lambda c: F.when(job, F.col(j + c))
-    m = m.withColumn("id", F.md5(F.col("url").cast("binary"))).withColumnRenamed("extracted_at", "at")
-    posts = m.select(
-        "id", F.when(job, "Job").otherwise("Article").alias("label"), F.when(job, F.col(j + "title")).otherwise(F.col(d + "title")).alias("name"),
-        F.when(job, F.col(j + "description")).otherwise(F.col(d + "content")).alias("content"), *[of_job(c).alias(c) for c in ("requirement", "benefit", "salary")],
-        "url", "source_platform", F.when(~job, F.col(d + "publish_date")).alias("publish_date"), "at",
-    )
+    of_job = lambda c: F.when(job, F.col(j + c)).alias(c)
     none = F.array().cast("array<string>")
-    # what one message says twice is told apart here, without a shuffle
-    each = lambda c, f=lambda x: x: F.explode(F.array_distinct(F.transform(F.coalesce(c, none), f)))
-    tech = m.select("id", job.alias("job"), each(F.when(job, F.col(d + "technologies")).otherwise(F.col(d + "entities.TECH")), lambda x: F.upper(text.clean_entity(x))).alias("dst")).where("dst <> ''")
-    skills = m.where(job).select("id", each(F.col(d + "skills")).alias("dst")).where("trim(dst) <> ''")
-    places = m.where(~job).select("id", each(F.col(d + "entities.LOC")).alias("dst")).where("trim(dst) <> ''")
-    named = m.where(~job).select("id", "at", each(F.col(d + "entities.ORG")).alias("x")).select("id", "at", text.clean_entity("x").alias("name"), F.lit(None).cast("string").alias("location"), F.lit("MENTIONS").alias("type"))
-    posted = m.where(job).select("id", "at", F.col(d + "company.name").alias("name"), F.col(d + "company.location").alias("location"), F.lit("POSTED_BY").alias("type"))
-    company = named.unionByName(posted).where("name <> ''").withColumn("dst", company_id(F.col("name"))).where("dst <> ''")
-    edge = lambda df, kind, label: df.select(kind.alias("type"), F.col("id").alias("src"), F.lit(label).alias("dst_label"), "dst")
-    of_post = F.when(F.col("job"), "REQUIRES").otherwise("MENTIONS")
-    edges = [edge(tech, of_post, "Technology"), edge(skills, F.lit("REQUIRES"), "Skill"), edge(places, F.lit("MENTIONS"), "Location"), edge(company, F.col("type"), "Company")]
+    each = lambda c, f=lambda x: x: F.array_distinct(F.transform(F.coalesce(c, none), f))
+    filled = lambda names: F.filter(names, lambda x: F.trim(x) != "")
+    company = lambda name, location: F.struct(company_id(name).alias("id"), name.alias("name"), location.cast("string").alias("location"))
+    named = F.transform(each(F.col(d + "entities.ORG"), text.clean_entity), lambda x: company(x, F.lit(None)))
+    posted = F.array(company(F.col(d + "company.name"), F.col(d + "company.location")))
+    m = m.select(
+        F.md5(F.col("url").cast("binary")).alias("id"), F.when(job, "Job").otherwise("Article").alias("label"), F.when(job, F.col(j + "title")).otherwise(F.col(d + "title")).alias("name"),
+        F.when(job, F.col(j + "description")).otherwise(F.col(d + "content")).alias("content"), *[of_job(c) for c in ("requirement", "benefit", "salary")],
+        "url", "source_platform", F.when(~job, F.col(d + "publish_date")).alias("publish_date"), F.col("extracted_at").alias("at"),
+        F.filter(each(F.when(job, F.col(d + "technologies")).otherwise(F.col(d + "entities.TECH")), lambda x: F.upper(text.clean_entity(x))), lambda x: x != "").alias("techs"),
+        filled(each(F.when(job, F.col(d + "skills")))).alias("skills"), filled(each(F.when(~job, F.col(d + "entities.LOC")))).alias("places"),
+        F.filter(F.when(job, posted).otherwise(named), lambda x: (x["name"] != "") & (x["id"] != "")).alias("companies"),
+    )
+    is_job = F.col("label") == "Job"
+    of_post, of_company = F.when(is_job, "REQUIRES").otherwise("MENTIONS"), F.when(is_job, "POSTED_BY").otherwise("MENTIONS")
+    edge = lambda names, kind, label: F.transform(names, lambda x: F.struct(kind.alias("type"), F.lit(label).alias("dst_label"), x.alias("dst")))
+    edges = [edge("techs", of_post, "Technology"), edge("skills", F.lit("REQUIRES"), "Skill"), edge("places", F.lit("MENTIONS"), "Location"), edge(F.array_distinct(F.coalesce("companies.id", none)), of_company, "Company")]
+    # one entry at most for each name, of each label
+    return m.select(*[c for c in m.columns if c not in ("techs", "skills", "places")], F.concat(*[F.coalesce(e, F.array()) for e in edges]).alias("edges"))
+
+
+def batch_tables(s: DataFrame) -> dict[str, DataFrame]:
+    """The rows of the six tables that messages say (as `said` gives them, or messages). Tables of names are merged here,
+    which leaves few rows; posts and edges, a row or more a message, are not shuffled, since readers merge them once for all
+    batches."""
+    s = said(s) if "message_type" in s.columns else s
+    edges = s.select(F.col("id").alias("src"), F.explode("edges").alias("e")).select("e.type", "src", "e.dst_label", "e.dst")
+    company = s.select("at", F.explode("companies").alias("c")).select("c.id", "c.name", "at", "c.location", F.col("at").alias("location_at"))
+    names = lambda label: edges.where(F.col("dst_label") == label).select(F.col("dst").alias("name")).distinct()
     return {
-        "posts": posts, "technologies": tech.select(F.col("dst").alias("name")).distinct(),
-        "companies": merged_companies(company.select(F.col("dst").alias("id"), "name", "at", "location", F.col("at").alias("location_at"))), "places": places.select(F.col("dst").alias("name")).distinct(),
-        "skills": skills.select(F.col("dst").alias("name")).distinct(), "edges": reduce(DataFrame.unionByName, edges),
+        "posts": s.drop("edges", "companies"), "technologies": names("Technology"), "companies": merged_companies(company), "places": names("Location"), "skills": names("Skill"), "edges": edges,
     }
 
 
@@ -75,7 +86,8 @@ def latest(posts: DataFrame) -> DataFrame:
     columns = TABLES["posts"].split(", ")
     names = [c.split()[0] for c in columns]
     whole = F.max(F.struct("at", *[c for c in names if c not in ("id", "at")])).alias("p")
-    return posts.groupBy("id").agg(whole).select(*[F.col("id") if c == "id" else F.col(f"p.{c}") for c in names])
+    # dealt out before they are aggregated, so that texts are sorted once, not on both sides of the shuffle
+    return posts.repartition("id").groupBy("id").agg(whole).select(*[F.col("id") if c == "id" else F.col(f"p.{c}") for c in names])
 
 
 def merged_companies(rows: DataFrame) -> DataFrame:
@@ -91,7 +103,7 @@ def write_graph(stream: DataFrame, folder: str, checkpoint: str, before_mark: Ca
 
     def save(df: DataFrame, batch: int) -> None:
         # six tables are made of one parsed batch
-        parsed = messages(df.select("value")).persist()
+        parsed = said(messages(df.select("value"))).persist()
         tables = batch_tables(parsed)
         if before_mark is not None:
             for i, name in enumerate(tables):
@@ -105,10 +117,16 @@ def write_graph(stream: DataFrame, folder: str, checkpoint: str, before_mark: Ca
     q.awaitTermination()
 
 
+def distinct_edges(posts: DataFrame, edges: DataFrame) -> DataFrame:
+    """Each edge once. A message says each of its edges once, so only those of posts with several messages are compared."""
+    again = stored(posts.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("src")), "said-again")
+    return edges.join(again, "src", "left_anti").unionByName(edges.join(again, "src", "left_semi").distinct()).select(*edges.columns)
+
+
 def read_graph(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The six tables as the whole batches say; technologies and skills with the number of posts that name them."""
     t = {name: read_batches(spark, folder, name, schema).drop("batch") for name, schema in TABLES.items()}
-    edges = t["edges"].distinct()
+    edges = distinct_edges(t["posts"], t["edges"])
     counts = edges.groupBy("dst_label", F.col("dst").alias("name")).agg(F.count(F.lit(1)).alias("mention_count"))
     counted = lambda name, label: t[name].distinct().join(counts.where(F.col("dst_label") == label).drop("dst_label"), "name")
     return {

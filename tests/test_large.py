@@ -241,3 +241,12 @@ def test_plain_names_need_no_replacements(spark):
     names = ["Go", "G", "", None, "red blue ring", " a b", "a  b", "a b ", "A Store", "Store", "A Stores", "x YouTube Store", "C++", "a\n", "ab\n", "\u2581Anna AG.", "(x y)", "Quy b", "b Quy"]
     df = spark.createDataFrame([(n, n if n is None else f"{n}\u2581") for n in names], "a string, b string")  # the mark goes again
     assert [tuple(r) for r in df.select(text.clean_entity("a"), text.clean_entity("b")).collect()] == [(r[0], r[0]) for r in df.select(text.clean_entity("a")).collect()]
+
+
+def test_shortest_path_walks_no_further_than_its_end(spark, monkeypatch):
+    made, real = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, name: made.append(name) or real(df, name))
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("e", "f")], "src string, dst string")
+    n = spark.createDataFrame([("b", "Company")], "id string, label string")
+    assert graph.shortest_paths(n, e, "a", "c").first().path == ["a", "b", "c"]
+    assert made.count("level") == 3 and not graph.shortest_paths(n, e, "a", "x").first().found

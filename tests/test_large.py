@@ -250,3 +250,62 @@ def test_shortest_path_walks_no_further_than_its_end(spark, monkeypatch):
     n = spark.createDataFrame([("b", "Company")], "id string, label string")
     assert graph.shortest_paths(n, e, "a", "c").first().path == ["a", "b", "c"]
     assert made.count("level") == 3 and not graph.shortest_paths(n, e, "a", "x").first().found
+
+
+def _information(paths, window, negatives=1):
+    """The positive pointwise mutual information of all nodes on paths, as one matrix."""
+    n = 1 + max(x for p in paths for x in p)
+    count = np.zeros((n, n))
+    for p in paths:
+        for i, u in enumerate(p):
+            for j, w in enumerate(p):
+                if 0 < abs(i - j) <= window and u != w:
+                    count[u, w] += 1
+    with np.errstate(divide="ignore"):
+        return np.maximum(np.log(count * count.sum() / (negatives * np.maximum(np.outer(count.sum(0), count.sum(0)), 1))), 0)
+
+
+@pytest.mark.parametrize("pairs, nodes, met", [(10**9, 10**9, 10**9), (300, 40, 50)])
+def test_walk_vectors_are_the_leading_ones(spark, monkeypatch, pairs, nodes, met):
+    """In few blocks or many: as good an approximation as singular vectors of the whole matrix are, and their values."""
+    from tidemark.operators import factors
+
+    monkeypatch.setattr(factors, "MET", met)
+    monkeypatch.setattr(factors, "COUNTED", met)
+    monkeypatch.setattr(factors, "CHUNK", met)
+    rng = np.random.default_rng(8)
+    paths = [[int(x) for x in 13 * g + rng.integers(0, 13, rng.integers(1, 9))] for g in range(6) for _ in range(60)]
+    df = spark.createDataFrame([(p,) for p in paths] + [([],), (None,)], "path array<int>")
+    m = _information(paths, 3)
+    got = {r.number: r.vector for r in factors.walk_vectors(df, 6, 1, 3, 1, 8, pairs, nodes).collect()}
+    assert set(got) == set(np.flatnonzero(m.any(1)).tolist()) and np.mean(np.square([*got.values()])) == pytest.approx(1, abs=1e-3)
+    x = np.array([got[i] if i in got else [0.0] * 6 for i in range(len(m))])
+    size, want = np.linalg.norm(x, axis=0) ** 2, np.linalg.svd(m)[1][:6]
+    assert size / size.sum() == pytest.approx(want / want.sum(), abs=2e-3)
+    q = x / np.linalg.norm(x, axis=0)
+    assert np.abs(q.T @ q - np.eye(6)).max() < 5e-3
+    assert np.linalg.norm(m @ q) ** 2 > 0.99 * (want**2).sum()
+
+
+def test_edge_vectors_send_no_vector_for_a_pair(spark, monkeypatch):
+    """A node's vector goes to the blocks of its stripe alone, whatever the number of its neighbours."""
+    from tidemark.operators import factors
+
+    sent, real = [], factors._times
+
+    def counted(stripes, *args):
+        run = real(stripes, *args)
+        where = spark.sparkContext.accumulator(0)
+        sent.append((stripes, where))
+
+        def each(block, nodes):
+            where.add(nodes.num_rows)
+            return run(block, nodes)
+
+        return each
+
+    monkeypatch.setattr(factors, "_times", counted)
+    e = spark.createDataFrame([(f"c{a}", f"t{b}") for a in range(10) for b in range(30)], "src string, dst string")
+    got = graph.edge_vectors(e, dim=4, rounds=2).collect()
+    assert {r.id for r in got} <= {f"c{a}" for a in range(10)} | {f"t{b}" for b in range(30)} and {len(r.vector) for r in got} == {4}
+    assert len(sent) == 2 and all(0 < n.value <= 40 * stripes for stripes, n in sent)

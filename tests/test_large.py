@@ -309,3 +309,20 @@ def test_edge_vectors_send_no_vector_for_a_pair(spark, monkeypatch):
     got = graph.edge_vectors(e, dim=4, rounds=2).collect()
     assert {r.id for r in got} <= {f"c{a}" for a in range(10)} | {f"t{b}" for b in range(30)} and {len(r.vector) for r in got} == {4}
     assert len(sent) == 2 and all(0 < n.value <= 40 * stripes for stripes, n in sent)
+
+
+@pytest.mark.parametrize("parts, most", [(3, 1000), (2, 40)])
+def test_k_distances_send_a_row_to_few_blocks(spark, monkeypatch, parts, most):
+    """As many blocks for more rows, until they are full; the same distances as of all pairs, copies and null distances too."""
+    assert {vectors.blocks_of(n) for n in (10_256, 51_282, 615_384)} == {vectors.PARTS} and vectors.blocks_of(2_000) == 1
+    for name, n in (("BLOCK", 20), ("PARTS", parts), ("MOST_ROWS", most), ("PIECE", 9)):
+        monkeypatch.setattr(vectors, name, n)
+    assert vectors.blocks_of(200) == (3 if most == 1000 else 5)
+    x = np.random.default_rng(9).normal(size=(200, 4))
+    x[50:60] = x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    want = np.sort(np.linalg.norm(x[:, None] - x[None], axis=2), axis=1)
+    for k in (1, 5, 150):
+        got = {r.id: r.kth for r in vectors.k_distances(df, k).collect()}
+        assert [got[i] for i in range(200)] == pytest.approx(want[:, k].tolist(), abs=2e-6)
+    assert vectors.k_distances(df, 200).count() == 0

@@ -326,3 +326,38 @@ def test_k_distances_send_a_row_to_few_blocks(spark, monkeypatch, parts, most):
         got = {r.id: r.kth for r in vectors.k_distances(df, k).collect()}
         assert [got[i] for i in range(200)] == pytest.approx(want[:, k].tolist(), abs=2e-6)
     assert vectors.k_distances(df, 200).count() == 0
+
+
+def test_communities_shuffle_links_once_and_pairs_are_contracted(spark):
+    """Links lie in buckets of their source; contracted pairs alone give the modularity of communities, level by level."""
+    from tidemark.operators import louvain
+
+    rng = np.random.default_rng(11)
+    near = sorted({(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(0, 40, (150, 2)) if a != b})
+    pairs = spark.createDataFrame([(a, b, 1.0) for a, b in near], "a long, b long, w double")
+    links = louvain._by_node(pairs)
+    assert "Exchange" not in links.groupBy("src").count()._jdf.queryExecution().executedPlan().toString()
+    assert links.count() == 2 * len(near)
+    own, total = {x: x // 4 * 4 for x in range(40)}, 2.0 * len(near)
+    for size in (4, 8):  # the second from the pairs that the first left
+        own = {x: x // size * size for x in range(40)}
+        df = spark.createDataFrame([*own.items()], "id long, community long")
+        pairs = louvain._contracted(pairs, df)
+        inside = sum(own[a] == own[b] for a, b in near) / len(near)
+        ends = np.bincount([own[x] for p in near for x in p])
+        assert louvain._alone(louvain._linked(pairs), total) == pytest.approx(inside - ((ends / total) ** 2).sum())
+        assert pairs.agg(F.sum(F.when(F.col("a") == F.col("b"), F.col("w")).otherwise(2 * F.col("w")))).first()[0] == total
+
+
+def test_companies_and_technologies_are_not_numbered_for_communities(spark, monkeypatch):
+    from tidemark.operators import louvain
+    from tidemark.plans import graphs
+
+    def numbered(*_):
+        raise AssertionError("texts are numbered")
+
+    monkeypatch.setattr(louvain, "numbered", numbered)
+    lines = [(c, t) for g in range(3) for c in range(4 * g, 4 * g + 4) for t in range(10 * g, 10 * g + 10)]
+    monkeypatch.setattr(graphs.v, "uses_lines", lambda *_: spark.createDataFrame(lines, "company_id long, tech_id long"))
+    got = {r.id: r.community for r in graphs.j8_communities(spark, "").collect()}
+    assert got == {x: f"c{4 * g}" if g < 2 else "c10" for g in range(3) for x in [*(f"c{c}" for c in range(4 * g, 4 * g + 4)), *(f"t{t}" for t in range(10 * g, 10 * g + 10))]}
